@@ -1,10 +1,12 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 from __future__ import annotations
 
-from . import simhash
+from . import langid, quality, simhash
 
 QUERIES = {
     "op3_simhash_near_dedup": simhash.op3_query,
+    "op5_quality_classifier": quality.op5_query,
+    "op10_language_id": langid.op10_query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
