@@ -1,11 +1,12 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 from __future__ import annotations
 
-from . import langid, quality, simhash, tokenout
+from . import decontam, langid, quality, simhash, tokenout
 
 QUERIES = {
     "op3_simhash_near_dedup": simhash.op3_query,
     "op5_quality_classifier": quality.op5_query,
+    "op7_decontamination": decontam.op7_query,
     "op8_token_output": tokenout.op8_query,
     "op10_language_id": langid.op10_query,
 }
