@@ -1,10 +1,11 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 from __future__ import annotations
 
-from . import decontam, langid, mixing, quality, simhash, tokenout
+from . import ann, decontam, langid, mixing, quality, simhash, tokenout
 
 QUERIES = {
     "op1_mixing": mixing.op1_query,
+    "op2_nearest_neighbours": ann.op2_query,
     "op3_simhash_near_dedup": simhash.op3_query,
     "op5_quality_classifier": quality.op5_query,
     "op7_decontamination": decontam.op7_query,
