@@ -1,16 +1,19 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 from __future__ import annotations
 
-from . import ann, decontam, langid, mixing, quality, simhash, tokenout
+from . import ann, chat, decontam, langid, mixing, quality, simhash, tokenout
 
 QUERIES = {
     "op1_mixing": mixing.op1_query,
     "op2_nearest_neighbours": ann.op2_query,
     "op3_simhash_near_dedup": simhash.op3_query,
+    "op4_chat_formatting": chat.op4_query,
     "op5_quality_classifier": quality.op5_query,
     "op7_decontamination": decontam.op7_query,
     "op8_token_output": tokenout.op8_query,
     "op10_language_id": langid.op10_query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_chat_formatting": chat.OP4_SQL,
+}
