@@ -1,7 +1,7 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 from __future__ import annotations
 
-from . import ann, chat, decontam, langid, mixing, quality, simhash, tokenout
+from . import ann, chat, decontam, langid, licenses, mixing, quality, simhash, tokenout
 
 QUERIES = {
     "op1_mixing": mixing.op1_query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_quality_classifier": quality.op5_query,
     "op7_decontamination": decontam.op7_query,
     "op8_token_output": tokenout.op8_query,
+    "op9_license_scan": licenses.op9_query,
     "op10_language_id": langid.op10_query,
 }
 
