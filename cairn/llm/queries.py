@@ -1,7 +1,7 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 from __future__ import annotations
 
-from . import ann, chat, decontam, langid, licenses, mixing, quality, simhash, tokenout
+from . import ann, chat, ctw, decontam, langid, licenses, mixing, quality, simhash, tokenout
 
 QUERIES = {
     "op1_mixing": mixing.op1_query,
@@ -9,6 +9,7 @@ QUERIES = {
     "op3_simhash_near_dedup": simhash.op3_query,
     "op4_chat_formatting": chat.op4_query,
     "op5_quality_classifier": quality.op5_query,
+    "op6_context_tree_weighting": ctw.op6_query,
     "op7_decontamination": decontam.op7_query,
     "op8_token_output": tokenout.op8_query,
     "op9_license_scan": licenses.op9_query,
