@@ -1,0 +1,11 @@
+"""Session settings that the operators rely on."""
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Adaptive execution on; recursive queries may return as many rows as the data have."""
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    return spark
