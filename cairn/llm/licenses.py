@@ -1,7 +1,7 @@
 """Licence scans: a trained paragraph classifier over word bigrams, confirmed against templates.
 
 Paragraphs are the lines of a text. Their features are the distinct bigrams of their lower-cased
-words [a-z0-9]+ that occur in some template; a multinomial logistic regression with the classes
+words [a-z0-9]+ that occur in some template, but for those of two function words; a multinomial logistic regression with the classes
 ``none`` and the licence families weighs them, scaled by the root of the paragraph's bigrams. It is
 trained on the driver from the templates, varied with a fixed seed, and from at most
 ``max_negatives`` lines of the corpus; a temperature fitted on lines kept aside calibrates it. A
@@ -96,6 +96,8 @@ TEMPLATES = {
         "SPDX-License-Identifier: CC0-1.0",
     ],
 }
+#: bigrams of two of these tell nothing of a licence and are no features
+FUNCTION_WORDS = frozenset("a all an and any are as at be but by can for from had has have if in is it its may no not of on one or other that the their they this to was we were which will with you your".split())
 FAMILIES = list(TEMPLATES)
 CLASSES = ["none", *FAMILIES]
 
@@ -105,6 +107,11 @@ def bigrams(line: str) -> set[str]:
     return {f"{a} {b}" for a, b in zip(w, w[1:])}
 
 
+def features(line: str) -> set[str]:
+    """The bigrams of a template that are features: those with a word that isn't a function word."""
+    return {g for g in bigrams(line) if not FUNCTION_WORDS.issuperset(g.split())}
+
+
 def _vectors(lines: list[str], vocabulary: dict[str, int]) -> np.ndarray:
     x = np.zeros((len(lines), len(vocabulary) + 1), np.float32)
     x[:, -1] = 1
@@ -116,7 +123,7 @@ def _vectors(lines: list[str], vocabulary: dict[str, int]) -> np.ndarray:
 
 def train(negatives: list[str], rounds: int = 150, variants: int = 24, seed: int = 11):
     """(vocabulary, weights (bigrams and intercept x classes), temperature)."""
-    vocabulary = {g: i for i, g in enumerate(sorted(set().union(*[bigrams(t) for ts in TEMPLATES.values() for t in ts])))}
+    vocabulary = {g: i for i, g in enumerate(sorted(set().union(*[features(t) for ts in TEMPLATES.values() for t in ts])))}
     rng = np.random.Generator(np.random.PCG64(seed))
     texts = list({frozenset(bigrams(t)) for ts in TEMPLATES.values() for t in ts})
     clean = [n for n in negatives if (g := bigrams(n)) and max(len(g & t) / min(len(g), len(t)) for t in texts) < 0.5]
@@ -184,11 +191,12 @@ def scan(docs: DataFrame, sure: float = 0.6, overlap: float = 0.5, max_negatives
     spark = docs.sparkSession
     vocabulary, w, temperature = train(sampled_lines(docs, max_negatives))
     member = {g: [1 if g in bigrams(t) else 0 for ts in TEMPLATES.values() for t in ts] for g in vocabulary}
-    sizes = [len(bigrams(t)) for ts in TEMPLATES.values() for t in ts]
+    sizes = [len(features(t)) for ts in TEMPLATES.values() for t in ts]
     owner = [c for c, ts in enumerate(TEMPLATES.values()) for _ in ts]
     weights = F.broadcast(spark.createDataFrame([(g, [float(v) for v in w[i]], member[g]) for g, i in vocabulary.items()], "gram string, w array<double>, m array<int>"))
     words, grams = _grams(F.col("line"))
-    parts = _lines(docs).withColumn("words", words).withColumn("grams", grams)
+    parts = _once(_lines(docs).select("doc_id", "row", "paragraph", words.alias("words"))).filter(F.size("words") > 1)
+    parts = _once(parts.select("doc_id", "row", "paragraph", grams.alias("grams")))
     hits = parts.select("doc_id", "row", "paragraph", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(weights, "gram")
     sums = hits.groupBy("row", "paragraph", "doc_id", "n").agg(
         *[F.sum(F.col("w")[c]).alias(f"w{c}") for c in range(len(CLASSES))], *[F.sum(F.col("m")[t]).alias(f"m{t}") for t in range(len(sizes))])
