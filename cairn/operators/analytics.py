@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .tree import SIBLINGS, THEOREM
+from .tree import siblings, theorem
 
 HAVE_LET = ("have", "let")
 #: fixed values: tactics that the search tries by itself
@@ -29,7 +29,7 @@ def prepare(traj: DataFrame) -> DataFrame:
     tactic = F.coalesce("tactic_applied", F.lit(""))
     return traj.select(
         "*", (tactic == "").alias("is_root"), F.when(tactic == "", "(root)").otherwise(T.tactic_head(tactic)).alias("head"),
-        F.max(F.col("label") == "positive").over(W.partitionBy("theorem_name", "state_id")).alias("on_path"), F.max("is_proof_complete").over(THEOREM).alias("proved"),
+        F.max(F.col("label") == "positive").over(W.partitionBy("theorem_name", "state_id")).alias("on_path"), F.max("is_proof_complete").over(theorem()).alias("proved"),
         F.coalesce(F.length("state_pp"), F.lit(0)).alias("state_size"), T.count_goals(F.col("state_pp")).alias("goal_count"), T.count_hypotheses(F.col("state_pp")).alias("hypotheses"))
 
 
@@ -56,7 +56,7 @@ def head_distribution(p: DataFrame) -> DataFrame:
 def branches(p: DataFrame) -> DataFrame:
     """Steps that have siblings, one of them on the path: adds n_siblings, n_on_path."""
     rows = steps(p).filter("parent_state_id is not null")
-    rows = rows.withColumn("n_siblings", F.count("*").over(SIBLINGS)).withColumn("n_on_path", F.sum(F.col("on_path").cast("int")).over(SIBLINGS))
+    rows = rows.withColumn("n_siblings", F.count("*").over(siblings())).withColumn("n_on_path", F.sum(F.col("on_path").cast("int")).over(siblings()))
     return rows.filter("n_siblings >= 2 AND n_on_path >= 1")
 
 
@@ -118,7 +118,7 @@ def log_prob_by_depth(p: DataFrame, deepest: int = 12) -> DataFrame:
 def sibling_ranks(p: DataFrame, score: str = "llm_log_prob", higher_better: bool = True) -> DataFrame:
     """Of each branch the rank of the first child on the path: theorem, parent, depth, n_siblings, rank."""
     order = F.desc(score) if higher_better else F.asc(score)
-    ranked = branches(p).withColumn("r", F.row_number().over(SIBLINGS.orderBy(order, "state_id")))
+    ranked = branches(p).withColumn("r", F.row_number().over(siblings().orderBy(order, "state_id")))
     return ranked.groupBy("theorem_name", "parent_state_id").agg(F.min("depth_from_root").alias("depth"), F.first("n_siblings").alias("n_siblings"), F.min(F.when(F.col("on_path"), F.col("r"))).alias("rank"))
 
 
@@ -187,7 +187,7 @@ def near_misses(p: DataFrame, depth: int = 8, k: int = 25) -> DataFrame:
 
 def training_signal(p: DataFrame) -> DataFrame:
     """Positives, negatives beside a positive and others, steps by exact?, and token lengths at 3.5 characters each."""
-    beside = F.max("on_path").over(SIBLINGS) & F.col("parent_state_id").isNotNull()
+    beside = F.max("on_path").over(siblings()) & F.col("parent_state_id").isNotNull()
     rows = steps(p).withColumn("hard", ~F.col("on_path") & beside).withColumn("tokens", F.col("state_size") / 3.5)
     return rows.agg(F.count_if("on_path").alias("positives"), F.count_if("hard").alias("hard_negatives"), F.count_if(~F.col("on_path") & ~F.col("hard")).alias("easy_negatives"),
                     F.count_if(F.col("tactic_applied").contains("exact?")).alias("exact_search"), r6(F.percentile("tokens", 0.95)).alias("tokens_p95"), F.count_if(F.col("tokens") > 2048).alias("over_2048"), F.count_if(F.col("tokens") > 4096).alias("over_4096"))
@@ -228,7 +228,7 @@ def proof_multiplicity(p: DataFrame) -> DataFrame:
 
 def time_to_proof(p: DataFrame) -> DataFrame:
     """theorem_name, position of the first complete row in order of states, n, ratio; theorems of one row left out."""
-    rows = p.withColumn("pos", F.row_number().over(THEOREM.orderBy("state_id"))).groupBy("theorem_name").agg(F.min(F.when(F.col("is_proof_complete"), F.col("pos"))).alias("position"), F.count("*").alias("n"))
+    rows = p.withColumn("pos", F.row_number().over(theorem().orderBy("state_id"))).groupBy("theorem_name").agg(F.min(F.when(F.col("is_proof_complete"), F.col("pos"))).alias("position"), F.count("*").alias("n"))
     return rows.filter("position is not null AND n > 1").select("*", r6(F.col("position") / F.col("n")).alias("ratio"))
 
 
@@ -245,7 +245,7 @@ def distribution(df: DataFrame, c: str, *by: str) -> DataFrame:
 
 def bigrams(p: DataFrame, k: int = 20) -> DataFrame:
     """Heads that follow each other on paths."""
-    nxt = F.lead("head").over(THEOREM.orderBy("depth_from_root", "state_id"))
+    nxt = F.lead("head").over(theorem().orderBy("depth_from_root", "state_id"))
     return steps(p).filter("on_path").select(F.col("head").alias("a"), nxt.alias("b")).filter("b is not null").groupBy("a", "b").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "a", "b").limit(k)
 
 

@@ -13,8 +13,15 @@ from pyspark.sql import functions as F
 
 from ..session import tune
 
-THEOREM = W.partitionBy("theorem_name")
-SIBLINGS = W.partitionBy("theorem_name", "parent_state_id")
+
+def theorem():
+    """All rows of a theorem."""
+    return W.partitionBy("theorem_name")
+
+
+def siblings():
+    """All children of a state."""
+    return W.partitionBy("theorem_name", "parent_state_id")
 
 
 def checked(traj: DataFrame) -> DataFrame:
@@ -65,15 +72,15 @@ def proof_steps(traj: DataFrame) -> DataFrame:
 def exported_paths(traj: DataFrame, min_steps: int = 1) -> DataFrame:
     """theorem, state (before the step), tactic, depth of the steps of proofs of ``min_steps`` or more."""
     parent = traj.select(F.col("theorem_name").alias("t"), F.col("state_id").alias("p"), F.col("state_pp").alias("state"))
-    proved = traj.withColumn("proved", F.max("is_proof_complete").over(THEOREM))
-    steps = proved.filter("proved AND label = 'positive' AND coalesce(tactic_applied, '') <> ''").withColumn("n", F.count("*").over(THEOREM)).filter(F.col("n") >= min_steps)
+    proved = traj.withColumn("proved", F.max("is_proof_complete").over(theorem()))
+    steps = proved.filter("proved AND label = 'positive' AND coalesce(tactic_applied, '') <> ''").withColumn("n", F.count("*").over(theorem())).filter(F.col("n") >= min_steps)
     out = steps.join(parent, (F.col("theorem_name") == F.col("t")) & (F.col("parent_state_id") == F.col("p"))).filter("coalesce(state, '') <> ''")
     return out.select(F.col("theorem_name").alias("theorem"), "state", F.col("tactic_applied").alias("tactic"), F.greatest(F.col("depth_from_root") - 1, F.lit(0)).alias("depth"))
 
 
 def negative_tiers(traj: DataFrame) -> DataFrame:
     """Adds tier to negatives: ``sibling`` beside a positive child of one parent, else ``other``; null for the rest."""
-    beside = F.max(F.col("label") == "positive").over(SIBLINGS) & F.col("parent_state_id").isNotNull()
+    beside = F.max(F.col("label") == "positive").over(siblings()) & F.col("parent_state_id").isNotNull()
     return traj.withColumn("tier", F.when(F.col("label") == "negative", F.when(beside, "sibling").otherwise("other")))
 
 
@@ -119,7 +126,7 @@ def have_chains(prepared: DataFrame) -> DataFrame:
 
 def fewer_children(traj: DataFrame, most: int) -> DataFrame:
     """Of each parent's children the ``most`` with the best llm + ebm score; roots stay."""
-    rank = F.row_number().over(SIBLINGS.orderBy(F.desc(F.col("llm_log_prob") + F.col("ebm_score")), "state_id"))
+    rank = F.row_number().over(siblings().orderBy(F.desc(F.col("llm_log_prob") + F.col("ebm_score")), "state_id"))
     return traj.withColumn("rank", rank).filter((F.col("rank") <= most) | F.col("parent_state_id").isNull()).drop("rank")
 
 

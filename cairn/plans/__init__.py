@@ -1,5 +1,5 @@
 """Whole queries over the test tables, with SQL to compare them with."""
-from . import trace_queries
+from . import table_queries, trace_queries
 
-QUERIES = dict(trace_queries.QUERIES)
-SQL = dict(trace_queries.ORACLE_SQL)
+QUERIES = trace_queries.QUERIES | table_queries.QUERIES
+SQL = trace_queries.ORACLE_SQL | table_queries.ORACLE_SQL
