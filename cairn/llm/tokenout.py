@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import each_text, materialise, shared_dir
 
-_CACHE = 600_000
+_CACHE = 1_000_000
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: bytes of frames after which a shard is closed
 SHARD_BYTES = 4_000_000
@@ -42,6 +43,17 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class _Seen(dict):
+    """The ids of pieces; a piece not met before is asked for."""
+
+    def __init__(self, ask):
+        self.ask = ask
+
+    def __missing__(self, piece: bytes) -> bytes:
+        ids = self[piece] = self.ask(piece)
+        return ids
+
+
 class PieceEncoder:
     """Encodes texts piece by piece; the ids are those of the whole text's encoding."""
 
@@ -51,34 +63,35 @@ class PieceEncoder:
         self.path, self.tokenizer = path, Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.alphabet = _byte_alphabet()
-        self.seen: dict[bytes, bytes] = {}
+        self.seen = _Seen(self._piece)
+        self.point = {p[0]: self._ids(p) for p in (b".", b",")}
+
+    def _ids(self, piece: bytes) -> bytes:
+        if piece.isalpha():  # of bytes: A-Z and a-z only
+            tokens = self.model.tokenize(piece.decode().lower())
+        elif _PLAIN.fullmatch(text := piece.decode()):
+            tokens = self.model.tokenize(text.lower().encode().decode("latin-1").translate(self.alphabet))
+        else:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("I", [t.id for t in tokens]).tobytes()
 
     def _piece(self, piece: bytes) -> bytes:
-        tail = b""
-        if piece[-1:] in (b".", b",") and len(piece) > 1 and (stem := piece[:-1]) and _PLAIN.fullmatch(stem.decode()):
-            tail = self.seen.get(piece[-1:]) or self.seen.setdefault(piece[-1:], self._piece(piece[-1:]))
-            piece = stem
-            if (known := self.seen.get(piece)) is not None:
-                return known + tail
-        text = piece.decode()
-        if _PLAIN.fullmatch(text):
-            ids = [t.id for t in self.model.tokenize(text.lower().encode().decode("latin-1").translate(self.alphabet))]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        own = np.array(ids, "<u4").tobytes()
-        if tail:
-            self.seen[piece] = own
-        return own + tail
+        """A word and the point or comma after it are tokens of their own."""
+        seen = self.seen
+        if piece[-1] in b".," and len(piece) > 1 and ((stem := piece[:-1]).isalpha() or _PLAIN.fullmatch(stem.decode())):
+            ids = seen.get(stem)
+            if ids is None:
+                ids = seen[stem] = self._ids(stem)
+            return ids + self.point[piece[-1]]
+        return self._ids(piece)
 
     def encode(self, text: bytes) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        pieces = text.split()
+        # the vocabulary is of lower-case words; only its special tokens are looked up before that
+        pieces = (text if b"<|" in text else text.lower()).split()
         seen = self.seen
         if len(seen) > _CACHE:
             seen.clear()
-        for p in set(pieces):
-            if p not in seen:
-                seen[p] = self._piece(p)
         return b"".join(map(seen.__getitem__, pieces))
 
 
