@@ -56,10 +56,10 @@ def schedule(share: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def _slotted(docs, weights, alpha, block_rows, period, bucket_rows, source, key):
+def _slotted(docs, weights, alpha, block_rows, period, bucket_rows, source, key, carry=None):
     """row, source, block, idx (the row's place in its block) and slot of every row; the sources' frame; the first slot that misses its source."""
     spark = docs.sparkSession
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[source].cast("string").alias("source"), F.xxhash64(docs[key]).alias("h1"), F.xxhash64(*[docs[c] for c in docs.columns]).alias("h2"))
+    rows = docs.select(F.struct(*[docs[c] for c in carry or docs.columns]).alias("row"), docs[source].cast("string").alias("source"), F.xxhash64(docs[key]).alias("h1"), F.xxhash64(*[docs[c] for c in docs.columns]).alias("h2"))
     sizes = {r.source: r.n for r in rows.groupBy("source").agg(F.count("*").alias("n")).limit(period + 1).collect()}
     sizes = dict(sorted(sizes.items(), key=lambda x: (x[0] is not None, x[0] or "")))
     weights = {s: n**alpha for s, n in sizes.items()} if weights is None else {s: weights.get(s, 0) for s in sizes}
@@ -91,8 +91,8 @@ def _slotted(docs, weights, alpha, block_rows, period, bucket_rows, source, key)
     return to_slots(ranked).select("row", "source", "block", "idx", "slot"), each, to_slots, horizon
 
 
-def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.7, block_rows: int = 64, period: int = 4096, bucket_rows: int = 1024, source: str = "source", key: str = "doc_id") -> DataFrame:
-    """Every row of ``docs`` once, as struct ``row``, with source, block, slot, position, within_target.
+def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.7, block_rows: int = 64, period: int = 4096, bucket_rows: int = 1024, source: str = "source", key: str = "doc_id", carry: tuple[str, ...] | None = None) -> DataFrame:
+    """Every row of ``docs`` once, as struct ``row`` of the columns ``carry`` (all by default), with source, block, slot, position, within_target.
 
     ``weights`` gives each source's target; by default they are the row counts to the power
     ``alpha``. position numbers the rows from 0 in the order of the mixture; a source that has run
@@ -102,7 +102,7 @@ def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.7, block_
     None of ``weights``); repeated rows are placed each; an empty table gives an empty result; every
     source of the table needs a weight.
     """
-    rows, each, to_slots, horizon = _slotted(docs, weights, alpha, block_rows, period, bucket_rows, source, key)
+    rows, each, to_slots, horizon = _slotted(docs, weights, alpha, block_rows, period, bucket_rows, source, key, carry)
     # how many rows come before each slot: sums over runs of ``period`` slots, then within a run
     span = 512
     runs = each.select(F.col("s2").alias("source"), "n", "share", F.explode(F.expr(f"sequence(0L, (n - 1) div {block_rows}, {span}L)")).alias("from"))
@@ -124,4 +124,4 @@ def mixed(docs: DataFrame, weights: dict | None = None, alpha: float = 0.7, bloc
 
 
 def op1_query(spark, sf_dir):
-    return mix(table(spark, sf_dir, "documents")).select("row.doc_id", "source", "block", "slot", "position", "within_target")
+    return mix(table(spark, sf_dir, "documents"), carry=("doc_id",)).select("row.doc_id", "source", "block", "slot", "position", "within_target")
