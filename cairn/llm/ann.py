@@ -111,36 +111,36 @@ def search_block(ids, x, px, qids, q, pq, bounds, k, most, quantile):
     ``bounds``: a score that the query is known to reach k times elsewhere, or -inf.
     """
     tree = Tree(px, LEAF)
-    width = max(map(len, tree.members))
-    leaves = np.full((len(tree.members), width), -1)
-    for i, rows in enumerate(tree.members):
-        leaves[i, : len(rows)] = rows
-    low = np.array([px[r].min(0) for r in tree.members])
-    high = np.array([px[r].max(0) for r in tree.members])
+    # points that no split tells apart share a leaf, however many: it is searched in pieces
+    pieces = [r[a : a + LEAF] for r in tree.members for a in range(0, len(r), LEAF)]
+    order, ends = np.concatenate(pieces), np.cumsum([len(r) for r in pieces])
+    x, ids, px = x[order], ids[order], px[order]
+    spans = list(zip([0, *ends[:-1].tolist()], ends.tolist()))
+    low, high = (np.array([f(px[a:b], axis=0) for a, b in spans]) for f in (np.min, np.max))
     lengths = np.sqrt((q * q).sum(1))
+    slack = 1e-9 * most * lengths  # products of matrices are rounded otherwise than sums
     scores = np.full((len(q), k), -np.inf)
     found = np.full((len(q), k), np.iinfo(np.int64).max)
-    step = max(1, 2_000_000 // (width * x.shape[1]))
-    for a in range(0, len(q), step):
-        rows = np.arange(a, min(a + step, len(q)))
-        near = box_distance(pq[rows], low, high)
-        order = near.argsort(1, kind="stable")
-        for j in range(order.shape[1]):
-            leaf = order[rows - a, j]
-            reach = np.maximum(scores[rows, -1], bounds[rows])
-            gap = 2 * most * (most - reach / lengths[rows])  # the k-th distance squared
-            go = ~(near[rows - a, leaf] > quantile * np.maximum(gap, 0))
-            rows = rows[go]
+    near = box_distance(pq, low, high)
+    rank = near.argsort(1, kind="stable").argsort(1, kind="stable")
+    first, last = 0, 1
+    while first < len(spans):  # each query's nearest leaf, then three more, and so on
+        for leaf, (a, b) in enumerate(spans):
+            reach = np.maximum(scores[:, -1], bounds)
+            gap = 2 * most * (most - reach / lengths)  # the k-th distance squared
+            rows = np.flatnonzero((rank[:, leaf] >= first) & (rank[:, leaf] < last) & ~(near[:, leaf] > quantile * np.maximum(gap, 0)))
+            if len(rows):
+                rows = rows[(q[rows] @ x[a:b].T).max(1) >= reach[rows] - slack[rows]]
             if not len(rows):
-                break
-            got = leaves[leaf[go]]
-            s = (q[rows][:, None, :] * x[got]).sum(-1)
-            i = ids[got]
-            s[(got < 0) | (i == qids[rows][:, None])] = -np.inf
-            s = np.concatenate([scores[rows], s], 1)
-            i = np.concatenate([found[rows], np.where(np.isneginf(s[:, k:]), np.iinfo(np.int64).max, i)], 1)
+                continue
+            s = (q[rows][:, None, :] * x[None, a:b]).sum(-1)
+            i = np.broadcast_to(ids[a:b], s.shape)
+            own = i == qids[rows][:, None]
+            s = np.concatenate([scores[rows], np.where(own, -np.inf, s)], 1)
+            i = np.concatenate([found[rows], np.where(own, np.iinfo(np.int64).max, i)], 1)
             best = np.lexsort((i, -s), axis=-1)[:, :k]
             scores[rows], found[rows] = np.take_along_axis(s, best, 1), np.take_along_axis(i, best, 1)
+        first, last = last, last * 4
     return scores, found
 
 
