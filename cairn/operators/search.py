@@ -15,7 +15,7 @@ import math
 import time
 from collections import Counter
 from collections.abc import Callable
-from dataclasses import asdict, dataclass, field, fields
+from dataclasses import dataclass, field, fields
 from typing import NamedTuple
 
 import pandas as pd
@@ -428,19 +428,23 @@ WALKED = "steps_walked int, total_steps int, completed boolean, positives long,
 _SIDE = {"statement": "string", "state": "string", "depth": "int", "state_id": "long", "tactic": "string", "kind": "string", "next_state_id": "long", "goals": "array<string>", "pattern": "string", "match": "string", "ord": "long", "text": "string", "log_prob": "double"}
 
 
+_NEEDED = {"theorem": "statement", "step": "state tactic depth", "transition": "state_id tactic kind next_state_id goals", "policy": "pattern match ord text log_prob"}
+
+
 def _together(**tables: DataFrame) -> DataFrame:
     """All rows with their table's name as role, for grouping by theorem in one exchange."""
     out = None
     for role, df in tables.items():
+        if lacking := set(_NEEDED[role].split()) - set(df.columns):
+            raise ValueError(f"{role} rows lack {', '.join(sorted(lacking))}")
         part = df.select(F.lit(role).alias("role"), "theorem_name", *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in _SIDE.items()])
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def _rows(rows: list, result: dict) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=schemas.TRAJECTORY.fieldNames()).astype({"parent_state_id": "Int64"})
-    out["result"] = [json.dumps(result)] + [None] * (len(out) - 1) if len(out) else []
-    return out
+    told = [json.dumps(result), *[None] * (len(rows) - 1)] if rows else []
+    return pd.DataFrame([(*r, x) for r, x in zip(rows, told)], columns=OUT.fieldNames(), dtype=object)
 
 
 def best_first(theorems: DataFrame, transitions: DataFrame, policy: DataFrame, settings: Settings = Settings(), scorer=None, now_ms: int = 0) -> DataFrame:
@@ -457,9 +461,12 @@ def best_first(theorems: DataFrame, transitions: DataFrame, policy: DataFrame, s
 
 
 def along_proofs(pairs: DataFrame, transitions: DataFrame, policy: DataFrame, per_step: int = 8, enough: int = 15) -> DataFrame:
-    """Positive and negative rows found along known proofs (theorem_name, state, tactic, depth); counts as JSON on each first row."""
+    """Positive and negative rows found along known proofs (theorem_name, state, tactic, depth); counts as JSON on each first row.
+
+    Steps without a depth are left out.
+    """
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf.role == "step"].sort_values("depth")
+        own = pdf[(pdf.role == "step") & pdf.depth.notna()].sort_values("depth")
         if own.empty:
             return _rows([], {})
         w = Walk(own.theorem_name.iloc[0], list(zip(own.state, own.tactic, own.depth.astype(int))), Tables(pdf[pdf.role == "transition"], pdf[pdf.role == "policy"]), per_step, enough)
@@ -484,7 +491,3 @@ def settings(values: dict) -> Settings:
     if unknown := set(values) - known:
         raise ValueError(f"no setting {', '.join(sorted(unknown))}")
     return Settings(**{k: tuple(v) if k == "probes" else v for k, v in values.items()})
-
-
-def as_dict(s: Settings) -> dict:
-    return asdict(s)
