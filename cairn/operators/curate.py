@@ -163,3 +163,31 @@ def contrastive_samples(records: DataFrame, n: int, k: int, hard: float = 0.3, m
     source = F.when(F.col("tier") != "easy", F.col("tier")).when(F.col("n_other") > 0, "other").otherwise("sibling")
     c = c.withColumn("kind", source).withColumn("i", draw("row", F.when(source == "positive", F.col("n_positive")).when(source == "sibling", F.col("n_sibling")).otherwise(F.col("n_other"))).cast("int"))
     return c.join(numbered, ["theorem_name", "kind", "i"]).select("sample", "slot", "tier", "theorem_name", "state_id")
+
+
+def depth_quotas(rows: DataFrame, key: str, depth: str, quotas: list[tuple[int, int]], seed: str = "") -> DataFrame:
+    """By depth bucket, given as (least depth, rows to keep) in rising order, the rows with the smallest key hashes.
+
+    Depths below the first bucket are left out.
+    """
+    bucket, keep = F.lit(None).cast("int"), F.lit(0)
+    for i, (least, n) in enumerate(quotas):
+        bucket, keep = F.when(F.col(depth) >= least, i).otherwise(bucket), F.when(F.col(depth) >= least, n).otherwise(keep)
+    order = W.partitionBy("_bucket").orderBy(hash_fraction(F.col(key).cast("string"), seed), key)
+    marked = rows.withColumn("_bucket", bucket).withColumn("_keep", keep).filter("_bucket is not null")
+    return marked.withColumn("_n", F.row_number().over(order)).filter("_n <= _keep").drop("_bucket", "_keep", "_n")
+
+
+def renamed_references(references: DataFrame, renames: DataFrame) -> DataFrame:
+    """References (lemma, n) that are an old name or end with one behind a dot: lemma, n, old, new.
+
+    Every ending of a lemma is looked up, so the join has a key.
+    """
+    parts = F.split("lemma", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    return references.select("lemma", "n", F.explode(ends).alias("old")).join(renames.select("old", "new"), "old").select("lemma", "n", "old", "new")
+
+
+def extended_skip_list(names: DataFrame, failing: DataFrame, name: str = "name") -> DataFrame:
+    """The list with failing names added, each once."""
+    return names.select(name).unionByName(failing.select(name)).filter(F.col(name).isNotNull()).distinct()

@@ -98,3 +98,14 @@ def spectral_norm(w, rounds: int = 5):
         u = w @ v
         u /= np.linalg.norm(u) + 1e-12
     return float(u @ w @ v)
+
+
+def depth_loss(e: DataFrame, energy: str = "energy", remaining: str = "remaining_depth") -> DataFrame:
+    """depth_loss: mean square of energy less remaining depth over the greatest one (1 at least); rows below 0 don't count; 0 if none do."""
+    top = F.greatest(F.max(remaining), F.lit(1))
+    # sum((e - d / t)^2) from sums, as the greatest depth is known only at the end
+    ok = F.col(remaining) >= 0
+    on = lambda c: F.coalesce(F.sum(F.when(ok, c)), F.lit(0.0))
+    x, d = F.col(energy), F.col(remaining)
+    total = on(x * x) - 2 * on(x * d) / top + on(d * d) / (top * top)
+    return e.agg(F.coalesce(r6(total / F.nullif(F.count_if(ok), F.lit(0))), F.lit(0.0)).alias("depth_loss"))

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions import proofs as P
 from ..functions import text as T
 from ..functions import vectors as V
 
@@ -121,3 +122,25 @@ def config(defaults: dict, path: str | None = None, overrides: dict | None = Non
             for k, v in tomllib.load(f).items():
                 out.update(v if isinstance(v, dict) else {k: v})
     return out | {k: v for k, v in (overrides or {}).items() if v is not None}
+
+
+def traced_steps(spark: SparkSession, path: str) -> DataFrame:
+    """A traced corpus: url, file_path, full_name, start, end, state_before, tactic."""
+    return spark.read.parquet(path).select("url", "file_path", "full_name", "start", "end", "state_before", "tactic")
+
+
+def training_texts(spark: SparkSession, path: str) -> DataFrame:
+    """text, theorem, source, depth of JSON lines."""
+    return spark.read.schema("text string, theorem string, source string, depth int").option("mode", "FAILFAST").json(path)
+
+
+def benchmark_entries(spark: SparkSession, path: str) -> DataFrame:
+    """split, name, statement of a list of entries (name, split, formal_statement); of equal names the first counts.
+
+    Entries without a name or statement are left out; a missing split is ``valid``.
+    """
+    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<struct<name:string,split:string,formal_statement:string>>").alias("e"))
+    rows = doc.select(F.posexplode("e").alias("pos", "e")).select("pos", *[T.strip(F.col(f"e.{c}")).alias(c) for c in ("name", "split", "formal_statement")]).filter("name <> '' AND formal_statement <> ''")
+    first = rows.withColumn("n", F.row_number().over(W.partitionBy("name").orderBy("pos"))).filter("n = 1")
+    signature = F.regexp_replace(F.regexp_replace("formal_statement", r"(?s)^.*?theorem\s+\S+\s*", ""), r"(?s)\s*:=\s*(by)?(\s+sorry)?\s*$", "")
+    return first.select(F.coalesce("split", F.lit("valid")).alias("split"), "name", P.expression_of(signature).alias("statement")).filter("statement <> ''")

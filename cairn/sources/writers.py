@@ -34,3 +34,24 @@ def markdown(rows: DataFrame, limit: int = 1000) -> str:
     widths = [max(len(r[i]) for r in cells) for i in range(len(rows.columns))]
     line = lambda r: "| " + " | ".join(c.ljust(w) for c, w in zip(r, widths)) + " |"
     return "\n".join([line(cells[0]), "|" + "|".join("-" * (w + 2) for w in widths) + "|", *map(line, cells[1:])])
+
+
+def source_file(theorems: DataFrame, skipped: DataFrame, module: str, opens: tuple[str, ...] = (), preamble: tuple[str, ...] = ()) -> DataFrame:
+    """One row, ``text``: a source with the theorems (pos, name, statement) left open, in order, and what was left out.
+
+    Names lose colons at their end; a quantifier before IsGreatest or IsLeast, which binds nothing,
+    goes. Skipped are names in ``skipped`` (name), blank statements and those with
+    NNReal.IsConjExponent. A module's theorems make one file, so they fit one task.
+    """
+    names = skipped.select(F.col("name").alias("_s")).distinct()
+    marked = theorems.join(names, F.col("name") == F.col("_s"), "left")
+    bare = F.regexp_replace("name", ":+$", "")
+    statement = F.regexp_replace("statement", r"^∀ (?=Is(Greatest|Least) )", "")
+    reason = F.when(F.col("_s").isNotNull(), "in skip list").when(F.trim(F.coalesce("statement", F.lit(""))) == "", "empty statement").when(F.col("statement").contains("NNReal.IsConjExponent"), "NNReal.IsConjExponent (Mathlib version mismatch)")
+    line = F.when(reason.isNull(), F.concat(F.lit("theorem "), bare, F.lit(" : "), statement, F.lit(" := by sorry\n")))
+    rows = marked.select("pos", line.alias("line"), F.when(reason.isNotNull(), F.concat(F.lit("--   "), bare, F.lit(": "), reason)).alias("note"))
+    sorted_ = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("pos", c)))), lambda r: r[c])
+    head = "\n".join([f"-- Generated benchmark file: {module}", "", "import Mathlib", "", "set_option maxHeartbeats 800000", "", "open " + " ".join(dict.fromkeys(["Real", *opens])), "", *[x for p in preamble for x in (p, "")]])
+    both = rows.agg(sorted_("line").alias("a"), sorted_("note").alias("b"))
+    trailer = F.when(F.size("b") > 0, F.concat(F.lit("\n-- Skipped "), F.size("b").cast("string"), F.lit(" theorems:\n"), F.array_join("b", "\n"), F.lit("\n"))).otherwise("")
+    return both.select(F.concat(F.lit(head + "\n"), F.array_join("a", "\n"), trailer).alias("text"))

@@ -98,3 +98,58 @@ def test_commands(spark, tmp_path, capsys):
     for name, rate in (("r1", 0.25), ("r2", 0.5)):
         (tmp_path / f"{name}.json").write_text(json.dumps({"solved": 1, "total": 4, "rate": rate}))
     assert run("compare", "--results", at("r1.json"), at("r2.json"))[-1]["delta"] == 0.25
+
+
+def test_breaker():
+    from cairn.operators.remote import Breaker
+
+    now = [0.0]
+    b = Breaker(2, 10, lambda: now[0])
+
+    def fail():
+        raise OSError("down")
+
+    for _ in range(2):
+        with pytest.raises(OSError):
+            b.call(fail)
+    with pytest.raises(ConnectionError):
+        b.call(lambda: 1)
+    now[0] = 11.0
+    assert b.call(lambda: 1) == 1 and b.failures == 0
+
+
+def test_remote(spark):
+    from cairn.operators import remote
+
+    def connect():
+        def ask(state):
+            if state == "bad":
+                raise ValueError("no")
+            return [(f"{state}!", -1.0), (f"{state}?", -2.0)]
+        return ask
+
+    states = spark.createDataFrame([("t", "a"), ("u", "bad"), ("v", None)], "theorem_name string, state string")
+    got = sorted((r.theorem_name, r.ord, r.text, r.error) for r in remote.generated(states, connect).collect())
+    assert got == [("t", 0, "a!", None), ("t", 1, "a?", None), ("u", 0, None, "no")]
+    e = remote.encoded(states.select(F.col("state").alias("state_pp")).union(states.select("state")), lambda: lambda xs: [[float(len(x))] for x in xs])
+    assert sorted((r.state_pp, r.embedding) for r in e.collect()) == [("a", [1.0]), ("bad", [3.0])]
+    assert remote.missing(states.select(F.col("state").alias("state_pp")), e.filter("state_pp = 'a'")).collect()[0].state_pp == "bad"
+
+
+def test_small_curation(spark, tmp_path):
+    from cairn.operators import curate, metrics
+    from cairn.sources import readers, writers
+
+    rows = spark.createDataFrame([(i, i % 5) for i in range(50)], "k int, d int")
+    kept = curate.depth_quotas(rows, "k", "d", [(1, 2), (3, 4)])
+    assert sorted((r.d, r.n) for r in kept.groupBy("d").agg(F.count("*").alias("n")).groupBy((F.col("d") >= 3).alias("d")).agg(F.sum("n").alias("n")).collect()) == [(False, 2), (True, 4)]
+    refs = spark.createDataFrame([("Nat.add_left_neg", 3), ("add_left_neg", 1), ("xadd_left_neg", 9)], "lemma string, n int")
+    assert sorted(r.n for r in curate.renamed_references(refs, spark.createDataFrame([("add_left_neg", "neg_add_cancel")], "old string, new string")).collect()) == [1, 3]
+    e = spark.createDataFrame([(1.0, 2), (0.0, 1), (9.0, -1)], "energy double, remaining_depth int")
+    assert metrics.depth_loss(e).first().depth_loss == 0.125 and metrics.depth_loss(e.limit(0)).first().depth_loss == 0
+    (tmp_path / "b.json").write_text(json.dumps([{"name": "a", "split": "test", "formal_statement": "theorem a (x : N) : x = x := by"}, {"name": "a", "formal_statement": "theorem a : P := by"}, {"name": "b", "formal_statement": "theorem b : Q := by sorry"}, {"name": ""}]))
+    assert sorted(map(tuple, readers.benchmark_entries(spark, str(tmp_path / "b.json")).collect())) == [("test", "a", "∀ (x : N), x = x"), ("valid", "b", "Q")]
+    th = spark.createDataFrame([(0, "a:", "∀ IsLeast S 1"), (1, "b", " "), (2, "c", "P"), (3, "d", "Q")], "pos int, name string, statement string")
+    text = writers.source_file(th, spark.createDataFrame([("d",)], "name string"), "M", ("Nat",)).first().text
+    assert "open Real Nat\n" in text and "theorem a : IsLeast S 1 := by sorry\n" in text and text.endswith("theorem c : P := by sorry\n\n-- Skipped 2 theorems:\n--   b: empty statement\n--   d: in skip list\n")
+    assert curate.extended_skip_list(spark.createDataFrame([("a",), ("a",)], "name string"), th.select("name")).count() == 5
