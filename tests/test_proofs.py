@@ -71,3 +71,24 @@ def test_columns(spark):
     df = spark.createDataFrame([("have h : P := by\n  simp\n  ring",), (None,), ("",)], "t string")
     got = df.select(P.steps_of(df.t).alias("s"), P.first_step_of(df.t).alias("f"), P.integrity_of(df.t).alias("i"), P.declarations_of(df.t).alias("d")).collect()
     assert [r.s for r in got] == [["have h : P", "simp", "ring"], None, []] and got[1].f is None and got[0].i.tactic_count == 2 and got[2].d == []
+
+
+@pytest.mark.parametrize("text,want", [
+    ("Tendsto f (𝓝[>] x) y", "Tendsto f (nhdsWithin x (Set.Ioi x)) y"), ("nhds[≠] (ts k.1)", "nhdsWithin (ts k.1) ({(ts k.1)}ᶜ)"), ("nhds[S] ⟨1,1⟩", "nhdsWithin ⟨1,1⟩ S"),
+    ("∀ (x : ℝ) (h : x > 0) : x ≠ 0", "∀ (x : ℝ) (h : x > 0), x ≠ 0"), ("((x : ℝ) : ℂ) = 1", "((x : ℝ) : ℂ) = 1"),
+    ("(n + (m)!)! = 5!", "(Nat.factorial (n + (Nat.factorial (m)))) = (Nat.factorial 5)"), ("x ∈ {y : ℝ | y > 0}", "x ∈ ({y : ℝ | y > 0})"),
+    ("({y | P})", "({y | P})"), ("x ^ (1 / 3) = sqrt 2", "x ^ ((1 : ℝ) / 3) = Real.sqrt 2"), ("∑ k in s, choose n k", "∑ k ∈ s, Nat.choose n k"),
+    ("let a := 1 let b := 2", "let a := 1; let b := 2"), ("(X : Set ℕ), a ∈ X", "(X_set : Set ℕ), a ∈ X_set"), ("a[b[1]]", "a[b[1] ]"),
+])
+def test_mended(text, want):
+    from cairn.functions.statements import mended
+
+    assert mended(text) == want
+
+
+def test_as_theorem():
+    from cairn.functions.statements import as_theorem
+
+    assert as_theorem("t", "∀ (x : ℕ), x = x") == "theorem t : ∀ (x : ℕ), x = x := by sorry"
+    assert as_theorem("t", "∀ abbrev s : ℕ := sorry theorem t (x : ℕ) (h : x = 1), x = s") == "abbrev s : ℕ := sorry\n\ntheorem t (x : ℕ) (h : x = 1) : x = s := by sorry"
+    assert as_theorem("t", "abbrev s : ℕ := sorry theorem t : s = 1") == "abbrev s : ℕ := sorry\n\ntheorem t : s = 1 := by sorry"
