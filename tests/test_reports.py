@@ -153,3 +153,28 @@ def test_small_curation(spark, tmp_path):
     text = writers.source_file(th, spark.createDataFrame([("d",)], "name string"), "M", ("Nat",)).first().text
     assert "open Real Nat\n" in text and "theorem a : IsLeast S 1 := by sorry\n" in text and text.endswith("theorem c : P := by sorry\n\n-- Skipped 2 theorems:\n--   b: empty statement\n--   d: in skip list\n")
     assert curate.extended_skip_list(spark.createDataFrame([("a",), ("a",)], "name string"), th.select("name")).count() == 5
+
+
+def test_pace(spark, tmp_path):
+    folder, seen = str(tmp_path / "in"), []
+    spark.createDataFrame([("r", 1000), ("r", 3000), ("r", 5000), ("s", 7), ("s", None)], "run string, ts_ms long").coalesce(1).write.parquet(folder)
+    q = stateful.pace(spark.readStream.schema("run string, ts_ms long").parquet(folder), 10, 2).writeStream.outputMode("update").foreachBatch(lambda df, i: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted(map(tuple, seen)) == [("r", 3, 20.0), ("s", 1, None)]
+
+
+def test_more_commands(spark, tmp_path):
+    row = lambda s, p, label, done=False: ("t", s, "⊢ a", "x" if s else "", p, label, 0 if p is None else 1, -1, -1.0 * s, 0.0, done, s, 0.0, 0)
+    spark.createDataFrame([row(0, None, "positive"), row(1, 0, "positive", True), row(2, 0, "negative")], TREE).write.parquet(str(tmp_path / "t"))
+    got = [json.loads(x) for x in main(["--json", "sample", "--trajectories", str(tmp_path / "t"), "--samples", "5", "--negatives", "2", "--output", str(tmp_path / "o")], spark).split("\n")]
+    assert sum(r["n"] for r in got) == 15
+    assert main(["report", "--input", str(tmp_path / "t")], spark).startswith("|")
+
+
+def test_more_readers(spark, tmp_path):
+    from cairn.sources import readers
+
+    (tmp_path / "x.jsonl").write_text('{"text": "a", "theorem": "t", "source": "s", "depth": 1}\n')
+    assert tuple(readers.training_texts(spark, str(tmp_path / "x.jsonl")).first()) == ("a", "t", "s", 1)
+    spark.createDataFrame([("u", "f", "n", "1", "2", "s", "t", 9)], "url string, file_path string, full_name string, start string, end string, state_before string, tactic string, more int").write.parquet(str(tmp_path / "p"))
+    assert readers.traced_steps(spark, str(tmp_path / "p")).columns == ["url", "file_path", "full_name", "start", "end", "state_before", "tactic"]
