@@ -26,21 +26,27 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _PLACE = (np.arange(8) * 256)[None, :]
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """The fingerprint of one UTF-8 text; no words: zero; fewer than ``shingle``: the whole sequence."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """The hashes of one UTF-8 text's shingles in order; no words: none; fewer than ``shingle``: of the whole sequence."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
     words = text.lower().split()  # on bytes: A-Z only, and the blanks 0x20 and 0x09-0x0D only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = np.array([digest(joined, 42)], np.uint64)
-    else:
-        ends = [e + i for i, e in enumerate(accumulate(map(len, words)))]
-        starts = [0, *[e + 1 for e in ends]]
-        hashes = np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts, ends[shingle - 1 :])), np.uint64, len(words) - shingle + 1)
+        return np.array([digest(joined, 42)], np.uint64)
+    ends = [e + i for i, e in enumerate(accumulate(map(len, words)))]
+    starts = [0, *[e + 1 for e in ends]]
+    return np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts, ends[shingle - 1 :])), np.uint64, len(words) - shingle + 1)
+
+
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """The fingerprint of one UTF-8 text; no words: zero; fewer than ``shingle``: the whole sequence."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     counts = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + _PLACE).ravel(), minlength=2048).reshape(8, 256) @ _BITS
     return int(np.packbits(counts.ravel() * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
@@ -121,13 +127,14 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     return marked.hint("merge").join(owner.hint("merge"), F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """The documents of which one of each group stays: the one with the group's smallest doc_id.
 
+    ``groups`` (doc_id, component_id) are those of :func:`simhash_groups` by default.
     Rows that repeat a doc_id stay as one. Rows without a doc_id can't be told from others of
     their group, so all of them stay. Columns and their names are those of ``docs``.
     """
-    groups = materialise(simhash_groups(docs), "groups")
+    groups = materialise(simhash_groups(docs) if groups is None else groups, "groups")
     surplus = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     rows = docs.join(surplus, "doc_id", "left_anti").select(*docs.columns)
     n, ids = groups.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()

@@ -164,6 +164,60 @@ def test_links_find_all_pairs(spark):
     assert got == {frozenset((a, b)) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
 
 
+def test_similar_groups_link_every_pair(spark, odd, none):
+    from cairn.llm.similar import similar_groups
+    from cairn.llm.simhash import keep_first
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    more = [(10_000, " ".join(base))]
+    for k in range(1, 60):  # one hot group whose copies differ from each other more than from the first
+        own = list(base)
+        own[rng.randrange(5, 55)] = f"x{k}"
+        more.append((10_000 + k, " ".join(own)))
+    df = docs.unionByName(spark.createDataFrame([(i, t, "en", "a", 1) for i, t in more], DOCS))
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [shingles(t) for _, t in rows]
+    root, holders, common = list(range(len(rows))), defaultdict(list), Counter()
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in enumerate(sets):
+        for x in s:
+            common.update((j, i) for j in holders[x])
+            holders[x].append(i)
+    changed = 0
+    for (i, j), n in common.items():
+        if 5 * n >= 4 * (len(sets[i]) + len(sets[j]) - n):
+            changed += sets[i] != sets[j]
+            root[find(i)] = find(j)
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        low[find(i)] = min(low.get(find(i), d), d)
+    assert changed > 60
+    for sample in (10, 2000):
+        assert {r.doc_id: r.component_id for r in similar_groups(df, sample=sample).collect()} == {d: low[find(i)] for i, (d, _) in enumerate(rows)}
+    assert {r.doc_id for r in keep_first(df, similar_groups(df)).collect()} == set(low.values())
+    out = [(r.doc_id, r.component_id) for r in similar_groups(odd).collect()]
+    assert len(out) == len(ODD) and {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (None, None)} <= set(out)
+    assert similar_groups(none).count() == 0
+
+
+def test_pipeline_drops_near_copies(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    got = {r.doc_id for r in pipeline.drop_near_duplicates(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).collect()}
+    assert {1, 6} <= got and not {177, 145} & got  # similarity 0.83 each, 11 and 7 bits apart
+
+
 # 4 chat
 
 def test_chat(spark):
