@@ -72,6 +72,26 @@ def test_mix_places_every_row_once(spark, docs, odd, none, tmp_path):
     assert [r.doc_id for r in back] == [r.row.doc_id for r in mix(docs, block_rows=4).orderBy("position").collect()]
 
 
+def test_long_schedules_keep_the_exact_weights():
+    from cairn.llm.mixing import _plan
+
+    sizes = [1_000_000] + [2_000_000 // 19] * 19  # a third of the rows in one source
+    weights = [n**0.7 for n in sizes]
+    table, horizon = _plan(sizes, weights, 64)
+    sid, slot, w = table["sid"].to_numpy(), table["slot"].to_numpy(), np.array(weights) / sum(weights)
+    seen = np.cumsum(sid[slot < horizon][:, None] == np.arange(20), 0)
+    assert len(seen) > 3 * 4096 and (slot[: len(seen)] == np.arange(len(seen))).all()
+    assert (abs(seen - np.arange(1, len(seen) + 1)[:, None] * w) < 1).all()
+    assert table.num_rows == sum(-(-n // 64) for n in sizes) and (np.diff(slot) > 0).all()
+
+
+def test_mix_takes_any_number_of_sources(spark):
+    from cairn.llm.mixing import mix
+
+    df = spark.range(6000).selectExpr("id as doc_id", "cast(id % 5000 as string) as source")
+    assert sorted(r.position for r in mix(df).collect()) == list(range(6000))
+
+
 # 2 neighbours
 
 def brute_neighbours(rows, k=20):
