@@ -155,3 +155,14 @@ def test_query(spark, duck, name):
         assert sorted(repr([plain(r[c]) for c in cols]) for r in got) == sorted(repr([plain(r[want.columns.index(c)]) for c in cols]) for r in want.fetchall())
     else:
         assert got
+
+
+def test_running_summary_counts_exactly(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    for k in range(2):
+        rows = spark.range(k * 2000, k * 2000 + 4000).selectExpr("concat('t', id) theorem_name", "if(id % 4 = 0, null, 'negative') label")
+        rows.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema("theorem_name string, label string").option("maxFilesPerTrigger", 1).parquet(folder)
+    query = incremental.running_summary(stream).writeStream.outputMode("complete").format("memory").queryName("exact").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {r.label: (r.n, r.theorems) for r in spark.table("exact").collect()} == {"negative": (6000, 4500), None: (2000, 1500)}
