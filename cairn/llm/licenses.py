@@ -1,24 +1,30 @@
 """Licence scans: a trained paragraph classifier over word bigrams, confirmed against templates.
 
-Paragraphs are the lines of a text. Their features are the distinct bigrams of their lower-cased
-words [a-z0-9]+ that occur in some template, but for those of two function words; a multinomial logistic regression with the classes
-``none`` and the licence families weighs them, scaled by the root of the paragraph's bigrams. It is
-trained on the driver from the templates, varied with a fixed seed, and from at most
-``max_negatives`` lines of the corpus; a temperature fitted on lines kept aside calibrates it. A
-paragraph that is likelier a licence than not, but of no family with probability ``sure`` or more,
-is of the class ``unknown``. A family is confirmed if its best template and the paragraph share
-most of the bigrams of the shorter one.
-
-The scan itself is a scan, a broadcast join with the bigrams of the templates (a table fixed in
-size by the templates) and a sum over the few paragraphs hit, all in SQL functions. A paragraph
-without any template bigram scores as the model's intercept, which the training keeps at ``none``.
+Blank lines part paragraphs; within one, lines are joined, so that wrapped notices are whole. A
+paragraph is read in windows of ``SPAN`` words that overlap by half, so that a notice counts the same
+wherever it stands. The features of a window are the bigrams of its lower-cased words [a-z0-9]+ that
+occur in some training notice, but for those of two function words. A multinomial logistic
+regression weighs them: its classes are ``none``, the licence families, and ``unknown``, which is
+trained from notices of other licences (``FOREIGN``) and from the families' own notices with the
+licence's name replaced; so what tells a family is its name and its own wording. It is trained on
+the driver from the notices, varied with a fixed seed, and from at most ``max_negatives`` windows of
+the corpus; one temperature, fitted on other variants, other names and licences kept aside
+(``ASIDE``), calibrates all classes. A window that is likelier a licence than not is of the likeliest
+family if its probability is ``sure`` or more, else ``unknown``. A family is confirmed if the window
+and one of its templates share enough bigrams, one of which at least occurs in no other notice.
+
+The scan is a pass with SQL functions: only windows around a trigger word are made at all, their
+bigrams are joined with the broadcast weights (a table fixed in size by the notices), and summed.
+Every feature that speaks for a licence has a trigger word, so a window without one is ``none``.
 """
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import table
@@ -96,125 +102,259 @@ TEMPLATES = {
         "SPDX-License-Identifier: CC0-1.0",
     ],
 }
+#: notices of other licences and of none
+FOREIGN = [
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software.",
+    "This package is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0.",
+    "Licensed under the SIL Open Font License, Version 1.1.",
+    "Licensed under the European Union Public Licence, version 1.2.",
+    "Released under the PostgreSQL License.",
+    "All rights reserved.",
+    "Copyright (c) 2014 The Authors. All rights reserved.",
+    "This software is proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited.",
+    "This product is licensed, not sold. By installing this software you accept the terms of this end user license agreement.",
+    "You may not copy, modify, distribute or reproduce this material without the prior written permission of the copyright holder.",
+    "No part of this publication may be reproduced without the written permission of the publisher.",
+    "Use of this file is subject to the terms of the license agreement.",
+    "Available under the Open Data Commons Open Database License.",
+    "SPDX-License-Identifier: Zlib",
+    "SPDX-License-Identifier: OFL-1.1",
+    "SPDX-License-Identifier: LicenseRef-Proprietary",
+]
+#: licences kept aside from training, for calibration
+ASIDE = [
+    "The contents of this file are subject to the terms of the Common Development and Distribution License.",
+    "Licensed under the University of Illinois/NCSA Open Source License.",
+    "This is free and unencumbered software released into the public domain.",
+    "Copyright 2020 Example Ltd. All rights reserved. Confidential.",
+    "This program is licensed under the Academic Free License version 3.0.",
+    "SPDX-License-Identifier: EUPL-1.2",
+]
+#: prose with words of notices
+PROSE = [
+    "He lost his driving license on the way to work and had to see the clerk for another.",
+    "The software was free of charge until version 2.0 came out under a new name.",
+    "Permission to build was granted by the council, without any conditions.",
+    "The terms of the agreement between the two kings were read to all persons present.",
+    "Copies of the book were distributed in the public library, and the rest were sold.",
+    "You can obtain a copy of the map at the office; use it as you like.",
+    "She wrote the documentation and the source code of the program in one summer.",
+    "The general public was not admitted to the creative writing class.",
+    "The foundation released a report under the title of its last conference.",
+    "Either version of the story may be true, but the limitations of both are plain.",
+]
+#: what names a licence in the templates; replaced by other names where ``unknown`` is trained
+_NAMED = re.compile(r"GNU (?:Lesser |Affero )?General Public|Creative Commons Attribution(?:-\w+)?|CC BY(?:-\w\w)?|\bCC0 1\.0(?: Universal)?|Mozilla Public|Apache|MIT|BSD(?:-style)?|\bISC|\b[LA]?GPL\b|\bMPL\b|Free Software Foundation|http\S+|(?<=Identifier: )\S+")
+_SYLLABLES = {0: "bar dol fen gar kel lum mor nar pel quo ros sil tav vun wex zan".split(), 1: "ar bex cor dun el fi gon hal ix jor ka lo myr nu ost pra".split()}
+#: windows of the corpus with these may be notices of licences not listed here, and are no negatives
+_MAYBE = re.compile("licen[cs]|copyright|rights reserved|spdx")
+#: words a window, and from one window's start to the next
+SPAN, STEP = 60, 30
 #: bigrams of two of these tell nothing of a licence and are no features
 FUNCTION_WORDS = frozenset("a all an and any are as at be but by can for from had has have if in is it its may no not of on one or other that the their they this to was we were which will with you your".split())
 FAMILIES = list(TEMPLATES)
-CLASSES = ["none", *FAMILIES]
+CLASSES = ["none", *FAMILIES, "unknown"]
+
+
+def words(line: str) -> list[str]:
+    return re.findall("[a-z0-9]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in line))
 
 
 def bigrams(line: str) -> set[str]:
-    w = re.findall("[a-z0-9]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in line))
+    w = words(line)
     return {f"{a} {b}" for a, b in zip(w, w[1:])}
 
 
 def features(line: str) -> set[str]:
-    """The bigrams of a template that are features: those with a word that isn't a function word."""
+    """The bigrams of a notice that are features: those with a word that isn't a function word."""
     return {g for g in bigrams(line) if not FUNCTION_WORDS.issuperset(g.split())}
 
 
+def _notices() -> list[tuple[int, str]]:
+    return [(c, t) for c, ts in enumerate(TEMPLATES.values(), 1) for t in ts]
+
+
+def own_features() -> list[set[str]]:
+    """For each family the features that occur in its templates and in no other notice."""
+    by = [set().union(*map(features, ts)) for ts in TEMPLATES.values()]
+    foreign = set().union(*map(features, FOREIGN))
+    return [g - foreign - set().union(*[o for k, o in enumerate(by) if k != c]) for c, g in enumerate(by)]
+
+
+def _renamed(notice: str, rng, kind: int) -> str | None:
+    """The notice with the licence's name replaced by one of no meaning; None if it has no name."""
+    name = lambda _: " ".join("".join(rng.choice(_SYLLABLES[kind], rng.integers(1, 4))).capitalize() for _ in range(rng.integers(1, 3)))
+    out, n = _NAMED.subn(name, notice)
+    return out if n else None
+
+
+def variants(rng, filler: list[str], each: int, kind: int, foreign: list[str]) -> tuple[list[str], list[int]]:
+    """Windows that hold a notice, and their classes: words left out or replaced, prose around it."""
+    out, y = [], []
+
+    def varied(notice, c, k):
+        kept, last = [], 0
+        for m in _NAMED.finditer(notice):  # names stay whole
+            kept += [(w, False) for w in notice[last : m.start()].split()] + [(m.group(), True)]
+            last = m.end()
+        kept += [(w, False) for w in notice[last:].split()]
+        own = [w if named or k < 2 or rng.random() > 0.08 else rng.choice(filler) for w, named in kept]
+        room = max(0, SPAN - len(words(" ".join(own))))
+        if k % 2:
+            around = rng.choice(filler, rng.integers(0, room + 1)).tolist()
+            cut = rng.integers(0, len(around) + 1)
+            own = [*around[:cut], *own, *around[cut:]]
+        own = " ".join(own)
+        out.append(" ".join(words(own)[:SPAN]))
+        y.append(c)
+
+    for c, notice in _notices():
+        for k in range(each):
+            varied(notice, c, k)
+            if other := _renamed(notice, rng, kind):
+                varied(other, len(CLASSES) - 1, k)
+    for notice in foreign:
+        for k in range(2 * each):
+            varied(notice, len(CLASSES) - 1, k)
+    return out, y
+
+
 def _vectors(lines: list[str], vocabulary: dict[str, int]) -> np.ndarray:
     x = np.zeros((len(lines), len(vocabulary) + 1), np.float32)
     x[:, -1] = 1
     for row, line in zip(x, lines):
-        grams = bigrams(line)
-        row[[vocabulary[g] for g in grams if g in vocabulary]] = 1 / np.sqrt(max(1, len(grams)))
+        row[[vocabulary[g] for g in bigrams(line) if g in vocabulary]] = 1
     return x
 
 
-def train(negatives: list[str], rounds: int = 150, variants: int = 24, seed: int = 11):
-    """(vocabulary, weights (bigrams and intercept x classes), temperature)."""
-    vocabulary = {g: i for i, g in enumerate(sorted(set().union(*[features(t) for ts in TEMPLATES.values() for t in ts])))}
-    rng = np.random.Generator(np.random.PCG64(seed))
-    texts = list({frozenset(bigrams(t)) for ts in TEMPLATES.values() for t in ts})
-    clean = [n for n in negatives if (g := bigrams(n)) and max(len(g & t) / min(len(g), len(t)) for t in texts) < 0.5]
-    filler = [w for n in clean[:200] for w in n.split()[:20]] or ["lorem", "ipsum"]
-    lines, y = [""] * 20 + clean, [0] * (20 + len(clean))
-    for c, family in enumerate(FAMILIES, 1):
-        for template in TEMPLATES[family]:
-            words = template.split()
-            for v in range(variants):
-                own = [w if v < 4 or rng.random() > 0.1 else rng.choice(filler) for w in words]
-                if v % 2:
-                    own = [*rng.choice(filler, rng.integers(0, 6)), *own, *rng.choice(filler, rng.integers(0, 6))]
-                lines.append(" ".join(own))
-                y.append(c)
-    x, y = _vectors(lines, vocabulary), np.array(y)
-    weight = np.where(y == 0, len(y) / 2 / max(1, (y == 0).sum()), len(y) / 2 / max(1, (y > 0).sum())).astype(np.float32)
-    aside = np.arange(len(y)) % 5 == 4
-    xt, wt, target = x[~aside], weight[~aside], np.eye(len(CLASSES), dtype=np.float32)[y[~aside]]
+def softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+@functools.lru_cache(4)
+def train(negatives: tuple[str, ...], rounds: int = 150, each: int = 12, seed: int = 11):
+    """(vocabulary, weights (bigrams and intercept x classes), temperature); ``negatives`` are windows of the corpus."""
+    notices = [t for _, t in _notices()] + FOREIGN
+    vocabulary = {g: i for i, g in enumerate(sorted(set().union(*map(features, notices))))}
+    texts = [bigrams(t) for t in [*notices, *ASIDE]]
+    held = lambda g: max((len(g & t) / len(t) for t in texts), default=0)
+    clean = [n for n in negatives if (g := bigrams(n)) and held(g) < 0.5 and not _MAYBE.search(n)]
+    filler = [w for n in clean[:400] for w in n.split()[:20]] or ["lorem", "ipsum"]
+
+    def made(kind, own):
+        rng = np.random.Generator(np.random.PCG64(seed + kind))
+        lines, y = variants(rng, filler, each if kind == 0 else 4, kind, ASIDE if kind else FOREIGN)
+        # prose that holds single bigrams of notices, as any may
+        grams = sorted(vocabulary)
+        for _ in range(400 if kind == 0 else 150):
+            some = rng.choice(filler, rng.integers(0, SPAN)).tolist()
+            for g in rng.choice(grams, rng.integers(1, 3)):
+                some.insert(int(rng.integers(0, len(some) + 1)), str(g))
+            lines.append(" ".join(some))
+            y.append(0)
+        lines += own + [""] * 20
+        return _vectors(lines, vocabulary), np.array(y + [0] * (len(own) + 20))
+
+    x, y = made(0, [n for k, n in enumerate(clean) if k % 4] + PROSE[::2])
+    x2, y2 = made(1, clean[::4] + PROSE[1::2])
+    weigh = lambda y: np.where(y == 0, len(y) / 2 / max(1, (y == 0).sum()), len(y) / 2 / max(1, (y > 0).sum()))
+    weight, target = weigh(y).astype(np.float32)[:, None] / len(y), np.eye(len(CLASSES), dtype=np.float32)[y]
     w = np.zeros((x.shape[1], len(CLASSES)), np.float32)
     first, second = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):  # Adam on the whole set
-        z = xt @ w
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        g = xt.T @ ((p - target) * wt[:, None]) / len(xt) + 1e-4 * w
+        g = x.T @ ((softmax(x @ w) - target) * weight) + 1e-4 * w
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         w -= 0.3 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
-    z = (x[aside] @ w).astype(np.float64)
+    w = w.astype(np.float64)
+    z, own = x2 @ w, weigh(y2)
+    loss = lambda t: float(-(own * np.log(softmax(z / t)[np.arange(len(z)), y2] + 1e-300)).sum())
+    return vocabulary, w, float(min(np.geomspace(0.25, 16, 49), key=loss))
 
-    def loss(temperature):
-        s = z / temperature
-        s = s - s.max(1, keepdims=True)
-        return float((weight[aside] * (np.log(np.exp(s).sum(1)) - s[np.arange(len(s)), y[aside]])).sum())
 
-    temperature = min(np.geomspace(0.25, 8, 41), key=loss)
-    return vocabulary, w.astype(np.float64), float(temperature)
+def triggers(vocabulary: dict[str, int], w: np.ndarray, negatives: tuple[str, ...]) -> list[str]:
+    """A word of each feature that speaks for some licence: the one that prose has least."""
+    seen: dict[str, int] = {}
+    for n in negatives:
+        for x in n.split():
+            seen[x] = seen.get(x, 0) + 1
+    speaks = [g for g, i in vocabulary.items() if (w[i, 1:] > w[i, 0]).any()]
+    if w[-1].argmax():
+        raise ValueError("the model must find no licence in a window without features")
+    return sorted({min((x for x in g.split() if x not in FUNCTION_WORDS), key=lambda x: (seen.get(x, 0), x)) for g in speaks})
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("paragraph", "line"))
+def _paragraphs(docs: DataFrame) -> DataFrame:
+    """doc_id, row (one for each document), paragraph, words of every paragraph."""
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.split(F.translate(docs["text"].cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "\n[ \\t-\\r]*\n").alias("parts"))
+    return texts.select("doc_id", "row", F.posexplode("parts").alias("paragraph", "part")).select("doc_id", "row", "paragraph", F.filter(F.split("part", "[^a-z0-9]+"), lambda w: w != "").alias("words"))
 
 
-def _grams(line):
-    words = F.filter(F.split(F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+"), lambda w: w != "")
-    pair = lambda w, i: F.concat_ws(" ", w, F.get(F.col("words"), i + 1))
-    return words, F.array_distinct(F.transform(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), pair))
+def sampled_windows(docs: DataFrame, max_negatives: int = 2000) -> tuple[str, ...]:
+    """Windows of the ``max_negatives`` // 4 documents with the lowest id hash, the four with the lowest hash of each at most."""
+    ids = docs.select(docs["doc_id"].cast("long").alias("doc_id")).filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_negatives // 4)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(STEP))
+    chosen = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(ids), "doc_id", "left_semi")
+    some = _paragraphs(chosen).select("doc_id", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("words", i + 1, SPAN), " "))).alias("w")).filter("w <> ''")
+    few = some.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("w").alias("h"), "w"))), 1, 4).alias("some"))
+    return tuple(sorted(r.w for r in few.select(F.explode("some.w").alias("w")).collect()))
 
 
-def sampled_lines(docs: DataFrame, max_negatives: int = 2000) -> list[str]:
-    """Lines of the ``max_negatives`` // 4 documents with the lowest id hash, four of each at most, for training."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_negatives // 4)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
-    lines = rows.select(F.explode(F.transform(F.slice(F.reverse(F.filter(F.split("text", "\n"), lambda x: F.length(x) > 1)), 1, 4), lambda x: F.substring(x, 1, 2000))).alias("line"))
-    return sorted(r.line for r in lines.limit(max_negatives).collect())
+def windows(docs: DataFrame, words_that_count: list[str]) -> DataFrame:
+    """doc_id, row, paragraph, word (the window's first), grams (its different bigrams), of the windows with one of the words."""
+    at = F.filter(F.transform("words", lambda w, i: F.when(w.isin(*words_that_count), i)), lambda i: i.isNotNull())
+    hits = _once(_paragraphs(docs).select("doc_id", "row", "paragraph", "words", F.array_distinct(F.transform(at, lambda i: F.floor(i / STEP).cast("int"))).alias("spans")).filter(F.size("spans") > 0))
+    starts = F.array_distinct(F.concat(F.col("spans"), F.transform("spans", lambda k: k - 1)))
+    # the last window isn't made if the one before reaches the end
+    useful = F.filter(starts, lambda k: (k == 0) | ((k > 0) & (k * STEP + SPAN - STEP < F.size("words"))))
+    cut = _once(hits.select("doc_id", "row", "paragraph", "words", F.explode(useful).alias("k")).select("doc_id", "row", "paragraph", (F.col("k") * STEP).alias("word"), F.slice("words", F.col("k") * STEP + 1, SPAN).alias("words")))
+    pair = lambda w, i: F.concat_ws(" ", w, F.get(F.col("words"), i + 1))
+    return cut.filter(F.size("words") > 1).select("doc_id", "row", "paragraph", "word", F.array_distinct(F.transform(F.slice("words", 1, F.size("words") - 1), pair)).alias("grams"))
 
 
 def scan(docs: DataFrame, sure: float = 0.6, overlap: float = 0.5, max_negatives: int = 2000) -> DataFrame:
-    """doc_id, paragraph, family, probability, template_overlap, confirmed: a row for each paragraph that is a licence.
+    """doc_id, paragraph, word, family, probability, template_overlap, confirmed: a row for each family found in a paragraph.
 
-    paragraph is the line's number from 0. probability is the family's, for ``unknown`` that of
-    being a licence at all. Null, empty and one-word lines are none; documents that repeat come out
-    repeated; null doc_ids stay null; an empty table gives an empty result; further columns are
-    ignored.
+    paragraph counts from 0, word is where the likeliest window of it begins. probability is the
+    family's, for ``unknown`` that of being a licence but not of the likeliest family; a window
+    found unknown beside one of a family is that notice's fringe and not counted. template_overlap
+    is the share of a template's bigrams in the window (of 24, if it has more). Null, empty and
+    one-word texts have none; documents that repeat come out repeated; null doc_ids stay null; an
+    empty table gives an empty result; further columns are ignored.
     """
     spark = docs.sparkSession
-    vocabulary, w, temperature = train(sampled_lines(docs, max_negatives))
-    member = {g: [1 if g in bigrams(t) else 0 for ts in TEMPLATES.values() for t in ts] for g in vocabulary}
-    sizes = [len(features(t)) for ts in TEMPLATES.values() for t in ts]
-    owner = [c for c, ts in enumerate(TEMPLATES.values()) for _ in ts]
-    weights = F.broadcast(spark.createDataFrame([(g, [float(v) for v in w[i]], member[g]) for g, i in vocabulary.items()], "gram string, w array<double>, m array<int>"))
-    words, grams = _grams(F.col("line"))
-    parts = _once(_lines(docs).select("doc_id", "row", "paragraph", words.alias("words"))).filter(F.size("words") > 1)
-    parts = _once(parts.select("doc_id", "row", "paragraph", grams.alias("grams")))
-    hits = parts.select("doc_id", "row", "paragraph", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(weights, "gram")
-    sums = hits.groupBy("row", "paragraph", "doc_id", "n").agg(
-        *[F.sum(F.col("w")[c]).alias(f"w{c}") for c in range(len(CLASSES))], *[F.sum(F.col("m")[t]).alias(f"m{t}") for t in range(len(sizes))])
-    scores = [(F.col(f"w{c}") / F.sqrt("n") + F.lit(float(w[-1, c]))) / temperature for c in range(len(CLASSES))]
-    shared = [F.col(f"m{t}") / F.least(F.col("n"), F.lit(sizes[t])) for t in range(len(sizes))]
-    ours = F.array(*[F.greatest(*own) if len(own) > 1 else own[0] for own in ([o for o, c in zip(shared, owner) if c == k] for k in range(len(FAMILIES)))])
-    z = _once(sums.select("doc_id", "paragraph", F.array(*scores).alias("z"), ours.alias("overlaps")))
-    odds = _once(z.select("doc_id", "paragraph", "overlaps", F.transform("z", lambda v: F.exp(v - F.array_max("z"))).alias("odds")))
+    negatives = sampled_windows(docs, max_negatives)
+    vocabulary, w, temperature = train(negatives)
+    notices = [features(t) for _, t in _notices()]
+    owner, own = [c - 1 for c, _ in _notices()], own_features()
+    rows = [(g, [float(v) for v in w[i]], [int(g in t) for t in notices], [int(g in o) for o in own]) for g, i in vocabulary.items()]
+    weights = F.broadcast(spark.createDataFrame(rows, "gram string, w array<double>, m array<int>, o array<int>"))
+    parts = _once(windows(docs, triggers(vocabulary, w, negatives)))
+    hits = parts.select("doc_id", "row", "paragraph", "word", F.explode("grams").alias("gram")).join(weights, "gram")
+    sums = hits.groupBy("row", "paragraph", "word", "doc_id").agg(
+        *[F.sum(F.col("w")[c]).alias(f"w{c}") for c in range(len(CLASSES))], *[F.sum(F.col("m")[t]).alias(f"m{t}") for t in range(len(notices))], *[F.sum(F.col("o")[c]).alias(f"o{c}") for c in range(len(FAMILIES))])
+    scores = [(F.col(f"w{c}") + F.lit(float(w[-1, c]))) / temperature for c in range(len(CLASSES))]
+    shared = [F.least(F.lit(1.0), F.col(f"m{t}") / F.lit(float(min(24, len(n))))) for t, n in enumerate(notices)]
+    ours = F.array(*[F.greatest(*g) if len(g) > 1 else g[0] for g in ([o for o, c in zip(shared, owner) if c == k] for k in range(len(FAMILIES)))])
+    key = ["doc_id", "row", "paragraph", "word"]
+    z = _once(sums.select(*key, F.array(*scores).alias("z"), ours.alias("overlaps"), F.array(*[F.col(f"o{c}") for c in range(len(FAMILIES))]).alias("own")))
+    odds = _once(z.select(*key, "overlaps", "own", F.transform("z", lambda v: F.exp(v - F.array_max("z"))).alias("odds")))
     total = F.aggregate("odds", F.lit(0.0), lambda a, v: a + v)
-    p = _once(odds.select("doc_id", "paragraph", "overlaps", F.transform("odds", lambda o: o / total).alias("p"))).filter(F.col("p")[0] < 0.5)
+    p = _once(odds.select(*key, "overlaps", "own", F.transform("odds", lambda o: o / total).alias("p"))).filter(F.col("p")[0] < 0.5)
     best = F.array_max(F.transform(F.slice("p", 2, len(FAMILIES)), lambda v, i: F.struct(v.alias("v"), (-i).alias("i"))))
-    found = _once(p.select("doc_id", "paragraph", "overlaps", "p", best.alias("best")))
+    found = _once(p.select(*key, "overlaps", "own", "p", best.alias("best")))
     at, certain = (1 - F.col("best.i")).cast("int"), F.col("best.v") >= sure
-    overlap_of = F.element_at("overlaps", at)
-    return found.select(
-        "doc_id", "paragraph", F.when(certain, F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), at)).otherwise("unknown").alias("family"),
-        F.when(certain, F.col("best.v")).otherwise(1 - F.col("p")[0]).alias("probability"),
-        overlap_of.alias("template_overlap"), (certain & (overlap_of >= overlap)).alias("confirmed"))
+    over = F.element_at("overlaps", at)
+    found = found.select(
+        *key, F.when(certain, F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), at)).otherwise("unknown").alias("family"),
+        F.when(certain, F.col("best.v")).otherwise(1 - F.col("p")[0] - F.col("best.v")).alias("probability"),
+        over.alias("template_overlap"), (certain & (over >= overlap) & (F.element_at("own", at) > 0)).alias("confirmed"))
+    near = W.partitionBy("row", "paragraph").orderBy("word").rangeBetween(-STEP, STEP)
+    found = found.withColumn("beside", F.max((F.col("family") != "unknown").cast("int")).over(near)).filter("family <> 'unknown' or beside = 0")
+    top = F.max(F.struct("confirmed", "probability", (-F.col("word")).alias("word"), "template_overlap")).alias("top")
+    one = found.groupBy("row", "doc_id", "paragraph", "family").agg(top)
+    return one.select("doc_id", "paragraph", (-F.col("top.word")).alias("word"), "family", "top.probability", "top.template_overlap", "top.confirmed")
 
 
 def _once(df: DataFrame) -> DataFrame:
