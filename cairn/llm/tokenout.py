@@ -3,24 +3,26 @@
 A store is a folder of two Parquet tables, so that any store Spark can write to will do:
 
 ``dictionary``  one row: hash (sha256 of the dictionary), data, width (bytes an id), end_id.
-``shards``      part, seq, dict_hash, n_tokens, least, most (of doc_id), doc_ids, counts (ids by
-                document), offsets (of the documents' frames in payload, one more at the end),
+``shards``      part, seq, before (ids of the part's earlier shards), dict_hash, n_tokens, least,
+                most (of doc_id), doc_ids, counts (ids by document), offsets (of the documents' frames in payload, one more at the end),
                 payload (one zstandard frame for each document, ids little-endian).
 
 Shards follow each other by (part, seq), documents within them in order, so the rank of an id
 in the corpus is known from the counts alone, and one short document is read by its offsets
 without touching the rest of its shard.
 
-Texts are cut at the blanks 0x20 and 0x09-0x0D, which no token of the vocabulary crosses; each
-worker keeps the ids of pieces it has met, up to ``_CACHE`` of them, and asks the tokenizer only
-about new ones.
+With a vocabulary whose rules are ``_PIECEWISE`` texts are cut at the blanks 0x20 and 0x09-0x0D,
+which none of its tokens crosses; each worker keeps the ids of pieces it has met, up to ``_CACHE``
+of them, and asks the tokenizer only about new ones. With any other the tokenizer gets whole texts.
 """
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
 from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +30,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import each_text, materialise, shared_dir
+from .common import discard, each_text, materialise, shared_dir
 
-_CACHE = 1_000_000
+_CACHE = 200_000
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: bytes of frames after which a shard is closed
 SHARD_BYTES = 4_000_000
 
 
+#: the rules under which a text's ids are those of its pieces: blanks only part words, lower-casing goes by character, bytes stand for themselves
+_PIECEWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None,
+}
+
+
 def _byte_alphabet() -> dict[int, str]:
     """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, the rest from U+0100 up."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -64,8 +76,15 @@ class PieceEncoder:
         self.model = self.tokenizer.model
         self.alphabet = _byte_alphabet()
         self.seen = _Seen(self._piece)
+        self.piecewise = self._cut_at_blanks()
         self.point = {p[0]: self._ids(p) for p in (b".", b",")}
 
+    def _cut_at_blanks(self) -> bool:
+        t = self.tokenizer
+        rules = {"normalizer": t.normalizer, "pre_tokenizer": t.pre_tokenizer, "post_processor": t.post_processor}
+        same = all(_PIECEWISE[k] == (None if v is None else json.loads(v.__getstate__())) for k, v in rules.items())
+        return same and all(x.content.startswith("<|") and not re.search(r"\s", x.content) and not x.lstrip and not x.rstrip for x in t.get_added_tokens_decoder().values())
+
     def _ids(self, piece: bytes) -> bytes:
         if piece.isalpha():  # of bytes: A-Z and a-z only
             tokens = self.model.tokenize(piece.decode().lower())
@@ -87,11 +106,14 @@ class PieceEncoder:
 
     def encode(self, text: bytes) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if not self.piecewise:
+            return array("I", self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
         # the vocabulary is of lower-case words; only its special tokens are looked up before that
         pieces = (text if b"<|" in text else text.lower()).split()
         seen = self.seen
-        if len(seen) > _CACHE:
-            seen.clear()
+        if len(seen) > _CACHE:  # the pieces met first are the frequent ones
+            for piece in list(islice(seen, _CACHE // 2, None)):
+                del seen[piece]
         return b"".join(map(seen.__getitem__, pieces))
 
 
@@ -120,7 +142,7 @@ def _wide(data: bytes, width: int) -> np.ndarray:
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int, width: int, max_docs: int = 1000, max_chars: int = 50_000, size: int = 65_536) -> bytes:
     """A dictionary from the ids of at most ``max_docs`` documents of up to ``max_chars`` characters,
-    those with the lowest id hash; empty if they are too few to train one."""
+    those with the lowest id hash; empty if their ids take less than 20 KB, too little to train one."""
     import zstandard
 
     able = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.length("text").between(1, max_chars))
@@ -132,7 +154,9 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, width: int, max_do
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([_narrow(enc.encode(t) + end, width) for t in each_text(b.column(0))], pa.binary())], names=["ids"])
 
-    samples = sorted(bytes(r.ids) for r in able.join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(run, "ids binary").limit(2 * max_docs).collect())
+    # of documents that share an id the one with the smallest text
+    texts = able.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    samples = sorted(bytes(r.ids) for r in texts.select("text").mapInArrow(run, "ids binary").collect())
     if sum(map(len, samples)) < 20 * 1024:
         return b""
     try:
@@ -178,19 +202,19 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
     def pack(batches):
         from pyspark import TaskContext
 
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, before = TaskContext.get().partitionId(), 0, 0
         ids, counts, offsets, payload = [], [], [0], []
 
         def shard():
             known = [i for i in ids if i is not None]
-            cells = [part, seq, digest, sum(counts), min(known, default=None), max(known, default=None), ids, counts, offsets, b"".join(payload)]
+            cells = [part, seq, before, digest, sum(counts), min(known, default=None), max(known, default=None), ids, counts, offsets, b"".join(payload)]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(cells, _SHARD)], schema=_SHARD)
 
         for b in batches:
             for i, n, frame in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if ids and offsets[-1] + len(frame) > SHARD_BYTES:
                     yield shard()
-                    seq += 1
+                    seq, before = seq + 1, before + sum(counts)
                     ids, counts, offsets, payload = [], [], [0], []
                 ids.append(i)
                 counts.append(n)
@@ -203,13 +227,11 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
     parts = max(1, frames.rdd.getNumPartitions())
     laid = frames.repartitionByRange(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys).sortWithinPartitions(*keys)
     laid.select("doc_id", "n", "frame").mapInArrow(pack, _SHARD_DDL).write.parquet(f"{folder}/shards")
-    from .common import discard
-
     discard(frames)
 
 
-_SHARD_DDL = "part int, seq int, dict_hash string, n_tokens long, least long, most long, doc_ids array<long>, counts array<int>, offsets array<long>, payload binary"
-_SHARD = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("dict_hash", pa.string()), ("n_tokens", pa.int64()), ("least", pa.int64()), ("most", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
+_SHARD_DDL = "part int, seq int, before long, dict_hash string, n_tokens long, least long, most long, doc_ids array<long>, counts array<int>, offsets array<long>, payload binary"
+_SHARD = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("dict_hash", pa.string()), ("n_tokens", pa.int64()), ("least", pa.int64()), ("most", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
 
 
 def _reader(spark: SparkSession, folder: str):
@@ -239,15 +261,13 @@ def _decoded(spark, folder, doc_ids, columns, digest):
 
     data, expected, width = _reader(spark, folder)
     shards = spark.read.schema(_SHARD_DDL).parquet(f"{folder}/shards")
-    sizes = shards.groupBy("part", "seq").agg(F.sum("n_tokens").alias("n"))
-    totals = sizes.groupBy("part").agg(F.sum("n").alias("n"))
+    # a part is what one task wrote: there are no more of them than partitions, whatever the shards
+    totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     base = totals.select(F.col("part").alias("p"), (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base"))
-    within = sizes.select(F.col("part").alias("p"), F.col("seq").alias("q"), (F.sum("n").over(W.partitionBy("part").orderBy("seq")) - F.col("n")).alias("before"))
-    place = base.join(within, "p").select("p", "q", (F.col("base") + F.col("before")).alias("start"))
     rows = shards
     if doc_ids is not None:
         rows = rows.filter(F.exists(F.array(*[F.lit(i).cast("long") for i in doc_ids]), lambda i: i.between(F.col("least"), F.col("most"))))
-    rows = rows.join(F.broadcast(place), (F.col("part") == F.col("p")) & (F.col("seq") == F.col("q"))).select("start", "dict_hash", "doc_ids", "counts", "offsets", "payload")
+    rows = rows.join(F.broadcast(base), F.col("part") == F.col("p")).select((F.col("base") + F.col("before")).alias("start"), "dict_hash", "doc_ids", "counts", "offsets", "payload")
     wanted = None if doc_ids is None else set(doc_ids)
     names = ["doc_id", "start", *[c.split()[0] for c in columns.split(", ")]]
     kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int64()) if "array" in c else pa.int64() for c in columns.split(", ")]]
