@@ -5,10 +5,12 @@ weight w is released at slot floor(k / w) and due by slot ceil((k + 1) / w); of
 released, each slot takes the one due first. With weights that sum to one this meets every
 deadline, so in any prefix a source is less than one block off its share. The weights are taken as
 they are, as integers over a common denominator, and the schedule runs over all blocks: it is
-planned on the driver, an entry for each block (not row) whatever the number of sources.
+planned on the driver, an entry for each block (not row) whatever the number of sources. Blocks
+grow with the table, so that a plan has ``max_blocks`` entries and one more for each source at most.
 
 Rows are numbered within a source without gathering it: hash buckets of about ``bucket_rows`` are
-numbered each for itself, and start where the counts of the buckets before end.
+numbered each for itself, and start where the counts of the buckets before end; these are summed up
+in two levels, so that a hot source's many buckets meet in no one task either.
 """
 from __future__ import annotations
 
@@ -25,20 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-
-def shares(weights: dict, period: int) -> dict:
-    """Whole shares of ``period`` in proportion to the weights (largest remainders), one at least each."""
-    if any(not w > 0 for w in weights.values()):
-        raise ValueError("weights must be positive")
-    if len(weights) > period:
-        raise ValueError(f"more sources than the period's {period} slots")
-    total, free = sum(weights.values()), period - len(weights)
-    exact = {s: w / total * free for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    order = sorted(weights, key=lambda s: (int(exact[s]) - exact[s], s is not None, str(s)))
-    for s in order[: period - sum(out.values())]:
-        out[s] += 1
-    return out
+#: buckets whose counts are summed up together
+_SPAN = 1024
 
 
 def _slots(weights: list[int], counts: list[int]):
@@ -65,11 +55,6 @@ def _slots(weights: list[int], counts: list[int]):
         slot += 1
 
 
-def schedule(share: list[int]) -> list[tuple[int, int]]:
-    """(source, block) of each slot of one period of sum(share) slots, at whose end all sources are exactly on their shares."""
-    return [(s, k) for _, s, k in _slots(share, share)]
-
-
 def whole(weights: list[float]) -> list[int]:
     """Integers in exactly the proportions of the weights."""
     if any(not w > 0 for w in weights):
@@ -94,23 +79,28 @@ def _plan(sizes: list[int], weights: list[float], block_rows: int) -> tuple[pa.T
     return pa.table(columns, names=["sid", "block2", "slot", "first"]), horizon
 
 
-def _slotted(docs, weights, alpha, block_rows, bucket_rows, source, key, carry=None):
+def _slotted(docs, weights, alpha, block_rows, bucket_rows, source, key, carry=None, max_blocks=2**20):
     """row, source, block, idx (the row's place in its block), slot and first (the rows before the block) of every row; the first slot that misses its source."""
     spark = docs.sparkSession
     rows = docs.select(F.struct(*[docs[c] for c in carry or docs.columns]).alias("row"), docs[source].cast("string").alias("source"), F.xxhash64(docs[key]).alias("h1"), F.xxhash64(*[docs[c] for c in docs.columns]).alias("h2"))
     sizes = {r.source: r.n for r in rows.groupBy("source").agg(F.count("*").alias("n")).collect()}
     sizes = dict(sorted(sizes.items(), key=lambda x: (x[0] is not None, x[0] or "")))
     weights = {s: n**alpha for s, n in sizes.items()} if weights is None else {s: weights.get(s, 0) for s in sizes}
+    block_rows = max(block_rows, -(-sum(sizes.values()) // max_blocks))
     table, horizon = _plan(list(sizes.values()), list(weights.values()), block_rows)
     slots = spark.createDataFrame(table, "sid int, block2 long, slot long, first long")
-    if table.num_rows <= 1_000_000:
+    if table.num_rows <= 2**21:  # beyond that the sources are too many, and the join is dealt by source and block
         slots = F.broadcast(slots)
     each = spark.createDataFrame([(s, i, max(1, ceil(n / bucket_rows))) for i, (s, n) in enumerate(sizes.items())], "s2 string, number int, buckets int")
     bucketed = rows.join(F.broadcast(each), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     bucketed = bucketed.withColumn("bucket", F.pmod("h2", "buckets").cast("int"))
     counts = bucketed.groupBy("source", "bucket", "number").agg(F.count("*").alias("n"))
     # what comes before a bucket travels with its rows, as one more row that sorts first
-    heads = counts.select("source", "number", "bucket", (F.sum("n").over(W.partitionBy("source").orderBy("bucket")) - F.col("n")).alias("offset"))
+    counts = counts.withColumn("span", F.expr(f"bucket div {_SPAN}"))
+    spans = counts.groupBy("source", "span").agg(F.sum("n").alias("all"))
+    spans = spans.select(F.col("source").alias("s3"), F.col("span").alias("span3"), (F.sum("all").over(W.partitionBy("source").orderBy("span")) - F.col("all")).alias("upto"))
+    heads = counts.withColumn("inner", F.sum("n").over(W.partitionBy("source", "span").orderBy("bucket")) - F.col("n"))
+    heads = heads.join(spans, F.col("source").eqNullSafe(F.col("s3")) & (F.col("span") == F.col("span3"))).select("source", "number", "bucket", (F.col("upto") + F.col("inner")).alias("offset"))
     body = bucketed.select("row", "source", "number", "bucket", "h1", "h2", F.lit(None).cast("long").alias("offset"))
     both = body.unionByName(heads, allowMissingColumns=True)
     inside = W.partitionBy("source", "bucket").orderBy(F.col("offset").desc_nulls_last(), "h1", "h2")
@@ -120,7 +110,7 @@ def _slotted(docs, weights, alpha, block_rows, bucket_rows, source, key, carry=N
     return laid.select("row", "source", "block", "idx", "slot", "first"), horizon
 
 
-def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.7, block_rows: int = 64, bucket_rows: int = 1024, source: str = "source", key: str = "doc_id", carry: tuple[str, ...] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.7, block_rows: int = 64, bucket_rows: int = 1024, source: str = "source", key: str = "doc_id", carry: tuple[str, ...] | None = None, max_blocks: int = 2**20) -> DataFrame:
     """Every row of ``docs`` once, as struct ``row`` of the columns ``carry`` (all by default), with source, block, slot, position, within_target.
 
     ``weights`` gives each source's target; by default they are the row counts to the power
@@ -129,15 +119,17 @@ def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.7, block_
     within_target marks rows before the first slot that misses its source: in that prefix every
     source is less than one block off its target, the exact weight. Any number of sources will do.
     Null sources form a source of their own (key None of ``weights``); repeated rows are placed each; an empty table gives an empty result; every
-    source of the table needs a weight.
+    source of the table needs a weight above 0 (ValueError). A block has ``block_rows`` rows, or as
+    many more as keep the blocks to ``max_blocks``.
     """
-    rows, horizon = _slotted(docs, weights, alpha, block_rows, bucket_rows, source, key, carry)
+    rows, horizon = _slotted(docs, weights, alpha, block_rows, bucket_rows, source, key, carry, max_blocks)
     return rows.select("row", "source", "block", "slot", (F.col("first") + F.col("idx")).alias("position"), (F.col("slot") < horizon).alias("within_target"))
 
 
 def mixed(docs: DataFrame, weights: dict | None = None, alpha: float = 0.7, block_rows: int = 64) -> DataFrame:
     """The rows of ``docs`` with their columns, laid out in the order of the mixture: partition by
-    partition, and within each from its first row to its last. Files written from it keep that order."""
+    partition, and within each from its first row to its last. Files written from it keep that order.
+    Nulls, repeated rows and empty tables as in :func:`mix`."""
     rows = _slotted(docs, weights, alpha, block_rows, 1024, "source", "doc_id")[0]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartitionByRange(parts, "slot", "idx").sortWithinPartitions("slot", "idx").select("row.*")
