@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import discard, materialise, table
 
 M = 8
 LEAF = 64
@@ -163,7 +163,8 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, confidence: flo
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).filter(
         F.col("vec_id").isNotNull() & e.isNotNull() & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0))
     # halved exponents: squares of the largest and smallest doubles would leave their range
-    norm = F.array_max(F.transform(e, F.abs)) * F.sqrt(F.aggregate(F.transform(e, lambda v: F.pow(v / F.array_max(F.transform(e, F.abs)), 2)), F.lit(0.0), lambda a, v: a + v))
+    length = lambda m: m * F.sqrt(F.aggregate(e, F.lit(0.0), lambda a, v: a + (v / m) * (v / m)))
+    norm = F.transform(F.array(F.array_max(F.transform(e, F.abs))), length)[0]  # the largest component is looked for once a vector
     stats = good.groupBy(F.size("e").alias("dim")).agg(F.count("*").alias("n"), F.max(norm).alias("most")).orderBy(F.desc("n"), "dim").first()
     schema = "query_id long, rank int, vec_id long, score double"
     if stats is None:
@@ -247,6 +248,7 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, confidence: flo
     counts = {r.cell: r["count"] for r in second.groupBy("cell").count().collect()}
     data, queries = dealt(second.withColumn("s", F.explode(F.sequence(F.lit(0), per_cell(splits) - 1))), counts)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    discard(first)
     best = searched(data, queries).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

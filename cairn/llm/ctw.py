@@ -179,7 +179,9 @@ def _chunk_rows(chunk: int, data: bytes, tokens: int, kinds: int, n: np.ndarray,
 
 
 def scores(docs: DataFrame, folds: int = 7, held: int = 2, chunk_bytes: int = 32_000_000) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row of ``docs``.
+
+    bits_per_byte is the code length of the scored bytes (words, single blanks and the end) by byte.
 
     Learns from the rows whose fold isn't ``held``. Null texts are empty: one end token. A null
     doc_id counts as the text '' when folds are dealt. Rows that repeat are learned from and
@@ -191,7 +193,7 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2, chunk_bytes: int = 32
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), folds) == held).alias("held"), F.col("text").cast("string").alias("text"))
 
     def cut(batches):
-        seq, size, index, ids, out, texts = 0, 0, _Numbers(), [], [], []
+        seq, size, index, ids, out, texts, total = 0, 0, _Numbers(), [], [], [], []
 
         def close():
             lengths = np.array([len(t) for t in texts], np.int64)
@@ -199,7 +201,7 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2, chunk_bytes: int = 32
             aside = np.array(out, bool)
             n = np.bincount(numbers[np.repeat(~aside, lengths)], minlength=len(index))
             known = np.array([i is not None for i in ids], bool)
-            data = _pack(np.array([i or 0 for i in ids], np.int64), known, aside, lengths, numbers)
+            data = _pack(np.array([i or 0 for i in ids], np.int64), known, aside, lengths, numbers, np.array(total, np.int64))
             return _chunk_rows(_task() << 32 | seq, data, int((~aside).sum()), 0, n, unit=[w if w[-1:] == b"\xff" else w + b" " for w in index])
 
         for b in batches:
@@ -209,10 +211,11 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2, chunk_bytes: int = 32
                 words = t.lower().split() or [b""]
                 words[-1] += b"\xff"
                 texts.append(array("I", map(index.__getitem__, words)))
+                total.append(sum(map(len, words)) + len(words) - 1)
                 size += len(t)
                 if size > chunk_bytes:
                     yield from close()
-                    seq, size, index, ids, out, texts = seq + 1, 0, _Numbers(), [], [], []
+                    seq, size, index, ids, out, texts, total = seq + 1, 0, _Numbers(), [], [], [], []
         if ids:
             yield from close()
 
@@ -303,19 +306,20 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2, chunk_bytes: int = 32
     floor = float(np.log10(n_all + v + 1))
 
     def docs_back(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        ids, known, aside, lengths, numbers = _unpack(left.data.iloc[0])
+        ids, known, aside, lengths, numbers, n_bytes = _unpack(left.data.iloc[0])
         order = right.i.to_numpy().argsort()
         c, cost = right.c.to_numpy()[order], right.cost.to_numpy()[order]
         base = np.where(c >= 0, np.log10(np.maximum(c, 0) + 1) - floor, 0.0)
         starts = lengths.cumsum() - lengths
         total = lambda x: np.add.reduceat(x[numbers], starts)
+        score = total(cost) / scale
         return pd.DataFrame({
             "doc_id": pd.array(np.where(known, ids, 0), "Int64").copy() if known.all() else pd.array([int(i) if k else None for i, k in zip(ids, known)], "Int64"),
             "held_out": aside, "n_tokens": total((c >= 0).astype(np.int64)) + 1, "n_known": total((c > 0).astype(np.int64)) + (n_train > 0),
-            "train_tokens": n_all, "base_score": total(base) + np.log10(n_train + 1) - floor, "score": total(cost) / scale})
+            "train_tokens": n_all, "base_score": total(base) + np.log10(n_train + 1) - floor, "score": score, "bits_per_byte": -score * np.log2(10) / n_bytes})
 
     return blobs(first).groupBy("chunk").cogroup(priced_units.groupBy("chunk")).applyInPandas(
-        docs_back, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        docs_back, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 
 
 def op6_query(spark, sf_dir):
