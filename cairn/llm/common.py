@@ -1,12 +1,18 @@
 """Helpers that the corpus operators share."""
 from __future__ import annotations
 
+import atexit
+import contextlib
+import tempfile
 import uuid
 
 import numpy as np
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_SESSION = uuid.uuid4().hex
+_OWN: set[str] = set()
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -30,12 +36,30 @@ def fold(doc_id: Column, modulus: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder (set here only where unset)."""
+    """A fresh folder in this session's own one, which lies under the cluster's shared checkpoint folder and goes when the driver ends.
+
+    Where ``spark.checkpoint.dir`` is unset, a local session gets a temporary folder; on a cluster
+    the user's folder in the default file system takes its place, if all machines can share that.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "/tmp/cairn-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/cairn-{uuid.uuid4().hex}"
+    if not base and spark.sparkContext.master.startswith("local"):
+        base = f"{tempfile.gettempdir()}/cairn-checkpoints"
+    elif not base:
+        fs = spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jsc.hadoopConfiguration())
+        if fs.getScheme() == "file":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"{fs.getHomeDirectory().toString()}/cairn-checkpoints"
+    own = f"{base.rstrip('/')}/cairn-{_SESSION}"
+    if own not in _OWN:
+        _OWN.add(own)
+        atexit.register(_leave, spark, own)
+    return f"{own}/{uuid.uuid4().hex}"
+
+
+def _leave(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:  # else the session was stopped, and its files can't be reached
+        with contextlib.suppress(Py4JError, OSError):
+            drop_path(spark, path)
 
 
 def materialise(df: DataFrame, name: str = "t") -> DataFrame:
@@ -47,9 +71,9 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete the files behind frames that :func:`materialise` returned."""
+    """Delete the files behind frames that :func:`materialise` returned; whatever reads them must be done."""
     for df in frames:
-        for root in {p.rsplit("/", 2)[0] for p in df.inputFiles() if "/cairn-" in p}:
+        for root in {p.rsplit("/", 2)[0] for p in df.inputFiles() if f"/cairn-{_SESSION}/" in p}:
             drop_path(df.sparkSession, root)
 
 
@@ -59,6 +83,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def pieces(batches, rows: int = 500):
+    """Arrow batches in pieces of so many rows, so that what is made of them at once stays small."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
 def text_buffer(column) -> tuple[memoryview, np.ndarray, np.ndarray]:
     """The bytes of an Arrow string array, its offsets, and which rows are null, without copying."""
     buffers = column.buffers()

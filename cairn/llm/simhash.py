@@ -116,31 +116,63 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     repeated; a null doc_id stays and is never the smallest unless it is alone (then null). An
     empty table gives an empty result; further columns are ignored.
     """
+    return rooted(docs).drop("root")
+
+
+def rooted(docs: DataFrame) -> DataFrame:
+    """:func:`simhash_groups` with ``root``, which tells groups apart even if no document of them has an id."""
     marked = materialise(fingerprints(docs), "fps")
-    first = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    distinct = materialise(first, "distinct")
-    roots = components(links(distinct.select("fp")))
+    return by_roots(marked, lambda distinct: components(links(distinct.select("fp"))))
+
+
+def by_roots(marked: DataFrame, roots_of) -> DataFrame:
+    """doc_id, fp, root, component_id of every row of ``marked`` (doc_id, fp); ``roots_of`` turns the distinct fp into (node, root) of those that are linked."""
+    distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = roots_of(distinct)
     owner = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     owner = materialise(owner, "owner")
+    discard(distinct, roots)
     lowest = owner.groupBy("root").agg(F.min("least").alias("component_id"))
-    owner = owner.join(lowest, "root").select(F.col("fp").alias("f"), "component_id")
-    return marked.hint("merge").join(owner.hint("merge"), F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    owner = owner.join(lowest, "root").select(F.col("fp").alias("f"), "root", "component_id")
+    return marked.hint("merge").join(owner.hint("merge"), F.col("fp") == F.col("f")).select("doc_id", "fp", "root", "component_id")
 
 
-def keep_first(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """The documents of which one of each group stays: the one with the group's smallest doc_id.
+def keep_first(docs: DataFrame, groups: DataFrame | None = None, mark=None) -> DataFrame:
+    """The documents of which one row of each group stays: that with the smallest doc_id, null ids last.
 
-    ``groups`` (doc_id, component_id) are those of :func:`simhash_groups` by default.
-    Rows that repeat a doc_id stay as one. Rows without a doc_id can't be told from others of
-    their group, so all of them stay. Columns and their names are those of ``docs``.
+    ``groups`` (doc_id, fp, root) are those of :func:`rooted` by default; ``mark`` gives the fp of
+    (row, text), as :func:`marked_rows` does with :func:`fingerprint`. Of rows with the same doc_id
+    that one stays whose fp is smallest, of those with the same fp too the one with the smallest
+    hash of its columns; of rows that repeat throughout, one. So a row goes only if another of its
+    own group stays, whatever ids repeat. Columns and their names are those of ``docs``.
     """
-    groups = materialise(simhash_groups(docs) if groups is None else groups, "groups")
-    surplus = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    rows = docs.join(surplus, "doc_id", "left_anti").select(*docs.columns)
-    n, ids = groups.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
-    if n == ids:
-        return rows
-    return rows.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rows.filter("doc_id is null"))
+    own = materialise(rooted(docs) if groups is None else groups, "groups")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
+    first = materialise(own.groupBy("root").agg(F.min(rank).alias("first")).select("first.*"), "first")
+    counts = own.groupBy("doc_id").agg(F.count("*").alias("n"))
+    again = materialise(counts.filter("n > 1 or doc_id is null").select("doc_id"), "again")
+    surplus = materialise(own.join(first.select("doc_id"), "doc_id", "left_anti").select("doc_id").distinct(), "surplus")
+    discard(own)
+    if again.isEmpty():
+        return docs.join(surplus, "doc_id", "left_anti").select(*docs.columns)
+    single = docs.filter("doc_id is not null").join(surplus.unionByName(again), "doc_id", "left_anti").select(*docs.columns)
+    d, f = docs.alias("d"), F.broadcast(again.alias("a")) if again.count() < 100_000 else again.alias("a")
+    rows = d.join(f, F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")), "left_semi").select(F.struct(*[F.col(f"d.`{c}`") for c in docs.columns]).alias("row"), F.col("d.text").cast("string").alias("text"))
+    rows = (mark or marked_rows)(rows).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), "fp")
+    one = first.select(F.col("doc_id").alias("id"), F.col("fp").alias("f"))
+    rows = rows.join(one, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("fp") == F.col("f"))).groupBy("doc_id", "fp").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return single.unionByName(rows.select("row.*"))
+
+
+def marked_rows(rows: DataFrame, value=fingerprint) -> DataFrame:
+    """row, fp of (row, text): ``value`` of each text, as a signed 64-bit integer."""
+
+    def run(batches):
+        for batch in batches:
+            fps = np.fromiter((value(t) for t in each_text(batch.column(1))), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["row", "fp"])
+
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, fp long")
 
 
 def op3_query(spark, sf_dir):
