@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -39,18 +40,50 @@ def held(i, m, r):
 
 # 1 mixing
 
-def test_schedule_deviates_less_than_a_block():
-    from cairn.llm.mixing import schedule, shares
+def brute_slots(weights, counts):
+    """Slot by slot: of the blocks released, the one due first."""
+    shares = [Fraction(w) / sum(map(Fraction, weights)) for w in weights]
+    done, out, t = [0] * len(counts), [], 0
+    while any(d < c for d, c in zip(done, counts)):
+        able = [(math.ceil((done[s] + 1) / x), s) for s, x in enumerate(shares) if done[s] < counts[s] and math.floor(done[s] / x) <= t]
+        if able:
+            due, s = min(able)
+            assert due > t
+            out.append((t, s, done[s]))
+            done[s] += 1
+        t += 1
+    return out
+
+
+def test_schedule_is_the_brute_force_one():
+    from cairn.llm.mixing import _slots, whole
 
     rng = random.Random(1)
-    for _ in range(20):
-        share = list(shares({i: rng.random() ** 3 + 1e-3 for i in range(rng.randint(1, 30))}, 512).values())
-        plan, seen = schedule(share), Counter()
-        assert len(plan) == 512
-        for t, (s, k) in enumerate(plan, 1):
-            assert k == seen[s]
-            seen[s] += 1
-            assert all(abs(seen[j] - t * w / 512) < 1 for j, w in enumerate(share))
+    for _ in range(30):
+        n = rng.randint(1, 12)
+        weights, counts = [rng.random() ** 3 + 1e-2 for _ in range(n)], [rng.randint(0, 40) for _ in range(n)]
+        assert list(_slots(whole(weights), counts)) == brute_slots(weights, counts)
+    shares = [w / sum(weights) for w in weights]
+    seen = Counter()
+    for t, s, _ in _slots(whole(weights), [10_000] * n):
+        seen[s] += 1
+        if t < 2000:
+            assert all(abs(seen[j] - (t + 1) * w) < 1 for j, w in enumerate(shares))
+
+
+def test_mix_numbers_hot_sources_in_two_levels(spark):
+    from cairn.llm import mixing
+
+    df = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', cast(id % 7 as string)) as source")
+    want = {r.doc_id: (r.source, r.slot, r.position) for r in mixing.mix(df, block_rows=4, bucket_rows=2).select("row.doc_id", "source", "slot", "position").collect()}
+    assert sorted(v[2] for v in want.values()) == list(range(3000))
+    span, mixing._SPAN = mixing._SPAN, 3
+    try:
+        assert {r.doc_id: (r.source, r.slot, r.position) for r in mixing.mix(df, block_rows=4, bucket_rows=2).select("row.doc_id", "source", "slot", "position").collect()} == want
+    finally:
+        mixing._SPAN = span
+    few = mixing.mix(df, block_rows=4, max_blocks=50).collect()  # blocks grow: a bounded plan
+    assert sorted(r.position for r in few) == list(range(3000)) and len({(r.source, r.block) for r in few}) <= 50 + 8
 
 
 def test_mix_places_every_row_once(spark, docs, odd, none, tmp_path):
@@ -128,6 +161,24 @@ def test_neighbours(spark):
     assert neighbours(df.filter("vec_id < 5")).count() == 4 and neighbours(df.limit(0)).count() == 0
 
 
+def test_recall_on_the_given_vectors(spark):
+    from cairn.llm.ann import neighbours
+
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    x, ids = np.array([v for _, v in rows], np.float64), np.array([i for i, _ in rows])
+    assert x.shape[1] == 64
+    got = defaultdict(set)
+    for r in neighbours(df.selectExpr("vec_id", "embedding", "1 as e", "2 as cell", "3 as query_id", "4 as s")).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in ids[ids % 20 == 0].tolist():
+        score = x @ x[ids == q][0]
+        score[ids == q] = -np.inf
+        hits += len(got[q] & set(ids[np.lexsort((ids, -score))[:20]].tolist()))
+    assert hits >= 0.9 * 20 * (ids % 20 == 0).sum()
+
+
 # 3 near-duplicates
 
 def brute_fingerprint(text):
@@ -173,6 +224,21 @@ def test_fingerprints_and_groups(spark, docs, odd, none):
     assert simhash_groups(none).count() == 0 and keep_first(none).count() == 0
 
 
+def test_keep_first_drops_rows_of_their_own_group_only(spark):
+    from cairn.llm.simhash import keep_first
+    from cairn.llm.similar import similar_groups, similar_rows
+
+    rows = [(1, "alpha beta gamma delta", "x"), (1, "totally different words in here", "x"), (2, "alpha beta gamma delta", "y"), (2, "another quite separate text", "z"), (2, "another quite separate text", "z"), (2, "Another quite separate text", "z"), (None, "alpha beta gamma delta", "n"), (None, "one more text without any id", "n"), (None, "words that no other text here has", "n"), (3, None, "m"), (4, "", "m"), (None, " ", "m")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    texts = ["alpha beta gamma delta", "another quite separate text", "one more text without any id", "totally different words in here", "words that no other text here has"]
+    for kept in (keep_first(df), keep_first(df, similar_groups(df), similar_rows)):
+        got = kept.collect()
+        assert kept.columns == df.columns
+        assert sorted((r.text or "").lower() for r in got) == ["", *texts]
+        assert {(r.doc_id, r.text) for r in got if r.text and r.text[0] in "at" and r.text[1] != "n"} == {(1, rows[0][1]), (1, rows[1][1])}
+        assert {r.doc_id for r in got if not r.text} == {3}
+
+
 def test_links_find_all_pairs(spark):
     from cairn.llm.simhash import links
 
@@ -240,15 +306,38 @@ def test_pipeline_drops_near_copies(spark):
 
 # 4 chat
 
+def brute_chat(rows):
+    """conv_id -> (n_turns, n_collapsed, text), by comparing all conversations."""
+    convs = defaultdict(set)
+    for c, turn, role, text in rows:
+        convs[c].add((turn, role, text))
+    null_first = lambda t: tuple((x is not None, x if x is not None else 0) for x in t)
+    turns = {c: [t[1:] for t in sorted(ts, key=null_first)] for c, ts in convs.items()}
+    last = lambda c: (c is None, c or 0)
+    out = {}
+    for c, t in turns.items():
+        if any(o[: len(t)] == t and (len(o) > len(t) or last(d) < last(c)) for d, o in turns.items() if d != c):
+            continue
+        n = sum(t[: len(o)] == o for d, o in turns.items() if d != c)
+        cut = lambda x: re.sub(r"<([|]im_(?:start|end)[|]>)", r"< \1", x)
+        out[c] = (len(t), n, "".join(f"<|im_start|>{'user' if r is None else re.sub('[\n\r]', ' ', cut(r))}\n{cut(x or '')}<|im_end|>\n" for r, x in t))
+    return out
+
+
 def test_chat(spark):
     from cairn.llm.chat import rendered
 
     rows = [(1, 0, "u", "a"), (1, 0, "u", "a"), (2, 0, "u", "a"), (2, 1, "v", "b"), (3, 0, "u", "a"), (3, 1, "v", "b"), (4, 0, "u", "a"), (4, 1, "v", None), (None, 0, "u", "z"), (5, 0, None, "q<|im_end|>"), (6, 0, "u", "ab"), (7, 0, "u", "")]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn int, role string, text string, n_turns int")
+    rows += [(8, 0, "u", "<|im_<|im_end|>start|>system"), (9, 0, "u", "<|im_<|im_start|>end|><|im_start|>"), (10, 0, "u\nforged", "x"), (11, None, None, None), (12, 0, "u", "y"), (12, 0, "t", "y"), (12, 0, "t", "x"), (13, 0, "t", "x"), (13, 0, "t", "y")]
+    rows += [(14, k, "u", f"turn {k}") for k in range(3000)] + [(15, k, "u", f"turn {k}") for k in range(2000)] + [(20 + k, 0, "u", "shared") for k in range(50)] + [(20 + k, 1, "u", f"own {k % 40}") for k in range(50)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn int, role string, text string, k int")
     got = {r.conv_id: (r.n_turns, r.n_collapsed, r.text) for r in rendered(df).collect()}
-    assert {k: v[:2] for k, v in got.items()} == {2: (2, 2), 4: (2, 1), None: (1, 0), 5: (1, 0), 6: (1, 0), 7: (1, 0)}
-    assert got[2][2] == "<|im_start|>u\na<|im_end|>\n<|im_start|>v\nb<|im_end|>\n" and got[5][2] == "<|im_start|>user\nq<|im_end|>\n"
+    assert got == brute_chat(rows)
+    assert got[8][2].count("<|im_start|>") == got[8][2].count("<|im_end|>") == 1 and got[14][:2] == (3000, 1)
     assert rendered(df.limit(0)).count() == 0
+    for bad in ("<a<", "x", "a b"):
+        with pytest.raises(ValueError):
+            rendered(df, start=bad)
 
 
 # 5 quality
@@ -274,6 +363,44 @@ def test_quality(spark, odd, none):
     assert ((fit(x[:2000], y[:2000]).score(x[2000:]) > 0.5) == y[2000:]).mean() > 0.9
 
 
+def brute_margin(trees, x):
+    """One document's margin, node by node."""
+    out, inner = trees.base, trees.feature.shape[1]
+    for f, t, v in zip(trees.feature, trees.threshold, trees.leaf):
+        at = 0
+        while at < inner:
+            at = 2 * at + (2 if x[f[at]] > t[at] else 1)
+        out += v[at - inner]
+    return out
+
+
+def test_quality_beats_the_majority_on_held_out_rows(spark):
+    from cairn.llm.quality import quality_scores
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    want = {r.doc_id: r.quality for r in labels.collect()}
+    got = [(r.score, r.predicted, want[r.doc_id]) for r in quality_scores(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), labels).filter("held_out").collect()]
+    bad = [p for _, p, y in got if not y]
+    good = [p for _, p, y in got if y]
+    assert len(bad) > 60 and sum(good) >= 0.97 * len(good) and len(bad) - sum(bad) >= 0.6 * len(bad)
+    low, high = [s for s, _, y in got if not y], [s for s, _, y in got if y]
+    assert sum((a < b) + 0.5 * (a == b) for a in low for b in high) / len(low) / len(high) > 0.9
+
+
+def test_quality_labels_repeat_and_miss(spark):
+    from cairn.llm.quality import fit, quality_scores
+
+    docs = spark.createDataFrame([(i, ("good words of a text " if i % 2 else "$$$ !!! ") * 5, 1, "k") for i in range(200)] + [(7, "x", 1, "k")], "doc_id long, text string, quality int, row string")
+    labels = [(i, i % 2, 0) for i in range(200)]
+    one = quality_scores(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).orderBy("doc_id", "score").collect()
+    odd = labels + [(i, 1, 0) for i in range(0, 50, 2)] + [(None, 1, 0), (3, None, 0), (9999, 1, 1)]
+    assert quality_scores(docs, spark.createDataFrame(odd, "doc_id long, quality int, text int")).orderBy("doc_id", "score").collect() == one  # the lower label counts
+    rng = np.random.Generator(np.random.PCG64(4))
+    x = rng.standard_normal((400, 6)).round(1)
+    trees = fit(x, (x[:, 0] + x[:, 1] > 0).astype(float), n_trees=7, depth=3)
+    assert np.allclose(trees.margin(x), [brute_margin(trees, r) for r in x], atol=1e-12)
+
+
 # 6 language model
 
 def brute_ctw(units, train, depth):
@@ -341,6 +468,7 @@ def test_language_model(spark, odd, none):
         r = got[i]
         base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws) + math.log10((len(train) + 1) / (n + v + 1))
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i, 7, 2), len(ws) + 1, sum(c[w] > 0 for w in ws) + 1, n)
+        assert abs(r.bits_per_byte + r.score * math.log2(10) / sum(map(len, units[i]))) < 1e-9
         assert abs(r.base_score - base) < 1e-9 and abs(r.score - sum(cost[u] for u in units[i]) / math.log(10)) < 1e-8
     assert ctw.scores(odd).count() == len(ODD) and ctw.scores(none).count() == 0
 
@@ -383,6 +511,86 @@ def test_leaks(spark, none):
     assert leaks(none, b).count() == 0 and leaks(d, b.limit(0)).count() == 0
 
 
+def brute_leaks(docs, items):
+    """(doc, item) of all alignments of which a window agrees enough."""
+    cut = lambda t: (t or "").encode().lower().split()
+    out, numbers = set(), {}
+    number = lambda ws: np.array([numbers.setdefault(w, len(numbers)) for w in ws], np.int64)
+    its = [(i, number(cut(t))) for i, t in items if cut(t)]
+    for d, t in docs:
+        x = number(cut(t))
+        have = set(x.tolist())
+        for i, own in its:
+            n, w = len(own), min(15, len(own))
+            need = w if n < 8 else -(-4 * w // 5)
+            if sum(v in have for v in own.tolist()) < need:
+                continue
+            for base in range(w - n, len(x) - w + 1):
+                a, z = max(0, base), min(len(x), base + n)
+                eq = (x[a:z] == own[a - base : z - base]).astype(int)
+                if z - a >= w and np.convolve(eq, np.ones(w, int), "valid").max() >= need:
+                    out.add((d, i))
+                    break
+    return out
+
+
+def test_leaks_are_those_of_brute_force(spark):
+    from cairn.llm.decontam import leaks, without_leaks
+
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(60)] + ["the"] * 20
+    words = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(k, " ".join(words(rng.choice([1, 3, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 22, 30])))) for k in range(40)] + [(90, "the " * 20), (91, "the " * 9), (3, "again under one id of another text here now"), (None, "an item without id is found as well here"), (95, None), (96, " ")]
+    docs = []
+    for k in range(150):
+        own = rng.choice(items[:42])[1].split()
+        for j in rng.sample(range(len(own)), min(len(own), rng.randint(0, 5))):
+            own[j] = rng.choice(vocabulary)
+        docs.append((k, " ".join(words(rng.randint(0, 12)) + own[rng.choice([0, 0, 0, 2]) :] + words(rng.randint(0, 12)))))
+    docs += [(200, "the " * 400), (201, None), (202, ""), (203, " \n"), (None, "so an item without id is found as well here"), (204, docs[0][1]), (204, docs[0][1])]
+    want = brute_leaks(docs, items)
+    d = spark.createDataFrame([(*r, 1, 2, 3) for r in docs], "doc_id long, text string, row int, hits int, item_id int")
+    b = spark.createDataFrame([(*r, "x", 1) for r in items], "item_id long, text string, row string, doc_id int")
+    rows = leaks(d, b).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want and len(want) > 100
+    assert {(r.doc_id, r.item_id) for r in leaks(d, b.unionByName(b), block_bytes=900).collect()} == want
+    assert sum(r.doc_id == 204 for r in rows) == 2 * sum(x == 204 for x, _ in want)
+    bad = {x for x, _ in want}
+    assert sorted(str(r.doc_id) for r in without_leaks(d, b).collect()) == sorted(str(x) for x, _ in docs if x not in bad) and without_leaks(d, b).columns == d.columns
+
+
+def test_items_of_any_length_are_found_with_every_allowed_substitution():
+    from itertools import combinations
+
+    from cairn.llm.decontam import Index
+
+    for n in range(8, 17):
+        item = [f"t{k}" for k in range(n)]
+        index = Index.build([(1, " ".join(item))])
+        allowed = min(15, n) - -(-4 * min(15, n) // 5)
+        texts = [" ".join(["a", "b", *["x" if k in gone else w for k, w in enumerate(item)], "c"]).encode() for gone in combinations(range(n), allowed)]
+        assert all(index.find(texts)), n
+        if n <= 15:
+            more = [" ".join(["x" if k in gone else w for k, w in enumerate(item)]).encode() for gone in combinations(range(n), allowed + 1)]
+            assert not any(index.find(more)), n
+
+
+def test_repeated_words_take_bounded_memory():
+    import time
+    import tracemalloc
+
+    from cairn.llm.decontam import Index
+
+    for text, item in ((30_000, 200), (15_000, 2000), (30_000, 20)):
+        index = Index.build([(1, "word " * item), (2, "word " * 9 + "other " * 9)])
+        tracemalloc.start()
+        began = time.time()
+        got = index.find([b"word " * text, b"nothing here"])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got == [[(1, item, 15, 15, 0)], []] and peak < 200e6 and time.time() - began < 20
+
+
 # 8 token ids
 
 def test_tokens_round_trip(spark, odd, none, tmp_path):
@@ -411,41 +619,121 @@ def test_tokens_round_trip(spark, odd, none, tmp_path):
     assert some == {i: whole.encode(text[i], add_special_tokens=False).ids + [1] for i in (3, 17)}
 
 
+def test_other_vocabularies_encode_whole_texts():
+    import glob
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from cairn.llm.tokenout import PieceEncoder, default_vocabulary
+
+    folder = os.path.dirname(public_tokenizers.path("word_bpe_49k.json"))
+    assert PieceEncoder(default_vocabulary()).piecewise
+    others = 0
+    for path in sorted(glob.glob(f"{folder}/**/*.json", recursive=True)):
+        try:
+            whole = Tokenizer.from_file(path)
+        except Exception:  # noqa: BLE001 not a tokenizer's file
+            continue
+        pieces = PieceEncoder(path)
+        others += not pieces.piecewise
+        for t in ("", "Plain words, and more.  Two blanks", "Über\tstraße 中文 x\r\ny", "don't  I'LL 12 345"):
+            assert pieces.encode(t.encode()) == np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), path
+    assert others
+
+
 # 9 licences
 
+FILLER = ("prose of the old mill by the river where a man and his dog were walking to the town " * 10).split()
+
+
+def brute_windows(text):
+    """(paragraph, first word, words) of all windows."""
+    from cairn.llm.licenses import words
+
+    for k, part in enumerate(re.split(r"\n[ \t-\r]*\n", text or "")):
+        w = words(part)
+        for a in range(0, max(1, len(w)), 30):
+            if a == 0 or a + 30 < len(w):
+                yield k, a, w[a : a + 60]
+
+
+def brute_licences(rows, negatives):
+    """(doc, paragraph, family) -> (probability, overlap, confirmed): every window, triggers or not."""
+    from cairn.llm.licenses import FAMILIES, TEMPLATES, features, own_features, train
+
+    vocabulary, w, temperature = train(negatives)
+    own = own_features()
+    out = {}
+    for n, (doc, text) in enumerate(rows):
+        found = []
+        for k, a, ws in brute_windows(text):
+            grams = {f"{x} {y}" for x, y in zip(ws, ws[1:])}
+            z = (w[[vocabulary[g] for g in grams if g in vocabulary]].sum(0) + w[-1]) / temperature
+            p = np.exp(z - z.max())
+            p /= p.sum()
+            if p[0] < 0.5 and len(ws) > 1:
+                c = int(p[1:-1].argmax())
+                sure = p[1 + c] >= 0.6
+                over = max(min(1.0, len(grams & features(t)) / min(24, len(features(t)))) for t in TEMPLATES[FAMILIES[c]])
+                found.append((k, a, FAMILIES[c] if sure else "unknown", p[1 + c] if sure else 1 - p[0] - p[1 + c], over, bool(sure and over >= 0.5 and grams & own[c])))
+        for k, a, family, p, over, confirmed in found:
+            if family == "unknown" and any(f[0] == k and abs(f[1] - a) <= 30 and f[2] != "unknown" for f in found):
+                continue
+            old = out.get((n, doc, k, family))
+            out[n, doc, k, family] = max(old, (confirmed, p, -a, over)) if old else (confirmed, p, -a, over)
+    return Counter((doc, k, family, round(v[1], 9), round(v[3], 9), v[0]) for (_, doc, k, family), v in out.items())
+
+
 def test_licences(spark, odd, none):
-    from cairn.llm.licenses import FAMILIES, TEMPLATES, bigrams, features, sampled_lines, scan, train, CLASSES
+    from cairn.llm.licenses import FAMILIES, TEMPLATES, sampled_windows, scan
 
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = [(i, t, "en", "a", 1) for i, t in enumerate(t for ts in TEMPLATES.values() for t in ts)] + [(1000, "prose of the old mill\n\nReleased under the MIT License.\nmore prose", "en", "a", 1)]
-    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    df = plain.unionByName(spark.createDataFrame([(100_000 + r[0], *r[1:]) for r in rows], DOCS))
-    got = {(r.doc_id, r.paragraph): r for r in scan(df).collect()}
-    vocabulary, w, temperature = train(sampled_lines(df))
-    texts = [t for ts in TEMPLATES.values() for t in ts]
-    owner = [c for c, ts in enumerate(TEMPLATES.values()) for _ in ts]
-    want = {}
-    for r in df.collect():
-        for k, line in enumerate(r.text.split("\n")):
-            grams = bigrams(line)
-            hits = [vocabulary[g] for g in grams if g in vocabulary]
-            if hits:
-                z = (w[hits].sum(0) / math.sqrt(len(grams)) + w[-1]) / temperature
-                p = np.exp(z - z.max())
-                p /= p.sum()
-                if p[0] < 0.5:
-                    best = int(p[1:].argmax())
-                    over = max(len(grams & features(t)) / min(len(grams), len(features(t))) for t, c in zip(texts, owner) if c == best)
-                    want[r.doc_id, k] = (FAMILIES[best] if p[1 + best] >= 0.6 else "unknown", over)
-    assert {k: v.family for k, v in got.items()} == {k: v[0] for k, v in want.items()} and CLASSES[0] == "none"
-    assert all(abs(got[k].template_overlap - v[1]) < 1e-9 for k, v in want.items())
-    lines = {(r.doc_id, k) for r in docs.collect() for k, x in enumerate(r.text.split("\n")) if "icense" in x}
-    assert {k for k in got if k[0] < 100_000} == lines and all(got[k].confirmed for k in lines)
-    right = sum(got.get((100_000 + i, 0)) is not None and got[100_000 + i, 0].family == FAMILIES[owner[i]] for i in range(len(texts)))
-    assert right >= 0.9 * len(texts) and got[101_000, 2].family == "MIT"
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    texts = [(c, t) for c, ts in TEMPLATES.items() for t in ts]
+    more = [(100_000 + i, t) for i, (_, t) in enumerate(texts)]
+    more += [(200_000 + i, f"{' '.join(FILLER[:k])}\n{t} {' '.join(FILLER[:k])}") for i, (_, t) in enumerate(texts) for k in (40,)]
+    mit = next(t for t in TEMPLATES["MIT"] if t.startswith("Permission")).split()
+    foreign = ["Licensed under the Eclipse Public License, version 2.0.", "Distributed under the Boost Software License, Version 1.0.", "All rights reserved. Proprietary.", "Copyright 2021 ACME Corp. All rights reserved. Proprietary and confidential.", "Licensed under the Microsoft Public License."]
+    plain = ["He renewed his license in the city.", "The general public was under the impression that the version was free.", "prose of the old mill"]
+    more += [(300_000, "/*\n * " + " ".join(mit[:15]) + "\n * " + " ".join(mit[15:32]) + "\n * " + " ".join(mit[32:]) + "\n */"), (300_001, "first part\n \nReleased under the MIT License.\n\nmore prose"), (300_001, "first part\n \nReleased under the MIT License.\n\nmore prose"), (None, "Licensed under CC BY-NC 4.0.")]
+    more += [(400_000 + i, t) for i, t in enumerate(foreign)] + [(500_000 + i, t) for i, t in enumerate(plain)] + [(600_000, "word " * 20_000 + "Released under the MIT License. " + "word " * 9000)]
+    df = docs.unionByName(spark.createDataFrame([(*r, "en", "a", 1) for r in more], DOCS))
+    rows = scan(df).collect()
+    got = Counter((r.doc_id, r.paragraph, r.family, round(r.probability, 9), round(r.template_overlap, 9), r.confirmed) for r in rows)
+    assert got == brute_licences([(r.doc_id, r.text) for r in df.collect()], sampled_windows(df))
+    by = defaultdict(set)
+    for r in rows:
+        by[r.doc_id].add((r.paragraph, r.family, r.confirmed))
+    lines = {r.doc_id: x for r in docs.collect() for x in r.text.split("\n") if "icense" in x}
+    assert {i for i in by if i is not None and i < 100_000 and any(f[2] for f in by[i])} == set(lines)
+    assert {i for i in by if i is not None and i < 100_000} - set(lines) == {r.doc_id for r in docs.collect() if "All rights reserved." in r.text} - set(lines)
+    right = [by[100_000 + i] == {(0, c, True)} for i, (c, _) in enumerate(texts)] + [(0, c, True) in by[200_000 + i] for i, (c, _) in enumerate(texts)]
+    assert sum(right) >= 0.9 * len(right) and len(FAMILIES) == 12
+    assert by[300_000] == {(0, "MIT", True)} and by[300_001] == {(1, "MIT", True)} and sum(r.doc_id == 300_001 for r in rows) == 2 and by[None] == {(0, "CC-BY-NC", True)} and by[600_000] == {(0, "MIT", True)}
+    assert all(by[400_000 + i] == {(0, "unknown", False)} for i in range(len(foreign))) and not any(500_000 + i in by for i in range(len(plain)))
     assert scan(odd).count() == 0 and scan(none).count() == 0
 
 
+def test_licence_probabilities_are_calibrated(spark):
+    from cairn.llm import licenses as L
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    negatives = L.sampled_windows(docs)
+    vocabulary, w, temperature = L.train(negatives)
+    # licences, names, words and prose that neither training nor the temperature has seen
+    others = ["Licensed under the Eclipse Public License, version 2.0.", "Distributed under the Boost Software License, Version 1.0.", "Licensed under the Microsoft Public License.", "This file may be used under the terms of the Zope Public License.", "All rights reserved. Proprietary."]
+    rng = np.random.Generator(np.random.PCG64(99))
+    names, L._SYLLABLES[2] = "alpha brook cedar delta ember frost grove".split(), "al bro ce del em fro gro".split()
+    lines, y = L.variants(rng, FILLER + names, 6, 2, others)
+    rest = [" ".join(x[k : k + 60]) for r in docs.limit(400).collect() for x in [L.words(r.text.replace("icense", "x").replace("rights", "x"))] for k in (0, 60)]
+    lines, y = lines + rest, np.array(y + [0] * len(rest))
+    p = L.softmax(L._vectors(lines, vocabulary) @ w / temperature)
+    top, sure = p.argmax(1), p.max(1)
+    bins = np.minimum((sure * 10).astype(int), 9)
+    error = sum(abs(sure[bins == b].mean() - (top == y)[bins == b].mean()) * (bins == b).mean() for b in set(bins.tolist()))
+    assert error < 0.05 and (top == y)[y > 0].mean() > 0.9 and (top == y)[y == len(L.CLASSES) - 1].mean() > 0.85
+
+
 # 10 languages
 
 def test_languages(spark, odd, none):
@@ -462,27 +750,93 @@ def test_languages(spark, odd, none):
     assert identify(none).count() == 0 and {r.lang_pred for r in identify(docs.withColumn("lang", docs.lang.substr(9, 1)).replace("", None, "lang").limit(5)).collect()} == {"und"}
 
 
+def test_languages_that_tie_go_by_name(spark):
+    from cairn.llm.langid import identify
+
+    rows = [(i, "same words in both", "zz" if i % 2 else "aa", 1) for i in range(1, 400)]
+    ids = {m: [i for i, *_ in rows if not held(i, 5, 0) and i % 2 == m] for m in (0, 1)}
+    n = min(map(len, ids.values()))
+    keep = set(ids[0][:n]) | set(ids[1][:n])
+    df = spark.createDataFrame([r for r in rows if r[0] in keep or held(r[0], 5, 0)], "doc_id long, text string, lang string, score int")
+    assert {(r.lang_pred, round(r.score, 9)) for r in identify(df).collect()} == {("aa", 0.5)}
+
+
 # pipeline
 
-def test_pipeline(spark):
+def shingle_set(t, k=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return frozenset(" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1)))
+
+
+def brute_first(rows):
+    """Of (doc_id, text) with different ids, the smallest id of each group of similar texts."""
+    sets = [(d, shingle_set(t)) for d, t in sorted(rows)]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, (_, x) in enumerate(sets):
+        for j in range(i):
+            y = sets[j][1]
+            if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and 9 * len(x & y) >= 4 * (len(x) + len(y)):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {sets[find(i)][0] for i in range(len(sets))}
+
+
+def brute_order(spark, docs):
+    """doc_ids in the order of the mixture, of a table whose sources fill one bucket each."""
+    from pyspark.sql import functions as F
+
+    rows = docs.select("doc_id", "source", F.xxhash64("doc_id").alias("h1"), F.xxhash64(*docs.columns).alias("h2")).collect()
+    by = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.h1, r.h2)):
+        by[r.source].append(r.doc_id)
+    names = sorted(by, key=lambda s: (s is not None, s or ""))
+    assert max(map(len, by.values())) <= 1024
+    slots = brute_slots([len(by[s]) ** 0.7 for s in names], [len(by[s]) // 64 + 1 for s in names])
+    return [d for _, s, k in slots for d in by[names[s]][64 * k : 64 * k + 64]]
+
+
+def test_pipeline_is_brute_force(spark):
+    """Every stage anew, in plain Python; only the trained trees are the library's."""
     pipeline = pytest.importorskip("corpus_pipeline")
     from tokenizers import Tokenizer
 
-    from cairn.llm import common, decontam, mixing, quality, simhash
+    from cairn.llm import quality
     from cairn.llm.tokenout import default_vocabulary
 
     docs, labels, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
-    good = {r.doc_id for r in quality.quality_scores(docs, labels).filter("predicted = 1").collect()}
-    kept = docs.filter(docs.doc_id.isin(sorted(good)))
-    first = {r.doc_id for r in simhash.simhash_groups(kept).filter("doc_id = component_id").collect()}
-    leaked = {r.doc_id for r in decontam.leaks(kept, bench).collect()}
-    final = docs.filter(docs.doc_id.isin(sorted(first - leaked)))
-    order = [r.row for r in mixing.mix(final).orderBy("position").collect()]
+    trees = quality.train(docs, labels)
+    rows = [(r.doc_id, r.text) for r in docs.collect() if 1 / (1 + math.exp(-brute_margin(trees, quality.statistics((r.text or "").encode())))) >= 0.3]
+    first = brute_first(rows)
+    leaked = {d for d, _ in brute_leaks([r for r in rows if r[0] in first], [(r.item_id, r.text) for r in bench.collect()])}
+    assert len(rows) < docs.count() and len(first) < len(rows) and leaked
+    final, text = docs.filter(docs.doc_id.isin(sorted(first - leaked))), dict(rows)
     whole = Tokenizer.from_file(default_vocabulary())
     start, want = 0, {}
-    for r in order:
-        ids = whole.encode(r.text, add_special_tokens=False).ids + [1]
-        want[r.doc_id] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    for d in brute_order(spark, final):
+        ids = whole.encode(text[d], add_special_tokens=False).ids + [1]
+        want[d] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
-    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in pipeline.run(spark, SF).collect()}
-    assert got == want and os.path.isdir(SF) and common.table(spark, SF, "documents").count() >= len(got)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in pipeline.run(spark, SF).collect()} == want
+
+
+def test_pipeline_bears_odd_tables(spark, odd, none, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    more = spark.createDataFrame([(*r, "x", 1) for r in [(50 + i, f"text number {i} of its own, " + " ".join(f"w{i}x{k}" for k in range(40 + i)), None if i % 3 else "s", "a" if i % 2 else None, 1) for i in range(30)]], DOCS + ", row string, fp long")
+    for name, df in (("odd", odd.unionByName(more)), ("none", none)):
+        for k, (_, stage) in enumerate(pipeline.STAGES):
+            df.write.parquet(str(tmp_path / f"{name}{k}"))
+            before = spark.read.parquet(str(tmp_path / f"{name}{k}"))
+            df = stage(spark, before, str(tmp_path))
+            if k < 4:
+                assert df.columns == before.columns
+        out = df.collect()
+        assert len(out) == (spark.read.parquet(str(tmp_path / f"{name}4")).count())
+        assert len(out) >= 30 if name == "odd" else not out
