@@ -23,6 +23,11 @@ RENAMES = [
     ("true_and_iff", "true_and"), ("and_true_iff", "and_true"), ("false_and_iff", "false_and"), ("and_false_iff", "and_false"),
     ("true_or_iff", "true_or"), ("or_true_iff", "or_true"), ("false_or_iff", "false_or"), ("or_false_iff", "or_false"),
 ]
+#: fixed values: the shorter list, for whole sources
+SOURCE_RENAMES = [
+    ("le_div_iff", "le_div_iff₀"), ("div_le_div_iff", "div_le_div_iff₀"), ("div_le_iff", "div_le_iff₀"), ("add_left_neg", "neg_add_cancel"),
+    ("add_right_neg", "add_neg_cancel"), ("true_and_iff", "true_and"), ("and_true_iff", "and_true"),
+]
 #: fixed values: patterns that mark tactics of the old version
 OLD_PATTERNS = [
     (r"\ble_div_iff\b(?!₀)", "le_div_iff (missing ₀ suffix)"), (r"\bdiv_le_div_iff\b(?!₀)", "div_le_div_iff (missing ₀ suffix)"),
@@ -172,3 +177,10 @@ def broken_state(state: Column) -> Column:
     """The state speaks of an error."""
     low = F.lower(state)
     return _any([low.contains(x) for x in ("sorry", "unknown identifier", "failed to synthesize")])
+
+
+def renamed_source(source: Column) -> Column:
+    """A source with the names of ``SOURCE_RENAMES`` replaced, and ``in`` behind a bound sum or product as ``∈``."""
+    for old, new in SOURCE_RENAMES:
+        source = F.regexp_replace(source, rf"(?U)(?<!\p{{No}})\b{old}\b(?!\p{{No}})", new)
+    return F.regexp_replace(source, r"(?U)([∑∏]\s+\w+)\s+in\s+", "$1 ∈ ")

@@ -263,7 +263,10 @@ def pattern_hits(p: DataFrame) -> DataFrame:
     """Hits of each old pattern by path and dead steps, with up to three examples."""
     rules = F.array(*[F.when(F.col("tactic_applied").rlike("(?U)" + rule), F.lit(name)) for rule, name in T.OLD_PATTERNS])
     rows = steps(p).select("on_path", "tactic_applied", F.explode(F.array_compact(rules)).alias("pattern"))
-    return rows.groupBy("pattern", "on_path").agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_set("tactic_applied")), 1, 3).alias("examples"))
+    by = rows.groupBy("pattern", "on_path", "tactic_applied").agg(F.count("*").alias("n"))
+    first = by.withColumn("at", F.row_number().over(W.partitionBy("pattern", "on_path").orderBy("tactic_applied"))).filter("at <= 3")
+    some = first.groupBy("pattern", "on_path").agg(F.array_sort(F.collect_list("tactic_applied")).alias("examples"))
+    return by.groupBy("pattern", "on_path").agg(F.sum("n").alias("n")).join(some, ["pattern", "on_path"])
 
 
 def lemma_references(p: DataFrame, k: int = 50) -> DataFrame:

@@ -44,6 +44,36 @@ def group_similarity(v: DataFrame, by: str, key: str) -> DataFrame:
     return out.select(by, "n", r6((F.col("ss") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("mean_cosine"))
 
 
+def pair_similarities(v: DataFrame, group: str, key: str, positive: str) -> DataFrame:
+    """kind, n, mean, std, least, median, most of the cosines, and l2 (mean distance), of pairs within a group.
+
+    kind is ``positive`` or ``negative`` for pairs of one label, each once, ``mixed`` for the others.
+    Groups are theorems, which a search's budget bounds; vectors without length have no cosine.
+    """
+    rows = v.select(group, key, positive, F.col("embedding").alias("e"), V.norm(F.col("embedding")).alias("len")).filter("len >= 1e-10")
+    a, b = rows.alias("a"), rows.alias("b")
+    pairs = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
+    cosine = V.dot(F.col("a.e"), F.col("b.e")) / (F.col("a.len") * F.col("b.len"))
+    far = F.sqrt(V.total(F.transform(F.zip_with("a.e", "b.e", lambda x, y: x.cast("double") - y), lambda d: d * d)))
+    p, q = F.col(f"a.{positive}"), F.col(f"b.{positive}")
+    pairs = pairs.select(F.when(p & q, "positive").when(p | q, "mixed").otherwise("negative").alias("kind"), cosine.alias("c"), far.alias("d"))
+    return pairs.groupBy("kind").agg(F.count("*").alias("n"), r6(F.avg("c")).alias("mean"), r6(F.stddev_pop("c")).alias("std"), r6(F.min("c")).alias("least"), r6(F.median("c")).alias("median"), r6(F.max("c")).alias("most"), r6(F.avg("d")).alias("l2"))
+
+
+def cosine_gap(v: DataFrame, key: str, positive: str, most: int = 100) -> DataFrame:
+    """One row: mean cosine within the first ``most`` positives by key, that between them and as many negatives, and the gap.
+
+    The samples are the feature: two bounded lists of vectors are compared, whatever the table.
+    """
+    rows = v.select(key, positive, F.col("embedding").alias("e"), V.norm(F.col("embedding")).alias("len"))
+    first = lambda ok, k=most: rows.filter(F.col(positive) == ok).orderBy(key).limit(k)
+    k = min(first(True).count(), first(False).count())
+    cosine = V.dot(F.col("a.e"), F.col("b.e")) / (F.greatest(F.col("a.len"), F.lit(1e-9)) * F.greatest(F.col("b.len"), F.lit(1e-9)))
+    within = first(True).alias("a").join(F.broadcast(first(True).alias("b")), F.col(f"a.{key}") != F.col(f"b.{key}")).agg(F.avg(cosine).alias("within"))
+    cross = first(True, k).alias("a").crossJoin(F.broadcast(first(False, k).alias("b"))).agg(F.avg(cosine).alias("cross"))
+    return within.crossJoin(F.broadcast(cross)).select(r6(F.col("within")).alias("within"), r6(F.col("cross")).alias("cross"), r6(F.col("within") - F.col("cross")).alias("gap"))
+
+
 def energy_metrics(e: DataFrame, margin: float = 1.0) -> DataFrame:
     """e: energies (array; the positive's first). Means, gap, rank and pairwise accuracy, active share, spread, losses."""
     pos, neg = F.col("energies")[0], F.slice("energies", 2, F.greatest(F.size("energies") - 1, F.lit(0)))

@@ -3,13 +3,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import proofs as P
 from ..functions import text as T
-from . import analytics, tree
+from . import analytics
+from .forest import in_trees, runs
 
 #: fixed values: heads whose behaviour changed between versions
 SENSITIVE = ["nlinarith", "linarith", "norm_num", "simp", "simp_all", "field_simp", "ring_nf", "omega", "positivity", "aesop", "decide", "rw"]
@@ -124,12 +127,12 @@ def unchanged_chains(traj: DataFrame) -> DataFrame:
     """theorem_name, state_id, chain: how many steps in a row, this one and up, left all targets as they were."""
     goals = F.filter(F.split("state_pp", "\n\n"), lambda g: T.strip(g) != "")
     targets = F.array_join(F.transform(goals, lambda g: F.when(g.contains("⊢"), T.strip(F.substring_index(g, "⊢", -1))).otherwise(g)), "\n\n")
-    rows = traj.withColumn("target", targets)
-    parent = rows.select(F.col("theorem_name").alias("t"), F.col("state_id").alias("p"), F.col("target").alias("before"))
-    same = rows.join(parent, (F.col("theorem_name") == F.col("t")) & (F.col("parent_state_id") == F.col("p")), "left").select("theorem_name", "state_id", F.coalesce(F.col("target") == F.col("before"), F.lit(False)).alias("same"))
-    up = tree.ancestors(same.filter("same"), traj).join(same, ["theorem_name", "state_id"])
-    chain = up.groupBy("theorem_name", F.col("start_id").alias("state_id")).agg(F.coalesce(F.min(F.when(~F.col("same"), F.col("steps"))), F.max("steps") + 1).cast("long").alias("chain"))
-    return traj.select("theorem_name", "state_id").join(chain, ["theorem_name", "state_id"], "left").select("theorem_name", "state_id", F.coalesce("chain", F.lit(0)).alias("chain"))
+    def walk(f):
+        target = f.codes("target")
+        return [pa.array(runs(f, (f.up >= 0) & (target >= 0) & (target == target[np.maximum(f.up, 0)])))]
+
+    rows = traj.select("theorem_name", "state_id", "parent_state_id", targets.alias("target"))
+    return in_trees(rows, "chain bigint", walk).select("theorem_name", "state_id", "chain")
 
 
 def hardest(runs: list[DataFrame], k: int = 15) -> DataFrame:
@@ -221,3 +224,43 @@ def impact(tried: DataFrame, proved: DataFrame, broken: DataFrame, key: str = "t
     t, ok, bad = (F.count_if(c) for c in (F.col("tried") == 1, (F.col("tried") == 1) & (F.col("proved") == 1), (F.col("tried") == 1) & (F.col("broken") == 1)))
     rate = lambda a, b: r6(F.coalesce(100 * a / F.nullif(b, F.lit(0)), F.lit(0.0)))
     return m.agg(t.alias("tried"), ok.alias("proved"), bad.alias("broken"), (t - bad).alias("pool"), rate(ok, t).alias("rate"), rate(ok, t - bad).alias("adjusted_rate"), rate(F.count_if((F.col("tried") == 1) & ((F.col("proved") == 1) | (F.col("broken") == 1))), t).alias("upper_rate"))
+
+
+def head_counts(heads: DataFrame, k: int = 30) -> DataFrame:
+    """head, n, pct of all: the ``k`` commonest of a column ``head``, ties by name."""
+    by = heads.groupBy("head").agg(F.count("*").alias("n"))
+    total = by.agg(F.sum("n").alias("total"))  # one row
+    return by.crossJoin(F.broadcast(total)).select("head", "n", r6(100 * F.col("n") / F.col("total")).alias("pct")).orderBy(F.desc("n"), "head").limit(k)
+
+
+#: fixed values: the heads by which corpora are compared
+COMPARED = ["have", "nlinarith", "intro", "exact?", "field_simp", "simp_all", "linarith", "omega", "norm_num", "ring", "constructor", "rcases", "exact", "simp", "rw"]
+
+
+def compared_heads(corpora: dict[str, DataFrame], k: int = 30) -> DataFrame:
+    """head and one column of per cents for each corpus (a frame with ``head``), for the heads compared that any of them has.
+
+    Per cents are of the corpus; a head that isn't among its ``k`` commonest counts as 0.
+    """
+    parts = [head_counts(df, k).select("head", F.lit(name).alias("corpus"), "pct") for name, df in corpora.items()]
+    wide = reduce(DataFrame.unionByName, parts).filter(F.col("head").isin(COMPARED)).groupBy("head")
+    return wide.agg(*[F.coalesce(F.max(F.when(F.col("corpus") == name, F.col("pct"))), F.lit(0.0)).alias(name) for name in corpora]).filter(reduce(Column.__or__, [F.col(name) > 0 for name in corpora]))
+
+
+def compile_counts(results: DataFrame) -> DataFrame:
+    """Of files (status: ok, warn, error, timeout): how many of each, and the rate of those that compile; null of none."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    return results.agg(F.count("*").alias("total"), n("ok").alias("ok"), n("warn").alias("warnings"), n("error").alias("errors"), n("timeout").alias("timeouts"),
+                       F.round(F.try_divide(100 * (n("ok") + n("warn")), F.count("*")), 1).alias("pass_rate"))
+
+
+def with_files(ids: DataFrame, manifest: DataFrame) -> DataFrame:
+    """problem_id, filename: different ids that the manifest knows, with its last filename by ``seq``."""
+    files = manifest.groupBy("problem_id").agg(F.max_by("filename", "seq").alias("filename"))
+    return ids.select("problem_id").distinct().join(files, "problem_id")
+
+
+def with_problems(sources: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``sources`` (seq) with the manifest's problem_id, ``unknown_<seq>`` where it has none."""
+    known = manifest.groupBy("seq").agg(F.max("problem_id").alias("problem_id"))
+    return sources.join(known, "seq", "left").withColumn("problem_id", F.coalesce("problem_id", F.concat(F.lit("unknown_"), F.col("seq").cast("string"))))

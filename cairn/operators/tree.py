@@ -1,17 +1,19 @@
 """Search trees: rows keyed (theorem_name, state_id), edges to parent_state_id.
 
-Ids must be unique within a theorem; :func:`checked` says so where they aren't.
+Ids must be unique within a theorem: walks up the tree raise where they aren't, and :func:`checked` asks before.
 """
 from __future__ import annotations
 
 import json
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import tune
+from .forest import in_trees, reached_from, runs, to_first_proof
 
 
 def theorem():
@@ -32,35 +34,33 @@ def checked(traj: DataFrame) -> DataFrame:
     return traj
 
 
-def ancestors(starts: DataFrame, traj: DataFrame, most: int = 200) -> DataFrame:
+def ancestors(starts: DataFrame, traj: DataFrame) -> DataFrame:
     """theorem_name, start_id, state_id, steps: from each start up to the root, the start included.
 
     A state met before ends the walk, as does a missing parent.
     """
-    tune(traj.sparkSession)
-    nodes = traj.select("theorem_name", F.col("state_id").cast("long").alias("state_id"), F.col("parent_state_id").cast("long").alias("parent_state_id"))
-    return traj.sparkSession.sql(f"""
-        WITH RECURSIVE up(theorem_name, start_id, state_id, parent_state_id, steps, seen) MAX RECURSION LEVEL {most} AS (
-          SELECT n.theorem_name, n.state_id, n.state_id, n.parent_state_id, 0, array(n.state_id)
-          FROM {{starts}} s JOIN {{nodes}} n ON n.theorem_name = s.theorem_name AND n.state_id = s.state_id
-          UNION ALL
-          SELECT n.theorem_name, u.start_id, n.state_id, n.parent_state_id, u.steps + 1, array_append(u.seen, n.state_id)
-          FROM up u JOIN {{nodes}} n ON n.theorem_name = u.theorem_name AND n.state_id = u.parent_state_id
-          WHERE NOT array_contains(u.seen, n.state_id))
-        SELECT theorem_name, start_id, state_id, steps FROM up""", starts=starts.select("theorem_name", "state_id"), nodes=nodes)
-
+    def walk(f):
+        ids, _ = f.numbers("state_id")
+        below = [[] for _ in range(f.n)]
+        for row in np.flatnonzero(f.flags("starts_")).tolist():
+            for k, r in enumerate(f.path(row)):
+                below[r].append({"start_id": int(ids[row]), "steps": k})
+        return [pa.array(below, pa.list_(pa.struct([("start_id", pa.int64()), ("steps", pa.int32())])))]
 
-def terminals(traj: DataFrame) -> DataFrame:
-    return traj.filter("is_proof_complete").select("theorem_name", "state_id")
+    nodes = traj.select("theorem_name", F.col("state_id").cast("long").alias("state_id"), F.col("parent_state_id").cast("long").alias("parent_state_id"))
+    marked = nodes.join(starts.select("theorem_name", F.col("state_id").cast("long").alias("state_id")).distinct().withColumn("starts_", F.lit(True)), ["theorem_name", "state_id"], "left")
+    rows = in_trees(marked, "below array<struct<start_id:bigint,steps:int>>", walk)
+    return rows.select("theorem_name", "state_id", F.explode("below").alias("b")).select("theorem_name", "b.start_id", "state_id", "b.steps")
 
 
-def label_paths(traj: DataFrame, most: int = 200) -> DataFrame:
+def label_paths(traj: DataFrame) -> DataFrame:
     """Adds label and remaining_depth: the path to a theorem's first complete state is positive, with
-    the steps that remain; all other rows are negative, with -1."""
-    first = traj.filter("is_proof_complete").groupBy("theorem_name").agg(F.min("state_id").alias("state_id"))
-    path = ancestors(first, traj, most).select(F.col("theorem_name").alias("t"), F.col("state_id").alias("s"), "steps")
-    joined = traj.drop("label", "remaining_depth").join(path, (F.col("theorem_name") == F.col("t")) & (F.col("state_id") == F.col("s")), "left")
-    return joined.withColumn("label", F.when(F.col("steps").isNotNull(), "positive").otherwise("negative")).withColumn("remaining_depth", F.coalesce("steps", F.lit(-1)).cast("int")).drop("t", "s", "steps")
+    the steps that remain; all other rows are negative, with -1. Raises where ids repeat."""
+    def walk(f):
+        steps = to_first_proof(f)
+        return [pa.array(np.where(steps >= 0, "positive", "negative")), pa.array(steps.astype(np.int32))]
+
+    return in_trees(traj.drop("label", "remaining_depth"), "label string, remaining_depth int", walk)
 
 
 def proof_steps(traj: DataFrame) -> DataFrame:
@@ -92,8 +92,8 @@ def leaves(traj: DataFrame) -> DataFrame:
 
 def backed_up(traj: DataFrame) -> DataFrame:
     """theorem_name, state_id, successes (complete states at or below), q = successes / visits (0 unvisited)."""
-    up = ancestors(terminals(traj), traj).groupBy("theorem_name", "state_id").agg(F.count("*").alias("successes"))
-    out = traj.select("theorem_name", "state_id", "visits").join(up, ["theorem_name", "state_id"], "left").withColumn("successes", F.coalesce("successes", F.lit(0)))
+    rows = traj.select("theorem_name", "state_id", "parent_state_id", "visits", "is_proof_complete")
+    out = in_trees(rows, "successes bigint", lambda f: [pa.array(reached_from(f, f.flags("is_proof_complete") & f.identified))])
     return out.select("theorem_name", "state_id", "successes", F.when(F.col("visits") > 0, F.col("successes") / F.col("visits")).otherwise(0.0).alias("q"))
 
 
@@ -117,11 +117,8 @@ def scored(prepared: DataFrame, **weights) -> DataFrame:
 
 def have_chains(prepared: DataFrame) -> DataFrame:
     """theorem_name, state_id, chain: how many steps in a row, this one and up, begin with ``have ``."""
-    starts = prepared.filter(F.col("tactic_applied").startswith("have ")).select("theorem_name", "state_id")
-    up = ancestors(starts, prepared)
-    tactic = prepared.select("theorem_name", "state_id", (~F.col("tactic_applied").startswith("have ")).alias("stop"))
-    chain = up.join(tactic, ["theorem_name", "state_id"]).groupBy("theorem_name", "start_id").agg(F.coalesce(F.min(F.when(F.col("stop"), F.col("steps"))), F.max("steps") + 1).alias("chain"))
-    return prepared.select("theorem_name", "state_id").join(chain.withColumnRenamed("start_id", "state_id"), ["theorem_name", "state_id"], "left").select("theorem_name", "state_id", F.coalesce("chain", F.lit(0)).cast("long").alias("chain"))
+    rows = prepared.select("theorem_name", "state_id", "parent_state_id", F.col("tactic_applied").startswith("have ").alias("have"))
+    return in_trees(rows, "chain bigint", lambda f: [pa.array(runs(f, f.flags("have")))]).select("theorem_name", "state_id", "chain")
 
 
 def fewer_children(traj: DataFrame, most: int) -> DataFrame:

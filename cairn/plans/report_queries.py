@@ -58,19 +58,32 @@ traj("deep_negatives", R.deep_negatives, "SELECT count(DISTINCT theorem_name) AS
 traj("class_balance", R.class_balance, """SELECT min(pos) AS min_pos, list_sort(list(pos))[count(*) // 2 + 1] AS mid_pos, max(pos) AS max_pos, min(neg) AS min_neg, list_sort(list(neg))[count(*) // 2 + 1] AS mid_neg, max(neg) AS max_neg,
   count(*) FILTER (pos > 0 AND neg > 0) AS eligible, count(*) FILTER (neg < 3) AS few_negatives
   FROM (SELECT theorem_name, count(*) FILTER (label = 'positive') AS pos, count(*) FILTER (label = 'negative') AS neg FROM traj GROUP BY 1)""")
-traj("unchanged_chains", R.unchanged_chains, "SELECT theorem_name, state_id, 0 AS chain FROM traj")
+traj("unchanged_chains", lambda t: R.unchanged_chains(t.withColumn("state_pp", F.expr("concat(repeat('h : ℕ\\n', depth_from_root), '⊢ goal_', cast(state_id % 2 as string))"))), """, rp AS (SELECT theorem_name, state_id, parent_state_id, state_id % 2 AS g FROM raw),
+ch AS (SELECT c.theorem_name, c.state_id AS s, p.parent_state_id AS up, c.g, 1 AS k FROM rp c JOIN rp p ON p.theorem_name = c.theorem_name AND p.state_id = c.parent_state_id AND p.g = c.g
+  UNION ALL SELECT ch.theorem_name, ch.s, r.parent_state_id, ch.g, ch.k + 1 FROM ch JOIN rp r ON r.theorem_name = ch.theorem_name AND r.state_id = ch.up AND r.g = ch.g)
+SELECT r.theorem_name, r.state_id, coalesce(max(k), 0)::BIGINT AS chain FROM rp r LEFT JOIN ch ON ch.theorem_name = r.theorem_name AND ch.s = r.state_id GROUP BY 1, 2""")
 traj("step_pairs_summary", lambda t: R.pairs_summary(t.select(F.col("theorem_name").alias("theorem"), F.col("state_pp").alias("state"), F.col("tactic_applied").alias("tactic"))), """SELECT count(DISTINCT theorem_name) AS theorems, count(*) AS pairs, round(count(*) / count(DISTINCT theorem_name), 6) AS per_theorem,
   round(avg(length(tactic_applied)), 6) AS avg_length, max(length(tactic_applied)) AS max_length, round(100 * avg((length(state_pp) - length(replace(state_pp, '⊢', '')) > 1)::INT), 6) AS multi_goal_pct FROM traj""")
 prep("depth_stats", lambda p: R.depth_stats(p.filter("on_path"), "theorem_name", "depth_from_root"), """SELECT count(*) AS n, round(median(d), 6) AS median, round(avg(d), 6) AS mean, count(*) FILTER (d >= 3) AS deep, round(100 * avg((d >= 3)::INT), 6) AS deep_pct
   FROM (SELECT theorem_name, max(depth_from_root) AS d FROM prep WHERE on_path GROUP BY 1)""")
 prep("rate_by_depth", R.rate_by_depth, "SELECT CASE WHEN max_depth < 2 THEN '0-1' WHEN max_depth < 4 THEN '2-3' WHEN max_depth < 6 THEN '4-5' ELSE '6+' END AS bucket, count(*) AS theorems, count(*) FILTER (proved) AS proved, round(100 * avg(proved::INT), 6) AS rate FROM roll GROUP BY 1")
 prep("random_rank_one", R.random_rank_one, "SELECT count(*) AS points, round(100 * avg(share), 6) AS rank_one FROM (SELECT count(*) FILTER (on_path) / count(*) AS share FROM branch GROUP BY theorem_name, parent_state_id)")
-prep("sensitive_heads", R.sensitive_heads, """SELECT head, path, dead, round(100 * path / (SELECT count(*) FROM step WHERE proved AND on_path), 6) AS path_pct, round(100 * dead / (SELECT count(*) FROM step WHERE proved AND NOT on_path), 6) AS dead_pct
-  FROM (SELECT head, count(*) FILTER (on_path) AS path, count(*) FILTER (NOT on_path) AS dead FROM step WHERE proved AND head IN ('simp', 'rw') GROUP BY 1) WHERE path + dead >= 5""")
+_HEADS = ["nlinarith", "intro", "linarith", "norm_num", "simp", "simp_all", "field_simp", "have", "ring_nf", "omega", "positivity", "aesop", "decide", "rw"]
+prep("sensitive_heads", lambda p: R.sensitive_heads(p.withColumn("head", F.element_at(F.array(*[F.lit(x) for x in _HEADS]), F.expr(f"CAST(state_id % {len(_HEADS)} AS INT) + 1")))), f""", hd AS (SELECT ({_HEADS!r})[state_id % {len(_HEADS)} + 1] AS head, on_path FROM step WHERE proved)
+SELECT head, count(*) FILTER (on_path) AS path, count(*) FILTER (NOT on_path) AS dead, round(100 * count(*) FILTER (on_path) / (SELECT count(*) FROM hd WHERE on_path), 6) AS path_pct, round(100 * count(*) FILTER (NOT on_path) / (SELECT count(*) FROM hd WHERE NOT on_path), 6) AS dead_pct
+  FROM hd WHERE head NOT IN ('intro', 'have') GROUP BY 1 HAVING count(*) >= 5""")
 prep("best_candidates", lambda p: R.best_candidates(p.filter("not is_root"), ["theorem_name", "parent_state_id"], "tactic_applied", "llm_log_prob", "state_id").select("theorem_name", "state_id", "place"), """SELECT theorem_name, state_id, row_number() OVER (PARTITION BY theorem_name, parent_state_id ORDER BY llm_log_prob DESC, state_id) AS place
   FROM (SELECT *, row_number() OVER (PARTITION BY theorem_name, parent_state_id, tactic_applied ORDER BY state_id) AS k FROM step) WHERE k = 1""")
-prep("hardest_unproved", lambda p: R.hardest([g.select(F.col("theorem_name").alias("theorem"), "proved", "nodes") for g in [p.groupBy("theorem_name").agg(F.max("proved").alias("proved"), F.count("*").alias("nodes"))] * 2]), "SELECT theorem_name AS theorem, 2 * nodes AS nodes FROM roll WHERE NOT proved ORDER BY nodes DESC, theorem LIMIT 15")
-prep("subjects", lambda p: R.subjects(p.groupBy("theorem_name").agg(F.max("proved").alias("proved")), "theorem_name", "proved"), "SELECT 'thm' AS subject, count(*) AS total, count(*) FILTER (proved) AS proved FROM roll")
+def _runs(p):
+    """Two runs: all nodes; the even ones, with proofs that start at some complete even node."""
+    some = p.filter("state_id % 2 = 0")
+    return [p.groupBy(F.col("theorem_name").alias("theorem")).agg(F.max("is_proof_complete").alias("proved"), F.count("*").alias("nodes")).filter("nodes % 5 <> 0"), some.groupBy(F.col("theorem_name").alias("theorem")).agg(F.max("is_proof_complete").alias("proved"), F.count("*").alias("nodes"))]
+
+
+prep("hardest_unproved", lambda p: R.hardest(_runs(p)), """, r1 AS (SELECT theorem_name AS theorem, bool_or(is_proof_complete) AS proved, count(*) AS nodes FROM raw GROUP BY 1 HAVING count(*) % 5 <> 0), r2 AS (SELECT theorem_name AS theorem, bool_or(is_proof_complete) AS proved, count(*) AS nodes FROM raw WHERE state_id % 2 = 0 GROUP BY 1)
+SELECT theorem, coalesce(r1.nodes, 0) + coalesce(r2.nodes, 0) AS nodes FROM r1 FULL JOIN r2 USING (theorem) WHERE NOT coalesce(r1.proved, false) AND NOT coalesce(r2.proved, false) ORDER BY nodes DESC, theorem LIMIT 15""")
+_NAME = "CASE CAST(substr(theorem_name, 5) AS INT) % 4 WHEN 0 THEN concat('imo_', theorem_name) WHEN 1 THEN concat('putnam.', theorem_name) WHEN 2 THEN 'single' ELSE theorem_name END"
+prep("subjects", lambda p: R.subjects(p.groupBy("theorem_name").agg(F.max("proved").alias("proved")).withColumn("name", F.expr(_NAME)), "name", "proved"), f"SELECT split_part(replace({_NAME}, '.', '_'), '_', 1) AS subject, count(*) AS total, count(*) FILTER (proved) AS proved FROM roll GROUP BY 1")
 prep("depth_ramps", lambda p: p.select("theorem_name", "state_id", N.whole_ramp(F.col("depth_from_root"), 1024, 256, 8).alias("tokens"), F.round(N.ramp(F.col("depth_from_root"), 0.8, 1.2, 8), 6).alias("temperature")), """SELECT theorem_name, state_id, 1024 - floor(768 * depth_from_root / 8)::BIGINT AS tokens, round(0.8 + 0.4 * depth_from_root / 8, 6) AS temperature FROM prep""")
 
 

@@ -80,7 +80,9 @@ prep("rank_summary_ebm_lower_better", lambda p: A.rank_summary(A.sibling_ranks(p
 prep("rank_histogram", lambda p: A.rank_histogram(A.sibling_ranks(p)), _LP + "SELECT CAST(rank AS INTEGER) AS rank, count(*) AS n FROM ranks GROUP BY 1 ORDER BY 1 LIMIT 10")
 prep("hypotheses_by_depth", A.hypotheses_by_depth, "SELECT depth_from_root, count(*) AS n, round(avg(hypotheses), 6) AS mean_hypotheses, round(avg(state_size / greatest(goal_count, 1)), 6) AS chars_per_goal FROM prep GROUP BY 1")
 prep("root_description", A.root_description, "SELECT proved, count(*) AS n, round(avg(state_size), 6) AS mean, round(stddev_samp(state_size), 6) AS std, CAST(min(state_size) AS INTEGER) AS least, quantile_cont(state_size, 0.25) AS q25, quantile_cont(state_size, 0.5) AS q50, quantile_cont(state_size, 0.75) AS q75, CAST(max(state_size) AS INTEGER) AS most FROM prep WHERE is_root GROUP BY 1")
-prep("topic_rates", A.topic_rates, "SELECT 'number_theory' AS topic, count(*) AS total, count(*) FILTER (proved) AS solved, round(100 * count(*) FILTER (proved) / count(*), 6) AS rate FROM prep WHERE is_root AND contains(state_pp, 'ℕ') GROUP BY 1 UNION ALL SELECT 'other', count(*), count(*) FILTER (proved), round(100 * count(*) FILTER (proved) / count(*), 6) FROM prep WHERE is_root AND NOT contains(state_pp, 'ℕ') HAVING count(*) > 0")
+_USER, _TELLING = "CAST(substr(theorem_name, 5) AS INT)", ["prime p", "Continuous f", "subgroup H", "Finset.card s", "Matrix n", "triangle ABC", "∑ i, f i", "ℝ → ℚ", "x = y", "prime p, Matrix n", None, "deriv f : ℝ"]
+prep("topic_rates", lambda p: A.topic_rates(p.withColumn("state_pp", F.element_at(F.array(*[F.lit(x) for x in _TELLING]), F.expr(f"{_USER} % {len(_TELLING)} + 1")))), f""", t AS (SELECT unnest(([['number_theory'], ['analysis'], ['abstract_algebra'], ['combinatorics'], ['linear_algebra'], ['geometry'], ['series_sums'], ['real_arithmetic'], ['other'], ['number_theory', 'linear_algebra'], ['other'], ['analysis']])[{_USER} % {len(_TELLING)} + 1]) AS topic, proved FROM prep WHERE is_root)
+SELECT topic, count(*) AS total, count(*) FILTER (proved) AS solved, round(100 * count(*) FILTER (proved) / count(*), 6) AS rate FROM t GROUP BY topic""")
 prep("theorem_rollup", lambda p: A.rollup(p).withColumn("have_frac", A.r6(F.col("have_frac"))), "SELECT * REPLACE (round(have_frac, 6) AS have_frac) FROM roll")
 prep("rollup_summary", A.rollup_summary, "SELECT proved, count(*) AS theorems, round(avg(nodes), 6) AS mean_nodes, median(nodes) AS median_nodes, round(avg(max_depth), 6) AS mean_depth, round(avg(have_frac), 6) AS mean_have, round(sum(positives) / sum(nodes), 6) AS efficiency FROM roll GROUP BY proved")
 prep("dead_have_fraction", A.dead_have_fraction, ", b AS (SELECT avg((head = 'have')::INT) AS f FROM step WHERE proved AND NOT on_path GROUP BY theorem_name) SELECT count(*) AS theorems, round(avg(f), 6) AS mean_fraction FROM b")
@@ -104,10 +106,17 @@ prep("log_prob_distribution", lambda p: A.distribution(A.steps(p), "llm_log_prob
 prep("tactic_bigrams", A.bigrams, ", b AS (SELECT head AS a, lead(head) OVER (PARTITION BY theorem_name ORDER BY depth_from_root, state_id) AS b FROM step WHERE on_path) SELECT a, b, count(*) AS n FROM b WHERE b IS NOT NULL GROUP BY 1, 2 ORDER BY n DESC, a, b LIMIT 20")
 prep("path_strings", A.path_strings, "SELECT theorem_name, string_agg('d' || depth_from_root || ':' || head || '(' || state_size || ')', ' → ' ORDER BY depth_from_root, state_id) AS path FROM prep WHERE on_path GROUP BY 1")
 prep("nodes_per_depth", A.nodes_per_depth, "SELECT proved, count(*) AS n, round(avg(nodes / nullif(max_depth, 0)), 6) AS nodes_per_depth FROM roll GROUP BY proved")
-prep("pattern_hits", A.pattern_hits)
-prep("lemma_references", A.lemma_references)
+_OLD = ["rw [le_div_iff]", "rw [div_le_div_iff]", "simp [add_left_neg]", "rw [∑ i in S, f i]", "exact nat.succ_pos x", "split", "push_cast at h", "norm_num", "exact_mod_cast h", "rw [le_div_iff₀]", "simp [true_and_iff] ; norm_cast"]
+prep("pattern_hits", lambda p: A.pattern_hits(p.withColumn("tactic_applied", F.element_at(F.array(*[F.lit(x) for x in _OLD]), F.expr(f"CAST(state_id % {len(_OLD)} AS INT) + 1")))), f""", old AS (SELECT on_path, ({_OLD!r})[state_id % {len(_OLD)} + 1] AS tactic, unnest(([['le_div_iff (missing ₀ suffix)'], ['div_le_div_iff (missing ₀ suffix)'], ['add_left_neg (renamed to neg_add_cancel)'], ['old BigOperators notation (∑ x in S)'], ['old Nat namespace (nat. → Nat.)'], ['split (context: may need constructor in Lean 4)'], ['push_cast (check compatibility)'], [],
+  ['exact_mod_cast (may be deprecated)'], [], ['true_and_iff (renamed to true_and)', 'norm_cast (check compatibility)']])[state_id % {len(_OLD)} + 1]) AS pattern FROM step)
+SELECT pattern, on_path, count(*) AS n, list_sort(list(DISTINCT tactic))[1:3] AS examples FROM old GROUP BY 1, 2""")
+prep("lemma_references", A.lemma_references, """, named AS (SELECT on_path, unnest(string_split(regexp_extract(tactic_applied, '\\[(.*)\\]', 1), ',')) AS lemma FROM step WHERE tactic_applied LIKE 'rw [%' OR tactic_applied LIKE 'simp [%' UNION ALL SELECT on_path, substr(tactic_applied, 7) FROM step WHERE tactic_applied LIKE 'exact %')
+SELECT trim(lemma) AS lemma, count(*) AS n, count(*) FILTER (on_path) AS path_n FROM named WHERE length(trim(lemma)) > 2 GROUP BY 1 ORDER BY n DESC, lemma LIMIT 50""")
 prep("head_profile", A.head_profile, ", b AS (SELECT count(*) AS n FROM step GROUP BY head), c AS (SELECT n, n / sum(n) OVER () AS s FROM b) SELECT CAST(sum(n) AS BIGINT) AS steps, count(*) AS heads, round(sum(-s * log2(s)), 6) AS entropy_bits FROM c")
 prep("depth_buckets", A.depth_buckets, ", b AS (SELECT max_depth, count(*) AS n, count(*) FILTER (proved) AS proved FROM roll GROUP BY 1) SELECT max_depth, n, proved, round(100 * sum(n) OVER (ORDER BY max_depth) / sum(n) OVER (), 6) AS cumulative_pct, round(100 * proved / n, 6) AS rate FROM b")
 prep("eval_rollup", A.eval_rollup, "SELECT theorem_name, bool_or(is_proof_complete) AS proved, count(*) AS nodes, max(depth_from_root) AS max_depth, min(depth_from_root) FILTER (is_proof_complete) AS proof_depth, (max(timestamp_ms) - min(timestamp_ms)) / 1000 AS time_secs FROM prep GROUP BY 1")
 prep("eval_totals", A.eval_totals, ", b AS (SELECT bool_or(is_proof_complete) AS proved, count(*) AS nodes, (max(timestamp_ms) - min(timestamp_ms)) / 1000 AS t FROM prep GROUP BY theorem_name) SELECT count(*) FILTER (proved) AS solved, count(*) AS total, round_even(count(*) FILTER (proved) / count(*), 4) AS rate, round_even(avg(nodes), 1) AS avg_nodes, round(avg(t), 6) AS avg_time, round(coalesce(median(t), 0), 6) AS median_time FROM b")
-QUERIES["tree_render"] = lambda spark, sf_dir: G.rendered(traces.labelled(spark, sf_dir))
+traj("tree_render", lambda t: G.rendered(t).select("theorem_name", "tree"), """, kid AS (SELECT *, llm_log_prob + ebm_score AS score, row_number() OVER (PARTITION BY theorem_name, parent_state_id ORDER BY llm_log_prob + ebm_score DESC, state_id) AS r FROM traj),
+walk AS (SELECT theorem_name, state_id, [r] AS place, 0 AS level FROM kid WHERE parent_state_id IS NULL UNION ALL SELECT k.theorem_name, k.state_id, list_append(w.place, k.r), w.level + 1 FROM walk w JOIN kid k ON k.theorem_name = w.theorem_name AND k.parent_state_id = w.state_id)
+SELECT w.theorem_name, string_agg(repeat('  ', w.level) || CASE WHEN k.is_proof_complete THEN '✓' WHEN k.label = 'positive' THEN '★' ELSE '✗' END || ' ' || CASE WHEN k.tactic_applied = '' THEN '(root)' ELSE k.tactic_applied END || ' [' || printf('%.3f', k.score) || ']', chr(10) ORDER BY w.place) AS tree
+FROM walk w JOIN kid k ON k.theorem_name = w.theorem_name AND k.state_id = w.state_id GROUP BY 1""")

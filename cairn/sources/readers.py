@@ -76,8 +76,9 @@ def embeddings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def usable_embeddings(rows: DataFrame, least: float = 1e-6) -> DataFrame:
-    """Without vectors that have no length; one of the rows of each state."""
-    return rows.filter(V.norm(F.col("embedding")) >= least).groupBy("state_pp").agg(F.max("embedding").alias("embedding"))
+    """Without vectors that have no length; of the rows of a state the last, in the order of files and rows."""
+    rows = rows.withColumn("at", F.monotonically_increasing_id()).filter(V.norm(F.col("embedding")) >= least)
+    return rows.groupBy("state_pp").agg(F.max_by("embedding", "at").alias("embedding"))
 
 
 def whole_texts(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
