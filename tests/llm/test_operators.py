@@ -452,6 +452,24 @@ def brute_ctw(units, train, depth):
     return {u: cost(u) for u in units}
 
 
+def brute_word_depth(texts, train, cost):
+    """Logs of the texts' probabilities: of each unit after the one before, from its own cost and all training pairs."""
+    from math import lgamma
+
+    after = defaultdict(Counter)
+    for i in train:
+        for a, b in zip([None, *texts[i]], texts[i]):
+            after[a][b] += 1
+    strengths = [8.0**k for k in range(7)]
+
+    def probability(a, b):
+        n, kinds, p = sum(after[a].values()), len(after[a]), math.exp(cost[b])
+        fits = [math.exp((kinds - 1) * math.log(s) - lgamma(s + n) + lgamma(s + 1)) if n else 1.0 for s in strengths]
+        return sum(f / sum(fits) * (after[a][b] + s * p) / (n + s) for f, s in zip(fits, strengths))
+
+    return {i: sum(math.log(probability(a, b)) for a, b in zip([None, *us], us)) for i, us in texts.items()}
+
+
 def test_language_model(spark, odd, none):
     from cairn.llm import ctw
 
@@ -464,15 +482,35 @@ def test_language_model(spark, odd, none):
     n, v = sum(c.values()) + len(train), len(c) + 1
     units = {i: [w + b" " for w in ws[:-1]] + [(ws[-1] if ws else b"") + b"\xff"] for i, ws in words.items()}
     cost = brute_ctw({u for us in units.values() for u in us}, Counter(u for i in train for u in units[i]), ctw.D)
+    want = brute_word_depth(units, train, cost)
     for i, ws in words.items():
         r = got[i]
         base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws) + math.log10((len(train) + 1) / (n + v + 1))
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i, 7, 2), len(ws) + 1, sum(c[w] > 0 for w in ws) + 1, n)
         assert abs(r.bits_per_byte + r.score * math.log2(10) / sum(map(len, units[i]))) < 1e-9
-        assert abs(r.base_score - base) < 1e-9 and abs(r.score - sum(cost[u] for u in units[i]) / math.log(10)) < 1e-8
+        assert abs(r.base_score - base) < 1e-9 and abs(r.score - want[i] / math.log(10)) < 1e-5
+    spread = {r.doc_id: r.score for r in ctw.scores(spark.createDataFrame(rows, DOCS), chunk_bytes=100, part_bytes=20, hot_tokens=2).collect()}
+    assert all(abs(spread[i] - got[i].score) < 1e-5 for i in got)
     assert ctw.scores(odd).count() == len(ODD) and ctw.scores(none).count() == 0
 
 
+def test_language_model_beats_the_unigrams(spark):
+    from pyspark.sql import functions as F
+
+    from cairn.llm import ctw
+
+    r = ctw.scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert r.s > r.b
+
+
+def test_packed_arrays():
+    from cairn.llm import ctw
+
+    arrays = [np.array([0, 1, 255, 256, 2**63], np.uint64), np.array([], np.int64), np.array([1.5, -2.25], np.float32), np.array([True, False]), np.array([7, 0, 0], np.int32)]
+    for a, b in zip(arrays, ctw._unpack(ctw._pack(*arrays)), strict=True):
+        assert np.array_equal(a.astype(b.dtype), b)
+
+
 def test_log_gamma():
     from cairn.llm.ctw import log_gamma
 
