@@ -152,13 +152,13 @@ def top_tree(key: np.ndarray, below: np.ndarray, n0: np.ndarray, n1: np.ndarray)
 
 def word_depth(n: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For contexts with so many training units, so many of them different: logs of g, b such that a unit seen k times has k g + b p."""
-    both, row = np.unique(np.stack([n, kinds]), axis=1, return_inverse=True)
-    big, t = both.astype(np.float64)[:, :, None]
+    (ns, at), (ts, of) = (np.unique(x, return_inverse=True) for x in (n, kinds))
+    both, row = np.unique(at * len(ts) + of, return_inverse=True)
+    big, t = ns[both // len(ts)].astype(np.float64)[:, None], ts[both % len(ts)].astype(np.float64)[:, None]
     a = STRENGTHS[None, :]
     fit = np.where(big > 0, (t - 1) * np.log(a) - log_gamma(a + np.maximum(big, 1)) + log_gamma(a + 1), 0.0)
     w = np.exp(fit - fit.max(1, keepdims=True))
     w /= w.sum(1, keepdims=True)
-    row = row.reshape(-1)
     return np.log((w / (big + a)).sum(1))[row], np.log((w * a / (big + a)).sum(1))[row]
 
 
@@ -176,19 +176,22 @@ class _Numbers(dict):
         return n
 
 
+_TYPES = [np.uint64, np.uint32, np.float32]
+
+
 def _pack(*arrays) -> bytes:
     """Arrays (of whole numbers from 0, single floats, or bytes) as planes of bytes, each compressed by itself."""
     z, out = zstandard.ZstdCompressor(level=1), []
     for x in arrays:
         x = np.asarray(x)
         if x.dtype.kind in "bui":
-            x = x.astype(np.uint64)
+            x = x.astype(np.uint64 if x.dtype.itemsize == 8 else np.uint32)
             width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
         else:
             width = 4
             x = x.astype(np.float32)
         planes = x.view(np.uint8).reshape(len(x), x.dtype.itemsize)[:, :width]
-        out.append(np.array([x.dtype.itemsize, width, len(x)], np.int64).tobytes())
+        out.append(np.array([_TYPES.index(x.dtype), width, len(x)], np.int64).tobytes())
         for k in range(width):
             packed = z.compress(np.ascontiguousarray(planes[:, k]).tobytes())
             out += [np.int64(len(packed)).tobytes(), packed]
@@ -199,14 +202,14 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     """What :func:`_pack` was given: whole numbers come back as uint64."""
     z, at, out = zstandard.ZstdDecompressor(), 0, []
     while at < len(data):
-        size, width, n = np.frombuffer(data, np.int64, 3, at).tolist()
+        kind, width, n = np.frombuffer(data, np.int64, 3, at).tolist()
         at += 24
-        planes = np.zeros((n, size), np.uint8)
+        planes = np.zeros((n, np.dtype(_TYPES[kind]).itemsize), np.uint8)
         for k in range(width):
             length = int(np.frombuffer(data, np.int64, 1, at)[0])
             planes[:, k] = np.frombuffer(z.decompress(data[at + 8 : at + 8 + length]), np.uint8)
             at += 8 + length
-        out.append(planes.reshape(-1).view(np.uint64 if size == 8 else np.float32))
+        out.append(planes.reshape(-1).view(_TYPES[kind]).astype(np.float32 if kind == 2 else np.uint64, copy=False))
     return out
 
 
@@ -239,36 +242,43 @@ class _Pairs:
     their second unit's part.
     """
 
-    def __init__(self, numbers, starts, part, parts: int, frequent, over):
+    def __init__(self, numbers, starts, part, parts: int, frequent, over, counted=None):
         size = len(part) - 1
-        first = np.empty_like(numbers)
-        first[1:] = numbers[:-1]
-        first[starts] = size
-        self.key = first * size + numbers
-        self.different = np.unique(self.key)
-        self.first, self.second = self.different // size, self.different % size
-        self.part = part[self.first]
+        key = np.empty(len(numbers), np.int64)
+        key[1:] = numbers[:-1]
+        key[starts] = size
+        key *= size
+        key += numbers
+        if counted is None:  # of each token its pair
+            different, self.pair = np.unique(key, return_inverse=True)
+        else:  # of each pair how many tokens count
+            key <<= 1
+            key |= counted
+            key.sort()
+            new = np.flatnonzero(np.diff(key >> 1, prepend=-1))
+            different, n = key[new] >> 1, np.add.reduceat(key & 1, new)
+        del key
+        first, second = (different // size).astype(np.int32), (different % size).astype(np.int32)
+        del different
+        to = part[first]
         if len(frequent):
             spread = np.ones(size + 1, np.int64)
             spread[frequent] = over
-            self.part = (self.part + part[self.second] % spread[self.first]) % parts
-        self.order = np.argsort(self.part, kind="stable")
-        self.part, self.first, self.second = (x[self.order] for x in (self.part, self.first, self.second))
+            to = (to + part[second] % spread[first]) % parts
+        self.order = np.argsort(to, kind="stable")
+        self.part, self.first, self.second = (x[self.order] for x in (to, first, second))
+        self.n = None if counted is None else n[self.order]
         self.new = np.flatnonzero((np.diff(self.first, prepend=-1) != 0) | (np.diff(self.part, prepend=-1) != 0))
         self.many = np.diff(self.new, append=len(self.first))
 
-    def counts(self, counted: np.ndarray) -> np.ndarray:
-        """How often each pair occurs among the tokens that count."""
-        return np.bincount(np.searchsorted(self.different, self.key[counted]), minlength=len(self.different))[self.order]
-
-    def blobs(self, n: np.ndarray, context: np.ndarray, second: np.ndarray):
+    def blobs(self, context: np.ndarray, second: np.ndarray):
         """Part and data: contexts, pairs of each, and second units, as differences, and counts; ``context`` and ``second`` have what stands for each unit."""
         for part, a, b in _bounds(self.part):
             i, j = np.searchsorted(self.new, (a, b))
             new, u = self.new[i:j] - a, second[self.second[a:b]]
             step = np.diff(u, prepend=np.uint64(0))
             step[new] = u[new]
-            yield part, _pack(np.diff(context[self.first[self.new[i:j]]], prepend=np.uint64(0)), self.many[i:j], step, n[a:b])
+            yield part, _pack(np.diff(context[self.first[self.new[i:j]]], prepend=np.uint64(0)), self.many[i:j], step, self.n[a:b])
 
 
 _ROW = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("chunk", pa.int64()), ("data", pa.binary()), ("tokens", pa.int64()), ("kinds", pa.int64())])
@@ -305,7 +315,7 @@ def frequent_words(texts: DataFrame, share: float, hot_tokens: int, parts: int,
     return {r.h: min(parts, -(-int(r.n / share) // hot_tokens) + 1) for r in found}
 
 
-def scores(docs: DataFrame, folds: int = 7, held: int = 2, chunk_bytes: int = 32_000_000, part_bytes: int = 20_000_000, hot_tokens: int = 2_000_000) -> DataFrame:
+def scores(docs: DataFrame, folds: int = 7, held: int = 2, chunk_bytes: int = 32_000_000, part_bytes: int = 12_000_000, hot_tokens: int = 2_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row of ``docs``.
 
     bits_per_byte is the code length of the scored bytes (words, single blanks and the end) by byte.
@@ -330,13 +340,15 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2, chunk_bytes: int = 32
 
         def close():
             lengths = np.array([len(t) for t in texts], np.int64)
-            numbers = np.frombuffer(b"".join(t.tobytes() for t in texts), np.uint32)
+            numbers = np.frombuffer(b"".join(texts), np.uint32)
             aside = np.array(out, bool)
             names = list(index)
+            texts.clear()
+            index.clear()
             ends = np.array([w[-1:] == b"\xff" for w in names])
             h = np.array([_word_hash(w[:-1] if e else w) for w, e in zip(names, ends.tolist())], np.uint64)
             order = np.lexsort((ends, h))
-            place = np.empty(len(order), np.int64)
+            place = np.empty(len(order), np.int32)
             place[order] = np.arange(len(order))
             h, ends, names = h[order], ends[order], [names[k] for k in order.tolist()]
             names = [w if e else w + b" " for w, e in zip(names, ends.tolist())]
@@ -344,7 +356,7 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2, chunk_bytes: int = 32
             counted = np.repeat(~aside, lengths)
             n, every = np.bincount(numbers[counted], minlength=len(h)), np.bincount(numbers, minlength=len(h))
             by_count = np.argsort(-every, kind="stable")  # the smaller the numbers, the smaller the file
-            rank = np.empty(len(h), np.int64)
+            rank = np.empty(len(h), np.int32)
             rank[by_count] = np.arange(len(h))
             known = np.array([i is not None for i in ids], bool)
             chunk = _task() << 32 | seq
@@ -353,9 +365,9 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2, chunk_bytes: int = 32
             data = _pack(np.array([i or 0 for i in ids], np.int64).view(np.uint64), known, aside, lengths, np.array(total, np.int64), np.diff(part, prepend=0), frequent, context[frequent], by_count, rank[numbers])
             yield _batch([(DOCS, seq % parts, chunk, data, int((~aside).sum()), 0)])
             made = [(UNITS, p, chunk, _pack(np.array(list(map(len, names[a:b])), np.int64), np.frombuffer(b"".join(names[a:b]), np.uint8), n[a:b]), 0, 0) for p, a, b in _bounds(part[:-1])]
-            pairs = _Pairs(numbers, lengths.cumsum() - lengths, part, parts, frequent, [hot[x] for x in context[frequent].tolist()])
+            pairs = _Pairs(numbers, lengths.cumsum() - lengths, part, parts, frequent, [hot[x] for x in context[frequent].tolist()], counted)
             second = (h >> np.uint64(48 - bits) << np.uint64(1)) | ends.astype(np.uint64)
-            made += [(PAIRS, p, chunk, blob, 0, 0) for p, blob in pairs.blobs(pairs.counts(counted), context, second)]
+            made += [(PAIRS, p, chunk, blob, 0, 0) for p, blob in pairs.blobs(context, second)]
             for a in range(0, len(made), 64):
                 yield _batch(made[a : a + 64])
 
@@ -494,7 +506,7 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2, chunk_bytes: int = 32
     def docs_back(sent: pd.DataFrame) -> pd.DataFrame:
         ids, known, aside, lengths, n_bytes, step, frequent, hashes, by_count, numbers = _unpack(sent[sent.kind == DOCS].data.iloc[0])
         known, aside, frequent = known > 0, aside > 0, frequent.astype(np.int64)
-        lengths, numbers = lengths.astype(np.int64), by_count.astype(np.int64)[numbers.astype(np.int64)]
+        lengths, numbers = lengths.astype(np.int64), by_count.astype(np.int32)[numbers.astype(np.int32)]
         back = lambda kind: [np.concatenate(x) for x in zip(*map(_unpack, sent[sent.kind == kind].sort_values("part").data))]
         c, cost = back(PRICES)
         c = c.astype(np.int64) - 1
@@ -515,7 +527,7 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2, chunk_bytes: int = 32
         price[old] = np.logaddexp(np.log(seen[old]) + g[old], price[old])
         by_pair = np.empty(len(price))
         by_pair[pairs.order] = price
-        score = total(by_pair[np.searchsorted(pairs.different, pairs.key)]) / scale
+        score = total(by_pair[pairs.pair]) / scale
         ids = ids.view(np.int64)
         return pd.DataFrame({
             "doc_id": pd.array(ids, "Int64") if known.all() else pd.array([int(i) if k else None for i, k in zip(ids, known)], "Int64"),
