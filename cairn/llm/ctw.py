@@ -315,7 +315,7 @@ def frequent_words(texts: DataFrame, share: float, hot_tokens: int, parts: int,
     return {r.h: min(parts, -(-int(r.n / share) // hot_tokens) + 1) for r in found}
 
 
-def scores(docs: DataFrame, folds: int = 7, held: int = 2, chunk_bytes: int = 32_000_000, part_bytes: int = 12_000_000, hot_tokens: int = 2_000_000) -> DataFrame:
+def scores(docs: DataFrame, folds: int = 7, held: int = 2, chunk_bytes: int = 10_000_000, part_bytes: int = 12_000_000, hot_tokens: int = 2_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row of ``docs``.
 
     bits_per_byte is the code length of the scored bytes (words, single blanks and the end) by byte.
