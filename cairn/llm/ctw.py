@@ -363,7 +363,7 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2, chunk_bytes: int = 10
             part, context = np.append(_part(h, parts), parts - 1), np.append(h, START)
             frequent = np.flatnonzero(np.isin(context, popular))
             data = _pack(np.array([i or 0 for i in ids], np.int64).view(np.uint64), known, aside, lengths, np.array(total, np.int64), np.diff(part, prepend=0), frequent, context[frequent], by_count, rank[numbers])
-            yield _batch([(DOCS, seq % parts, chunk, data, int((~aside).sum()), 0)])
+            yield _batch([(DOCS, (_task() * 17 + seq) % parts, chunk, data, int((~aside).sum()), 0)])
             made = [(UNITS, p, chunk, _pack(np.array(list(map(len, names[a:b])), np.int64), np.frombuffer(b"".join(names[a:b]), np.uint8), n[a:b]), 0, 0) for p, a, b in _bounds(part[:-1])]
             pairs = _Pairs(numbers, lengths.cumsum() - lengths, part, parts, frequent, [hot[x] for x in context[frequent].tolist()], counted)
             second = (h >> np.uint64(48 - bits) << np.uint64(1)) | ends.astype(np.uint64)
@@ -499,7 +499,7 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2, chunk_bytes: int = 10
             a += m
         return _frame(made)
 
-    units = of(PART).unionByName(codes.mapInArrow(priced, _ROW_DDL)).groupBy("part").applyInPandas(units_back, _ROW_DDL)
+    units = of(PART).unionByName(codes.mapInArrow(priced, _ROW_DDL)).repartition(parts, "part").groupBy("part").applyInPandas(units_back, _ROW_DDL)
     scale = float(np.log(10))
     floor = float(np.log10(n_all + v + 1))
 
@@ -534,7 +534,7 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2, chunk_bytes: int = 10
             "held_out": aside, "n_tokens": total((c >= 0).astype(np.int64)[numbers]) + 1, "n_known": total((c > 0).astype(np.int64)[numbers]) + (n_train > 0),
             "train_tokens": n_all, "base_score": total(base[numbers]) + np.log10(n_train + 1) - floor, "score": score, "bits_per_byte": -score * np.log2(10) / n_bytes.astype(np.float64)})
 
-    return of(DOCS, ANSWERS).unionByName(units).groupBy("chunk").applyInPandas(
+    return of(DOCS, ANSWERS).unionByName(units).repartition(parts, "chunk").groupBy("chunk").applyInPandas(
         docs_back, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 
 
