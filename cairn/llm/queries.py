@@ -1,7 +1,7 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 from __future__ import annotations
 
-from . import align, ann, chat, ctw, decontam, langid, licenses, mixing, quality, resample, simhash, tokenout
+from . import align, ann, chat, ctw, decontam, langid, licenses, mixing, quality, resample, simhash, tokenout, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_query,
@@ -14,12 +14,15 @@ QUERIES = {
     "op8_token_output": tokenout.op8_query,
     "op9_license_scan": licenses.op9_query,
     "op10_language_id": langid.op10_query,
+    "op11_warc": warc.op11_query,
     "op12_tokenizer_alignment": align.op12_query,
     "op13_importance_resampling": resample.op13_query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_chat_formatting": chat.OP4_SQL,
+    "op11_warc": warc.op11_query,
     "op12_tokenizer_alignment": align.op12_query,
+    "op11_warc": warc.OP11_SQL,
     "op13_importance_resampling": resample.OP13_SQL,
 }
