@@ -33,6 +33,8 @@ from .common import discard, materialise, shared_dir, table
 
 #: bytes of members in a value, and values in a file
 _VALUE, _VALUES = 2_000_000, 12
+#: bytes that a member's decompression is given at once
+_FED = 16_384
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 
@@ -171,17 +173,19 @@ def parsed(data: bytes):
         if data[at : at + 2] != b"\x1f\x8b":  # plain to the end
             yield from _plain(data[at:])
             return
-        member = zlib.decompressobj(31)
+        member, parts = zlib.decompressobj(31), []
         try:
-            text = member.decompress(memoryview(data)[at:])
+            while not member.eof and at < len(data):  # a little at a time: what is left over is copied
+                parts.append(member.decompress(data[at : at + _FED]))
+                at += _FED
         except zlib.error:
             yield {}, b"", "broken member"
             return
         if not member.eof:
-            yield from _plain(text, "truncated")
+            yield from _plain(b"".join(parts), "truncated")
             return
-        yield from _plain(text)
-        at = len(data) - len(member.unused_data)
+        yield from _plain(b"".join(parts))
+        at = min(at, len(data)) - len(member.unused_data)
 
 
 def _plain(text: bytes, wrong: str | None = None):
