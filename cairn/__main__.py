@@ -10,8 +10,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import stats
-from .operators import analytics, curate, reports, search, tree
+from .operators import analytics, curate, ranks, reports, search, tree
 from .sources import readers, writers
 
 
@@ -77,7 +76,8 @@ def evaluate(spark, args) -> DataFrame:
         attempts = one if attempts is None else attempts.unionByName(one)
     writers.trajectories(attempts, f"{args.output}/attempts")
     best = analytics.best_of(spark.read.parquet(f"{args.output}/attempts"))
-    totals = best.agg(F.count_if("proved").alias("solved"), F.count("*").alias("total"), F.avg(F.col("proved").cast("int")).alias("rate"), F.avg("nodes").alias("avg_nodes"), stats.median_or_zero(F.col("nodes")).alias("median_nodes"))
+    totals = best.agg(F.count_if("proved").alias("solved"), F.count("*").alias("total"), F.avg(F.col("proved").cast("int")).alias("rate"), F.avg("nodes").alias("avg_nodes"))
+    totals = ranks.beside(totals, ranks.percentiles(best, {"median_nodes": ("nodes", ranks.linear(0.5))}))
     writers.json_lines(totals, f"{args.output}/totals")
     return spark.read.json(f"{args.output}/totals")
 

@@ -1,30 +1,9 @@
-"""Three definitions of percentiles that must not be mixed up, and other statistics."""
+"""Statistics over scores; order statistics are in ``operators.ranks``."""
 from __future__ import annotations
 
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def linear_percentile(c: Column, p) -> Column:
-    """Interpolated between the two values around the rank."""
-    return F.percentile(c, p)
-
-
-def indexed_percentile(c: Column, p: float) -> Column:
-    """The value at index floor(p * n) of the sorted values, the last at most; 0 of none."""
-    s = F.sort_array(F.collect_list(c))
-    return F.when(F.count(c) == 0, 0).otherwise(F.get(s, F.least(F.floor(F.count(c) * p), F.count(c) - 1).cast("int")))
-
-
-def upper_median(c: Column) -> Column:
-    """The value at index n // 2 of the sorted values."""
-    return F.get(F.sort_array(F.collect_list(c)), F.floor(F.count(c) / 2).cast("int"))
-
-
-def median_or_zero(c: Column) -> Column:
-    return F.coalesce(F.median(c), F.lit(0.0))
-
-
 def auc(score: str, positive: str, df, cuts: int = 200):
     """Area under the ROC curve by rank sums, ties at their mean rank: one row, column auc.
 

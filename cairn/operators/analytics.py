@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import ranks, topk
 from .tree import siblings, theorem
 
 HAVE_LET = ("have", "let")
@@ -72,10 +73,14 @@ def have_against_others(p: DataFrame) -> DataFrame:
 
 
 def goal_delta(p: DataFrame, path_only: bool = True, least: int = 3) -> DataFrame:
-    """How a step changes the number of goals, by head; a complete state has none, a missing parent counts as 0."""
+    """By how many goals a step has fewer than its parent, by head; a complete state has none, an unknown parent counts as 0.
+
+    Steps without a parent are left out. up_pct is the share of steps that close goals.
+    """
     parent = p.select(F.col("theorem_name").alias("t"), F.col("state_id").alias("s"), F.col("goal_count").alias("pg"))
-    rows = steps(p).filter("on_path" if path_only else "true").join(parent, (F.col("theorem_name") == F.col("t")) & (F.col("parent_state_id") == F.col("s")), "left")
-    d = F.when(F.col("is_proof_complete"), 0).otherwise(F.col("goal_count")) - F.coalesce("pg", F.lit(0))
+    rows = steps(p).filter("parent_state_id is not null").filter("on_path" if path_only else "true")
+    rows = rows.join(parent, (F.col("theorem_name") == F.col("t")) & (F.col("parent_state_id") == F.col("s")), "left")
+    d = F.coalesce("pg", F.lit(0)) - F.when(F.col("is_proof_complete"), 0).otherwise(F.col("goal_count"))
     rows = rows.select("head", d.alias("d"))
     share = lambda c: r6(100 * F.count_if(c) / F.count("*"))
     return rows.groupBy("head").agg(F.count("*").alias("n"), r6(F.avg("d")).alias("mean_delta"), share(F.col("d") > 0).alias("up_pct"), share(F.col("d") < 0).alias("down_pct"), share(F.col("d") == 0).alias("same_pct")).filter(F.col("n") >= least)
@@ -83,36 +88,42 @@ def goal_delta(p: DataFrame, path_only: bool = True, least: int = 3) -> DataFram
 
 def state_size_by_depth(p: DataFrame) -> DataFrame:
     on, off = (F.when(F.col("on_path") == v, F.col("state_size")) for v in (True, False))
-    by = p.filter("proved").groupBy("depth_from_root").agg(F.count(on).alias("path_n"), F.avg(on).alias("a"), F.median(on).alias("path_median"), F.count(off).alias("dead_n"), F.avg(off).alias("b"), F.median(off).alias("dead_median"))
+    rows = p.filter("proved").select("depth_from_root", on.alias("on"), off.alias("off"))
+    by = rows.groupBy("depth_from_root").agg(F.count("on").alias("path_n"), F.avg("on").alias("a"), F.count("off").alias("dead_n"), F.avg("off").alias("b"))
+    by = ranks.beside(by, ranks.percentiles(rows, {"path_median": ("on", ranks.linear(0.5)), "dead_median": ("off", ranks.linear(0.5))}, "depth_from_root"), "depth_from_root")
     return by.select("depth_from_root", "path_n", r6(F.col("a")).alias("path_mean"), "path_median", "dead_n", r6(F.col("b")).alias("dead_mean"), "dead_median", r6(F.try_divide(F.col("a"), F.col("b"))).alias("ratio"))
 
 
-def top_heads_by_depth(p: DataFrame, k: int = 10) -> DataFrame:
-    by = steps(p).filter("on_path").groupBy("depth_from_root", "head").agg(F.count("*").alias("n"))
-    return by.withColumn("rank", F.row_number().over(W.partitionBy("depth_from_root").orderBy(F.desc("n"), "head"))).filter(F.col("rank") <= k)
+def top_heads_by_depth(p: DataFrame, k: int = 10, closing: bool = False) -> DataFrame:
+    """The commonest heads at each depth on paths of proved theorems; of the steps that complete a proof, if ``closing``."""
+    rows = steps(p).filter("proved AND on_path").filter("is_proof_complete" if closing else "true")
+    by = rows.groupBy("depth_from_root", "head").agg(F.count("*").alias("n")).withColumn("least", -F.col("n"))
+    return topk.first_k(by, ["depth_from_root"], ["least", "head"], k, "rank").drop("least")
 
 
 def closing_heads(p: DataFrame, k: int = 10) -> DataFrame:
-    return steps(p).filter("on_path AND is_proof_complete").groupBy("head").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "head").limit(k)
+    return steps(p).filter("proved AND on_path AND is_proof_complete").groupBy("head").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "head").limit(k)
 
 
 def first_step_diversity(p: DataFrame) -> DataFrame:
-    """By outcome: how many first steps theorems have, how many heads among them, what share is have or let."""
-    by = p.filter("depth_from_root = 1").groupBy("theorem_name", "proved").agg(F.count("*").alias("n"), F.count_distinct("head").alias("heads"), F.avg(F.col("head").isin(*HAVE_LET).cast("int")).alias("have"))
-    return by.groupBy("proved").agg(
-        F.count("*").alias("theorems"), r6(F.avg("n")).alias("mean_n"), r6(F.avg("heads")).alias("mean_heads"), F.median("heads").alias("median_heads"),
-        r6(F.percentile("have", 0.25)).alias("have_q25"), r6(F.percentile("have", 0.75)).alias("have_q75"), r6(F.avg("have")).alias("mean_have"), r6(100 * F.count_if(F.col("have") == 0) / F.count("*")).alias("no_have_pct"))
+    """By outcome, and over all (proved null): how many first steps theorems have, how many heads among them, what share is have or let."""
+    by = p.filter("depth_from_root = 1 AND NOT is_root").groupBy("theorem_name", "proved").agg(F.count("*").alias("n"), F.count_distinct("head").alias("heads"), F.avg(F.col("head").isin(*HAVE_LET).cast("int")).alias("have"))
+    each = by.select(F.explode(F.array(F.col("proved"), F.lit(None).cast("boolean"))).alias("proved"), "n", "heads", "have")
+    stats = each.groupBy("proved").agg(
+        F.count("*").alias("theorems"), r6(F.avg("n")).alias("mean_n"), r6(F.avg("heads")).alias("mean_heads"), r6(F.avg("have")).alias("mean_have"), r6(100 * F.count_if(F.col("have") == 0) / F.count("*")).alias("no_have_pct"))
+    spread = ranks.percentiles(each, {"median_heads": ("heads", ranks.linear(0.5)), "have_q25": ("have", ranks.linear(0.25)), "have_median": ("have", ranks.linear(0.5)), "have_q75": ("have", ranks.linear(0.75))}, "proved")
+    return ranks.beside(stats, spread, "proved").withColumns({c: r6(F.col(c)) for c in ("have_q25", "have_median", "have_q75")})
 
 
 def completion_groups(p: DataFrame) -> DataFrame:
-    """Siblings of one log probability come from one completion: how many groups, and how large."""
-    by = steps(p).groupBy("theorem_name", "parent_state_id", "llm_log_prob").agg(F.count("*").alias("n"))
-    return by.agg(F.count("*").alias("groups"), r6(F.avg("n")).alias("mean_size"), F.max("n").alias("max_size"))
+    """Siblings of one log probability come from one completion: how many groups, of how many nodes, and how large, in proved theorems."""
+    by = steps(p).filter("proved AND parent_state_id IS NOT NULL").groupBy("theorem_name", "parent_state_id", "llm_log_prob").agg(F.count("*").alias("n"))
+    return by.agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("nodes"), r6(F.coalesce(F.avg("n"), F.lit(0.0))).alias("mean_size"), F.coalesce(F.max("n"), F.lit(0)).alias("max_size"))
 
 
 def log_prob_by_depth(p: DataFrame, deepest: int = 12) -> DataFrame:
     on, off = (F.when(F.col("on_path") == v, F.col("llm_log_prob")) for v in (True, False))
-    return steps(p).filter(F.col("depth_from_root").between(1, deepest)).groupBy("depth_from_root").agg(F.count(on).alias("pos_n"), r6(F.avg(on)).alias("pos_mean"), F.count(off).alias("neg_n"), r6(F.avg(off)).alias("neg_mean"))
+    return steps(p).filter("proved").filter(F.col("depth_from_root").between(1, deepest)).groupBy("depth_from_root").agg(F.count(on).alias("pos_n"), r6(F.avg(on)).alias("pos_mean"), F.count(off).alias("neg_n"), r6(F.avg(off)).alias("neg_mean"))
 
 
 def sibling_ranks(p: DataFrame, score: str = "llm_log_prob", higher_better: bool = True) -> DataFrame:
@@ -122,8 +133,20 @@ def sibling_ranks(p: DataFrame, score: str = "llm_log_prob", higher_better: bool
     return ranked.groupBy("theorem_name", "parent_state_id").agg(F.min("depth_from_root").alias("depth"), F.first("n_siblings").alias("n_siblings"), F.min(F.when(F.col("on_path"), F.col("r"))).alias("rank"))
 
 
-def rank_summary(ranks: DataFrame, *by: str) -> DataFrame:
-    return ranks.groupBy(*by).agg(F.count("*").alias("n"), r6(F.avg((F.col("rank") == 1).cast("int"))).alias("rank1"), r6(F.avg("rank")).alias("mean_rank"), F.median("rank").alias("median_rank"), r6(F.avg(1 / F.col("n_siblings"))).alias("random_rank1"))
+def combined_ranks(p: DataFrame, alpha: float = 0.5, beta: float = 0.5) -> DataFrame:
+    """As :func:`sibling_ranks`, by alpha times the log probability and beta times the score together, higher being better."""
+    return sibling_ranks(p.withColumn("combined", alpha * F.col("llm_log_prob") + beta * F.col("ebm_score")), "combined")
+
+
+def scored_ranks(p: DataFrame, score: str = "ebm_score", higher_better: bool = False) -> DataFrame:
+    """As :func:`sibling_ranks`, over the branches whose on-path child has a score at all: states that weren't scored hold 0."""
+    scored = p.filter(F.col("on_path") & (F.col(score) != 0)).select("theorem_name", "parent_state_id").distinct()
+    return sibling_ranks(p, score, higher_better).join(scored, ["theorem_name", "parent_state_id"], "left_semi")
+
+
+def rank_summary(ranked: DataFrame, *by: str) -> DataFrame:
+    stats = ranked.groupBy(*by).agg(F.count("*").alias("n"), r6(F.avg((F.col("rank") == 1).cast("int"))).alias("rank1"), r6(F.avg("rank")).alias("mean_rank"), r6(F.avg(1 / F.col("n_siblings"))).alias("random_rank1"))
+    return ranks.beside(stats, ranks.percentiles(ranked, {"median_rank": ("rank", ranks.linear(0.5))}, *by), *by).select(*by, "n", "rank1", "mean_rank", "median_rank", "random_rank1")
 
 
 def with_sibling_bucket(ranks: DataFrame) -> DataFrame:
@@ -135,13 +158,22 @@ def rank_histogram(ranks: DataFrame, k: int = 10) -> DataFrame:
 
 
 def hypotheses_by_depth(p: DataFrame) -> DataFrame:
+    """Mean hypotheses of steps of proved theorems, on paths and off, and characters by goal."""
+    on, off = (F.when(F.col("on_path") == v, F.col("hypotheses")) for v in (True, False))
     per_goal = F.col("state_size") / F.greatest("goal_count", F.lit(1))
-    return p.groupBy("depth_from_root").agg(F.count("*").alias("n"), r6(F.avg("hypotheses")).alias("mean_hypotheses"), r6(F.avg(per_goal)).alias("chars_per_goal"))
+    return steps(p).filter("proved").groupBy("depth_from_root").agg(F.count(on).alias("path_n"), r6(F.avg(on)).alias("path_hypotheses"), F.count(off).alias("dead_n"), r6(F.avg(off)).alias("dead_hypotheses"), r6(F.avg(per_goal)).alias("chars_per_goal"))
 
 
 def root_description(p: DataFrame) -> DataFrame:
-    q = lambda x: F.percentile("state_size", x)
-    return p.filter("is_root").groupBy("proved").agg(F.count("*").alias("n"), r6(F.avg("state_size")).alias("mean"), r6(F.stddev_samp("state_size")).alias("std"), F.min("state_size").alias("least"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max("state_size").alias("most"))
+    roots = p.filter("is_root").select("proved", "state_size", "hypotheses")
+    stats = roots.groupBy("proved").agg(F.count("*").alias("n"), r6(F.avg("state_size")).alias("mean"), r6(F.stddev_samp("state_size")).alias("std"), F.min("state_size").alias("least"), F.max("state_size").alias("most"), r6(F.avg("hypotheses")).alias("mean_hypotheses"))
+    spread = {f"q{int(100 * q)}": ("state_size", ranks.linear(q)) for q in (0.25, 0.5, 0.75)}
+    return ranks.beside(stats, ranks.percentiles(roots, spread, "proved"), "proved")
+
+
+def root_goals(p: DataFrame) -> DataFrame:
+    """How many roots have so many goals, by outcome."""
+    return p.filter("is_root").groupBy("proved", "goal_count").agg(F.count("*").alias("n"))
 
 
 def topic_rates(p: DataFrame) -> DataFrame:
@@ -159,7 +191,9 @@ def rollup(p: DataFrame) -> DataFrame:
 
 
 def rollup_summary(p: DataFrame) -> DataFrame:
-    return rollup(p).groupBy("proved").agg(F.count("*").alias("theorems"), r6(F.avg("nodes")).alias("mean_nodes"), F.median("nodes").alias("median_nodes"), r6(F.avg("max_depth")).alias("mean_depth"), r6(F.avg("have_frac")).alias("mean_have"), r6(F.sum("positives") / F.sum("nodes")).alias("efficiency"))
+    by = rollup(p)
+    stats = by.groupBy("proved").agg(F.count("*").alias("theorems"), r6(F.avg("nodes")).alias("mean_nodes"), r6(F.avg("max_depth")).alias("mean_depth"), r6(F.avg("have_frac")).alias("mean_have"), r6(F.sum("positives") / F.sum("nodes")).alias("efficiency"))
+    return ranks.beside(stats, ranks.percentiles(by, {"median_nodes": ("nodes", ranks.linear(0.5))}, "proved"), "proved")
 
 
 def dead_have_fraction(p: DataFrame) -> DataFrame:
@@ -186,11 +220,21 @@ def near_misses(p: DataFrame, depth: int = 8, k: int = 25) -> DataFrame:
 
 
 def training_signal(p: DataFrame) -> DataFrame:
-    """Positives, negatives beside a positive and others, steps by exact?, and token lengths at 3.5 characters each."""
+    """Over steps of proved theorems: positives, negatives beside a positive and others; on paths also the steps whose head is exact?, how many of
+    those close a proof, and lengths in tokens of state and step together, at 3.5 characters each. Theorems by how many proofs they have."""
     beside = F.max("on_path").over(siblings()) & F.col("parent_state_id").isNotNull()
-    rows = steps(p).withColumn("hard", ~F.col("on_path") & beside).withColumn("tokens", F.col("state_size") / 3.5)
-    return rows.agg(F.count_if("on_path").alias("positives"), F.count_if("hard").alias("hard_negatives"), F.count_if(~F.col("on_path") & ~F.col("hard")).alias("easy_negatives"),
-                    F.count_if(F.col("tactic_applied").contains("exact?")).alias("exact_search"), r6(F.percentile("tokens", 0.95)).alias("tokens_p95"), F.count_if(F.col("tokens") > 2048).alias("over_2048"), F.count_if(F.col("tokens") > 4096).alias("over_4096"))
+    rows = steps(p).filter("proved").withColumn("hard", ~F.col("on_path") & beside)
+    rows = rows.withColumn("tokens", F.when(F.col("on_path"), (F.col("state_size") + F.length("tactic_applied")) / 3.5)).withColumn("search", F.col("on_path") & (F.col("head") == "exact?"))
+    stats = rows.agg(F.count_if("on_path").alias("positives"), F.count_if("hard").alias("hard_negatives"), F.count_if(~F.col("on_path") & ~F.col("hard")).alias("easy_negatives"), F.count_if("search").alias("exact_search"),
+                     F.count_if(F.col("search") & F.col("is_proof_complete")).alias("exact_search_closes"), F.count_if(F.col("tokens") > 2048).alias("over_2048"), F.count_if(F.col("tokens") > 4096).alias("over_4096"))
+    proofs = p.filter("is_proof_complete").groupBy("theorem_name").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") == 1).alias("single_proof"), F.count_if(F.col("n") > 1).alias("multi_proof"))
+    out = ranks.beside(ranks.beside(stats, proofs), ranks.percentiles(rows, {"tokens_p95": ("tokens", ranks.linear(0.95))}))
+    return out.withColumn("tokens_p95", r6(F.coalesce("tokens_p95", F.lit(0.0))))
+
+
+def positive_depths(p: DataFrame) -> DataFrame:
+    """Steps on paths of proved theorems, by depth."""
+    return steps(p).filter("proved AND on_path").groupBy("depth_from_root").agg(F.count("*").alias("n"))
 
 
 def preference_pairs(p: DataFrame) -> DataFrame:
@@ -202,11 +246,17 @@ def preference_pairs(p: DataFrame) -> DataFrame:
 
 
 def score_stats(p: DataFrame) -> DataFrame:
-    """By theorem and over all (theorem_name null): nodes by kind, and the spread of scores that aren't zero."""
-    nz = F.when(F.col("ebm_score") != 0, F.col("ebm_score"))
-    probe = F.col("tactic_applied").isin(*PROBES)
-    return p.rollup("theorem_name").agg(F.count("*").alias("nodes"), F.count_if("is_root").alias("roots"), F.count_if(~F.col("is_root") & probe).alias("probe_nodes"), F.count_if(~F.col("is_root") & ~probe).alias("model_nodes"),
-                                        F.count_if(F.col("ebm_score") == 0).alias("zero_ebm"), r6(F.median(nz)).alias("ebm_median"), r6(F.avg(nz)).alias("ebm_mean"), r6(F.min(nz)).alias("ebm_min"), r6(F.max(nz)).alias("ebm_max"), r6(F.median("llm_log_prob")).alias("lp_median"))
+    """By theorem and over all (theorem_name null): nodes by kind, and the spread of scores that aren't zero and of log probabilities.
+
+    Means are of nine decimals, so that they don't hang on the order of summation.
+    """
+    mean = lambda c: F.sum(F.col(c).cast("decimal(28,9)")).cast("double") / F.count(c)
+    rows = p.select(F.explode(F.array(F.col("theorem_name"), F.lit(None).cast("string"))).alias("theorem_name"), "is_root", F.col("tactic_applied").isin(*PROBES).alias("probe"),
+                    F.when(F.col("ebm_score") != 0, F.col("ebm_score")).alias("nz"), (F.col("ebm_score") == 0).alias("zero"), F.col("llm_log_prob").alias("lp"))
+    spread = [r6(f(c)).alias(f"{name}_{what}") for name, c in (("ebm", "nz"), ("lp", "lp")) for what, f in (("mean", mean), ("min", F.min), ("max", F.max))]
+    stats = rows.groupBy("theorem_name").agg(F.count("*").alias("nodes"), F.count_if("is_root").alias("roots"), F.count_if(~F.col("is_root") & F.col("probe")).alias("probe_nodes"), F.count_if(~F.col("is_root") & ~F.col("probe")).alias("model_nodes"), F.count_if("zero").alias("zero_ebm"), *spread)
+    middle = ranks.percentiles(rows, {"ebm_median": ("nz", ranks.linear(0.5)), "lp_median": ("lp", ranks.linear(0.5))}, "theorem_name")
+    return ranks.beside(stats, middle, "theorem_name").withColumns({c: r6(F.col(c)) for c in ("ebm_median", "lp_median")})
 
 
 def theorem_summary(p: DataFrame) -> DataFrame:
@@ -227,9 +277,14 @@ def proof_multiplicity(p: DataFrame) -> DataFrame:
 
 
 def time_to_proof(p: DataFrame) -> DataFrame:
-    """theorem_name, position of the first complete row in order of states, n, ratio; theorems of one row left out."""
-    rows = p.withColumn("pos", F.row_number().over(theorem().orderBy("state_id"))).groupBy("theorem_name").agg(F.min(F.when(F.col("is_proof_complete"), F.col("pos"))).alias("position"), F.count("*").alias("n"))
-    return rows.filter("position is not null AND n > 1").select("*", r6(F.col("position") / F.col("n")).alias("ratio"))
+    """theorem_name, position (from 0) of the first complete row in order of states, n, ratio; theorems of one row left out.
+
+    The position is the number of states below the first complete one, counted, not sorted.
+    """
+    first = F.min(F.when(F.col("is_proof_complete"), F.col("state_id"))).over(theorem())
+    rows = p.select("theorem_name", "state_id", first.alias("first")).filter("first is not null")
+    by = rows.groupBy("theorem_name").agg(F.count_if(F.col("state_id") < F.col("first")).alias("position"), F.count("*").alias("n"))
+    return by.filter("n > 1").select("*", r6(F.col("position") / F.col("n")).alias("ratio"))
 
 
 def time_to_proof_buckets(p: DataFrame) -> DataFrame:
@@ -239,8 +294,14 @@ def time_to_proof_buckets(p: DataFrame) -> DataFrame:
 
 
 def distribution(df: DataFrame, c: str, *by: str) -> DataFrame:
-    q = lambda x: r6(F.percentile(c, x))
-    return df.groupBy(*by).agg(F.count(c).alias("n"), r6(F.avg(c)).alias("mean"), q(0.5).alias("median"), q(0.25).alias("p25"), q(0.75).alias("p75"), r6(F.min(c)).alias("least"), r6(F.max(c)).alias("most"))
+    stats = df.groupBy(*by).agg(F.count(c).alias("n"), r6(F.avg(c)).alias("mean"), r6(F.min(c)).alias("least"), r6(F.max(c)).alias("most"))
+    spread = {"median": (c, ranks.linear(0.5)), "p25": (c, ranks.linear(0.25)), "p75": (c, ranks.linear(0.75))}
+    return ranks.beside(stats, ranks.percentiles(df, spread, *by), *by).select(*by, "n", "mean", *[r6(F.col(x)).alias(x) for x in spread], "least", "most")
+
+
+def log_prob_distribution(p: DataFrame) -> DataFrame:
+    """Log probabilities of steps of proved theorems, on paths and off."""
+    return distribution(steps(p).filter("proved"), "llm_log_prob", "on_path")
 
 
 def bigrams(p: DataFrame, k: int = 20) -> DataFrame:
@@ -264,19 +325,29 @@ def pattern_hits(p: DataFrame) -> DataFrame:
     rules = F.array(*[F.when(F.col("tactic_applied").rlike("(?U)" + rule), F.lit(name)) for rule, name in T.OLD_PATTERNS])
     rows = steps(p).select("on_path", "tactic_applied", F.explode(F.array_compact(rules)).alias("pattern"))
     by = rows.groupBy("pattern", "on_path", "tactic_applied").agg(F.count("*").alias("n"))
-    first = by.withColumn("at", F.row_number().over(W.partitionBy("pattern", "on_path").orderBy("tactic_applied"))).filter("at <= 3")
-    some = first.groupBy("pattern", "on_path").agg(F.array_sort(F.collect_list("tactic_applied")).alias("examples"))
+    some = topk.first_k(by.drop("n"), ["pattern", "on_path"], ["tactic_applied"], 3).groupBy("pattern", "on_path").agg(F.array_sort(F.collect_list("tactic_applied")).alias("examples"))
     return by.groupBy("pattern", "on_path").agg(F.sum("n").alias("n")).join(some, ["pattern", "on_path"])
 
 
-def lemma_references(p: DataFrame, k: int = 50) -> DataFrame:
-    """Lemmas named in rw [..], simp [..] and exact steps."""
+#: a fixed value: where steps name lemmas
+_NAMED = r"(?U)(?:rw|simp(?:\s*only)?)\s*\[([^\]]+)\]|exact\s+(\S+)"
+
+
+def named_lemmas(p: DataFrame) -> DataFrame:
+    """A row for each lemma a step names in rw [..], simp [..] or exact, arrows before it taken off; functions and names of two characters or fewer left out."""
     t = F.col("tactic_applied")
-    inside = F.concat(F.regexp_extract_all(t, F.lit(r"(?:rw|simp|simp only)\s*\[([^\]]*)\]"), F.lit(1)), F.regexp_extract_all(t, F.lit(r"exact\s+(\S+)"), F.lit(1)))
-    names = F.flatten(F.transform(inside, lambda x: F.split(x, ",")))
-    clean = F.transform(names, lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.trim(x), "^[←→]\\s*", ""), "^fun ", "")))
-    rows = steps(p).select("on_path", F.explode(clean).alias("lemma")).filter(F.length("lemma") > 2)
-    return rows.groupBy("lemma").agg(F.count("*").alias("n"), F.count_if("on_path").alias("path_n")).orderBy(F.desc("n"), "lemma").limit(k)
+    inside = F.concat(*[F.regexp_extract_all(t, F.lit(_NAMED), F.lit(group)) for group in (1, 2)])
+    clean = F.transform(F.flatten(F.transform(inside, lambda x: F.split(x, ","))), lambda x: T.strip(F.regexp_replace(T.strip(x), "^←*↑*↓*", "")))
+    return steps(p).select("on_path", "theorem_name", "state_id", F.substring(t, 1, 100).alias("tactic"), F.posexplode(clean).alias("at", "lemma")).filter((F.length("lemma") > 2) & ~F.col("lemma").startswith("fun "))
+
+
+def lemma_references(p: DataFrame, k: int = 50) -> DataFrame:
+    return named_lemmas(p).groupBy("lemma").agg(F.count("*").alias("n"), F.count_if("on_path").alias("path_n")).orderBy(F.desc("n"), "lemma").limit(k)
+
+
+def lemma_examples(p: DataFrame, k: int = 2) -> DataFrame:
+    """lemma, theorem_name, state_id, tactic, place: the first ``k`` steps that name each lemma."""
+    return topk.first_k(named_lemmas(p).select("lemma", "theorem_name", "state_id", "at", "tactic"), ["lemma"], ["theorem_name", "state_id", "at"], k).drop("at")
 
 
 def head_profile(p: DataFrame) -> DataFrame:
@@ -298,7 +369,9 @@ def eval_rollup(p: DataFrame) -> DataFrame:
 
 
 def eval_totals(p: DataFrame) -> DataFrame:
-    return eval_rollup(p).agg(F.count_if("proved").alias("solved"), F.count("*").alias("total"), F.bround(F.count_if("proved") / F.count("*"), 4).alias("rate"), F.bround(F.avg("nodes"), 1).alias("avg_nodes"), r6(F.avg("time_secs")).alias("avg_time"), r6(F.coalesce(F.median("time_secs"), F.lit(0.0))).alias("median_time"))
+    by = eval_rollup(p)
+    stats = by.agg(F.count_if("proved").alias("solved"), F.count("*").alias("total"), F.bround(F.try_divide(F.count_if("proved"), F.count("*")), 4).alias("rate"), F.bround(F.avg("nodes"), 1).alias("avg_nodes"), r6(F.avg("time_secs")).alias("avg_time"))
+    return ranks.beside(stats, ranks.percentiles(by, {"median_time": ("time_secs", ranks.linear(0.5))})).withColumn("median_time", r6(F.coalesce("median_time", F.lit(0.0))))
 
 
 def best_of(attempts: DataFrame) -> DataFrame:

@@ -10,9 +10,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import scans
 
 #: fixed values: steps too common to keep them all
-TRIVIAL = ["rfl", "simp", "ring", "omega", "norm_num", "linarith", "trivial", "exact?"]
+TRIVIAL = ["rfl", "trivial", "decide", "norm_num", "ring", "omega", "simp", "aesop"]
+#: rows that are sorted to find the last one drawn
+_EDGE = 10_000
 
 
 def hash_fraction(key: Column, seed: str = "") -> Column:
@@ -66,6 +69,20 @@ def remaining_depth(pairs: DataFrame, key: str, depth: str) -> DataFrame:
     return pairs.withColumn("remaining_depth", F.max(depth).over(W.partitionBy(key)) - F.col(depth))
 
 
+def separation_probe(states: DataFrame, state: str, label: str, depth: str, order: list[str]) -> DataFrame:
+    """state, label: different stripped states deeper than 1 that aren't blank, each with the label of its first row by ``order``.
+
+    Rows of other labels count when the first is chosen, and go then.
+    """
+    rows = states.filter(F.col(depth) > 1).select(T.strip(F.coalesce(F.col(state), F.lit(""))).alias("state"), F.col(label).alias("label"), F.struct(*order).alias("at")).filter("state <> ''")
+    return rows.groupBy("state").agg(F.min_by("label", "at").alias("label")).filter("label IN ('positive', 'negative')")
+
+
+def deepest(pairs: DataFrame, depth: str, *by: str) -> DataFrame:
+    """The greatest depth of each key."""
+    return pairs.groupBy(*by).agg(F.max(depth).alias("max_depth"))
+
+
 def distinct_first(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """One row for each key: the first by ``order``."""
     return rows.withColumn("rn_", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("rn_ = 1").drop("rn_")
@@ -77,34 +94,79 @@ def numbered_names(rows: DataFrame, name: str, *order: str) -> DataFrame:
     return rows.withColumn("unique_name", F.when(n > 0, F.concat(F.col(name), F.lit("__dup"), n.cast("string"))).otherwise(F.col(name)))
 
 
+def _hash(key: str, seed: str) -> Column:
+    return F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))
+
+
+def hash_edge(rows: DataFrame, key: str, n: int, seed: str = ""):
+    """The ``n``-th smallest (hash, key) of all rows, as a Row; None if there are no more than ``n``.
+
+    Ranges of hashes are counted, the one that holds the ``n``-th is counted more finely, until few rows are
+    left to sort: a pass leaves 65,536 counts at most, and no row is shuffled.
+    """
+    h, prefix, left = _hash(key, seed), "", n
+    while True:
+        inside = rows.filter(h.startswith(prefix))
+        counts = inside.groupBy(F.substring(h, len(prefix) + 1, 4).alias("next")).agg(F.count("*").alias("n")).orderBy("next").collect()
+        if not prefix and sum(c.n for c in counts) <= n:
+            return None
+        for c in counts:
+            if left <= c.n:
+                break
+            left -= c.n
+        prefix += c.next
+        if c.n <= _EDGE or len(prefix) == 32:
+            break
+    edge = rows.filter(h.startswith(prefix)).groupBy(h.alias("hash"), key).agg(F.count("*").alias("n")).orderBy("hash", key).limit(_EDGE).collect()
+    for e in edge:
+        left -= e.n
+        if left <= 0:
+            return e
+    raise ArithmeticError("too many keys share a hash")
+
+
+def under(key: str, edge, seed: str = "") -> Column:
+    """Whether a row's (hash, key) is at or below the edge."""
+    if edge is None:
+        return F.lit(True)
+    h = _hash(key, seed)
+    return (h < edge["hash"]) | ((h == edge["hash"]) & (F.col(key) <= F.lit(edge[key])))
+
+
 def hash_sample(rows: DataFrame, key: str, n: int, seed: str = "", *by: str) -> DataFrame:
-    """``n`` rows (of each ``by``): those with the lowest hashes."""
-    h = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))
+    """``n`` rows (of each ``by``): those with the lowest hashes, ties by key; all, where there are no more.
+
+    Keys should be unique: without ``by`` rows that share the last one drawn come together. Null keys are never drawn
+    without ``by``. With ``by``, counted hash ranges leave little more than ``n`` rows of a group to be sorted.
+    """
+    if n < 1:
+        return rows.limit(0)
     if not by:
-        return rows.orderBy(h, key).limit(n)
-    return rows.withColumn("rn_", F.row_number().over(W.partitionBy(*by).orderBy(h, key))).filter(F.col("rn_") <= n).drop("rn_")
+        rows = rows.filter(F.col(key).isNotNull())
+        return rows.filter(under(key, hash_edge(rows, key, n, seed), seed))
+    groups = F.struct(*[F.col(c) for c in by])
+    marked = rows.withColumn("h_", _hash(key, seed)).withColumn("g_", groups).withColumn("p_", F.coalesce(F.substring("h_", 1, 3), F.lit("")))
+    upto = marked.groupBy("g_", "p_").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(W.partitionBy("g_").orderBy("p_")) - F.col("n"))  # 4,097 rows a group at most
+    last = upto.filter(F.col("before") < n).groupBy(F.col("g_").alias("of_")).agg(F.max("p_").alias("last_"))
+    near = marked.join(last, (F.col("g_") == F.col("of_")) & (F.col("p_") <= F.col("last_")))
+    return near.withColumn("rn_", F.row_number().over(W.partitionBy("g_").orderBy("h_", key))).filter(F.col("rn_") <= n).select(*rows.columns)
 
 
 def validation_split(names: DataFrame, key: str, share: float = 0.1, seed: str = "") -> DataFrame:
     """Adds is_val to distinct keys: round(n * share) of them, the lowest hashes."""
-    n = names.count()
-    val = hash_sample(names, key, int(n * share + 0.5), seed).select(key, F.lit(True).alias("v_"))
-    return names.join(val, key, "left").withColumn("is_val", F.coalesce("v_", F.lit(False))).drop("v_")
+    n = int(names.count() * share + 0.5)
+    return names.withColumn("is_val", F.coalesce(under(key, hash_edge(names, key, n, seed), seed), F.lit(False)) if n else F.lit(False))
 
 
 def systematic_sample(ids: DataFrame, key: str, k: int) -> DataFrame:
     """Every max(1, n // k)-th of the sorted ids, the first ``k`` of them."""
     step = max(1, ids.count() // k)
-    return ranked(ids, key).filter(F.col("rank_") % step == 0).orderBy("rank_").limit(k).drop("rank_")
+    return ranked(ids, key).filter((F.col("rank_") % step == 0) & (F.col("rank_") < k * step)).drop("rank_")
 
 
 def ranked(rows: DataFrame, key: str) -> DataFrame:
-    """Adds rank_, the place by ``key`` from 0: sorted in parts, numbered from the parts' counts."""
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    parts = rows.repartitionByRange(key).sortWithinPartitions(key)
-    numbered = parts.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return rows.sparkSession.createDataFrame(numbered, StructType([*rows.schema.fields, StructField("rank_", LongType())]))
+    """Adds rank_, the place by ``key`` from 0."""
+    return scans.numbered(rows, "rank_", [key])
 
 
 def chunk_of(rank: Column, n: int, k: int) -> Column:
@@ -115,13 +177,9 @@ def chunk_of(rank: Column, n: int, k: int) -> Column:
 def packed(rows: DataFrame, key: str, tokens: str, length: int, eos: int, *by: str) -> DataFrame:
     """Streams of tokens, an end token after each row, cut into runs of ``length``; the rest is dropped.
 
-    Labels are the tokens, but -100 for end tokens. Runs are made within each ``by``.
+    Labels are the tokens, but -100 for end tokens. Runs are made within each ``by``; see :func:`scans.packed`.
     """
-    each = rows.select(*by, key, F.posexplode(F.concat(F.col(tokens), F.array(F.lit(eos)))).alias("i", "tok"), F.size(tokens).alias("n_"))
-    at = F.row_number().over(W.partitionBy(*by).orderBy(key, "i")) - 1
-    runs = each.withColumn("p", at).withColumn("run", F.floor(F.col("p") / length)).withColumn("lab", F.when(F.col("i") == F.col("n_"), -100).otherwise(F.col("tok")))
-    out = runs.groupBy(*by, "run").agg(F.array_sort(F.collect_list(F.struct("p", "tok", "lab"))).alias("r")).filter(F.size("r") == length)
-    return out.select(*by, "run", F.transform("r", lambda x: x["tok"]).alias("input_ids"), F.transform("r", lambda x: x["lab"]).alias("labels"))
+    return scans.packed(rows, tokens, length, eos, [key], by)
 
 
 def completion_labels(tokens: Column, template: list[int]) -> Column:

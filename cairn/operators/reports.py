@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions import proofs as P
 from ..functions import text as T
-from . import analytics
+from . import analytics, ranks, scans
 from .forest import in_trees, runs
 
 #: fixed values: heads whose behaviour changed between versions
-SENSITIVE = ["nlinarith", "linarith", "norm_num", "simp", "simp_all", "field_simp", "ring_nf", "omega", "positivity", "aesop", "decide", "rw"]
+SENSITIVE = ["rw", "simp", "simp_all", "norm_num", "linarith", "field_simp", "ring", "omega", "positivity", "norm_cast", "push_cast", "exact_mod_cast"]
 
 
 def r6(c: Column) -> Column:
@@ -23,14 +23,8 @@ def r6(c: Column) -> Column:
 
 
 def latency_percentiles(df: DataFrame, c: str, *by: str) -> DataFrame:
-    """p50, p95, p99: the values at places n / 2, 0.95 n, 0.99 n (rounded down) of the sorted values.
-
-    From counts of different values, so no group is collected.
-    """
-    counts = df.filter(F.col(c).isNotNull()).groupBy(*by, c).agg(F.count("*").alias("n"))
-    upto, n = F.sum("n").over(W.partitionBy(*by).orderBy(c)), F.sum("n").over(W.partitionBy(*by))
-    at = lambda q: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("all") * q), F.col("all") - 1), F.col(c)))
-    return counts.withColumn("upto", upto).withColumn("all", n).groupBy(*by).agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    """p50, p95, p99: the values at places n / 2, 0.95 n, 0.99 n (rounded down) of the sorted values."""
+    return ranks.percentiles(df, {"p50": (c, ranks.indexed(0.5)), "p95": (c, ranks.indexed(0.95)), "p99": (c, ranks.indexed(0.99))}, *by)
 
 
 def run_totals(outcomes: DataFrame, wall_ms: float) -> DataFrame:
@@ -61,9 +55,25 @@ def deep_negatives(traj: DataFrame, deeper_than: int = 2) -> DataFrame:
 def class_balance(traj: DataFrame) -> DataFrame:
     """Positives and negatives of theorems: least, upper median, most; how many have both, and fewer than three negatives."""
     per = traj.groupBy("theorem_name").agg(F.count_if(F.col("label") == "positive").alias("pos"), F.count_if(F.col("label") == "negative").alias("neg"))
-    middle = lambda c: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c} DESC)").cast("long")
-    return per.agg(*[f.alias(f"{name}_{c}") for c in ("pos", "neg") for name, f in (("min", F.min(c)), ("mid", middle(c)), ("max", F.max(c)))],
-                   F.count_if((F.col("pos") > 0) & (F.col("neg") > 0)).alias("eligible"), F.count_if(F.col("neg") < 3).alias("few_negatives"))
+    stats = per.agg(*[f.alias(f"{name}_{c}") for c in ("pos", "neg") for name, f in (("min", F.min(c)), ("max", F.max(c)))],
+                    F.count_if((F.col("pos") > 0) & (F.col("neg") > 0)).alias("eligible"), F.count_if(F.col("neg") < 3).alias("few_negatives"))
+    middle = ranks.percentiles(per, {"mid_pos": ("pos", ranks.upper_median()), "mid_neg": ("neg", ranks.upper_median())})
+    return ranks.beside(stats, middle.select(F.col("mid_pos").cast("long").alias("mid_pos"), F.col("mid_neg").cast("long").alias("mid_neg"))).select("min_pos", "mid_pos", "max_pos", "min_neg", "mid_neg", "max_neg", "eligible", "few_negatives")
+
+
+def positive_sources(pairs: DataFrame, traj: DataFrame) -> DataFrame:
+    """source, rows, theorems, with_negatives: positives of a pair file (theorem, depth) beside those a search found, and how many of
+    the theorems have negatives from the search to contrast them with."""
+    negative = traj.filter("label = 'negative'").select(F.col("theorem_name").alias("theorem")).distinct().withColumn("has", F.lit(True))
+    rows = pairs.select(F.lit("pairs").alias("source"), "theorem").unionByName(traj.filter("label = 'positive'").select(F.lit("search").alias("source"), F.col("theorem_name").alias("theorem")))
+    per = rows.groupBy("source", "theorem").agg(F.count("*").alias("n")).join(negative, "theorem", "left")
+    return per.groupBy("source").agg(F.sum("n").alias("rows"), F.count("*").alias("theorems"), F.count_if(F.coalesce("has", F.lit(False))).alias("with_negatives"))
+
+
+def depth_histogram(pairs: DataFrame, depth: str) -> DataFrame:
+    """Pairs at each depth, and their per cent."""
+    by = pairs.groupBy(F.col(depth).alias("depth")).agg(F.count("*").alias("n"))
+    return by.join(F.broadcast(by.agg(F.sum("n").alias("total")))).select("depth", "n", r6(100 * F.col("n") / F.col("total")).alias("pct"))  # one row of totals
 
 
 def pairs_summary(pairs: DataFrame) -> DataFrame:
@@ -76,7 +86,8 @@ def pairs_summary(pairs: DataFrame) -> DataFrame:
 def depth_stats(pairs: DataFrame, key: str, depth: str) -> DataFrame:
     """Over keys' deepest rows: median, mean, how many at 3 or more."""
     per = pairs.groupBy(key).agg(F.max(depth).alias("d"))
-    return per.agg(F.count("*").alias("n"), r6(F.median("d")).alias("median"), r6(F.avg("d")).alias("mean"), F.count_if(F.col("d") >= 3).alias("deep"), r6(100 * F.avg((F.col("d") >= 3).cast("int"))).alias("deep_pct"))
+    stats = per.agg(F.count("*").alias("n"), r6(F.avg("d")).alias("mean"), F.count_if(F.col("d") >= 3).alias("deep"), r6(100 * F.avg((F.col("d") >= 3).cast("int"))).alias("deep_pct"))
+    return ranks.beside(stats, ranks.percentiles(per, {"median": ("d", ranks.linear(0.5))})).select("n", r6(F.col("median")).alias("median"), "mean", "deep", "deep_pct")
 
 
 def counted(df: DataFrame, *by: str) -> DataFrame:
@@ -109,12 +120,16 @@ def random_rank_one(p: DataFrame) -> DataFrame:
 
 
 def sensitive_heads(p: DataFrame, least: int = 5) -> DataFrame:
-    """Heads that changed between versions: on paths and off, shares in both, those seen ``least`` times."""
-    rows = analytics.steps(p).filter(F.col("proved"))
-    totals = rows.agg(F.count_if("on_path").alias("all_path"), F.count_if(~F.col("on_path")).alias("all_dead"))
-    per = rows.filter(F.col("head").isin(SENSITIVE)).groupBy("head").agg(F.count_if("on_path").alias("path"), F.count_if(~F.col("on_path")).alias("dead")).filter(F.col("path") + F.col("dead") >= least)
+    """Every head seen ``least`` times, over the steps of all theorems: positive rows and others, shares in both, whether versions changed it.
+
+    A head is a step's first word here.
+    """
+    word = F.regexp_extract("tactic_applied", r"(?U)^\s*(\S*)", 1)
+    per = analytics.steps(p).groupBy(word.alias("head")).agg(F.count_if(F.col("label") == "positive").alias("path"), F.count_if(~F.col("label").eqNullSafe("positive")).alias("dead"))
+    totals = per.agg(F.sum("path").alias("all_path"), F.sum("dead").alias("all_dead"))
     share = lambda a, b: r6(F.when(F.col(b) > 0, 100 * F.col(a) / F.col(b)).otherwise(0.0))
-    return per.crossJoin(F.broadcast(totals)).select("head", "path", "dead", share("path", "all_path").alias("path_pct"), share("dead", "all_dead").alias("dead_pct"))  # one row of totals
+    rows = per.filter(F.col("path") + F.col("dead") >= least).crossJoin(F.broadcast(totals))  # one row of totals
+    return rows.select("head", "path", "dead", share("path", "all_path").alias("path_pct"), share("dead", "all_dead").alias("dead_pct"), F.col("head").isin(SENSITIVE).alias("sensitive"))
 
 
 def best_candidates(rows: DataFrame, by: list[str], text: str, score: str, order: str) -> DataFrame:
@@ -149,14 +164,14 @@ def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def nearest_before(lines: DataFrame, file: str, line: str, name: str) -> DataFrame:
     """Adds ``nearest``: the last non-null ``name`` at or above each line of its file."""
-    return lines.withColumn("nearest", F.last(name, ignorenulls=True).over(W.partitionBy(file).orderBy(line)))
+    return scans.last_value(lines, F.col(name), "nearest", [line], [file])
 
 
 def failing_theorems(errors: DataFrame, theorems: DataFrame) -> DataFrame:
     """file, name, errors: compiler errors (file, line, message) by the theorem (file, line, name) they lie in."""
     rows = theorems.select("file", "line", "name", F.lit(None).cast("string").alias("message")).unionByName(errors.select("file", "line", F.lit(None).cast("string").alias("name"), "message"))
-    w = W.partitionBy("file").orderBy("line", F.col("name").isNull())
-    placed = rows.withColumn("nearest", F.last("name", ignorenulls=True).over(w)).filter("message is not null AND nearest is not null")
+    rows = rows.withColumn("later", F.col("name").isNull()).withColumn("tie", F.coalesce("message", "name"))
+    placed = scans.last_value(rows, F.col("name"), "nearest", ["line", "later", "tie"], ["file"]).filter("message is not null AND nearest is not null")
     return placed.groupBy("file", F.col("nearest").alias("name")).agg(F.count("*").alias("errors"))
 
 
@@ -218,12 +233,20 @@ def learning_rates(spark, base: float, warm_up: int, total: int) -> DataFrame:
 
 
 def impact(tried: DataFrame, proved: DataFrame, broken: DataFrame, key: str = "theorem") -> DataFrame:
-    """How names that couldn't start weigh: rate over all tried, over those that could start, and if all broken ones were proved."""
+    """How names that couldn't start weigh: the rate over all tried, over those that could start, and what it would be if the broken
+    ones were proved at that second rate, which gives whole proofs only (``extra``)."""
     side = lambda df, name: df.select(key, *[F.lit(int(name == c)).alias(c) for c in ("tried", "proved", "broken")])
     m = side(tried, "tried").unionByName(side(proved, "proved")).unionByName(side(broken, "broken")).groupBy(key).agg(*[F.max(c).alias(c) for c in ("tried", "proved", "broken")])
     t, ok, bad = (F.count_if(c) for c in (F.col("tried") == 1, (F.col("tried") == 1) & (F.col("proved") == 1), (F.col("tried") == 1) & (F.col("broken") == 1)))
-    rate = lambda a, b: r6(F.coalesce(100 * a / F.nullif(b, F.lit(0)), F.lit(0.0)))
-    return m.agg(t.alias("tried"), ok.alias("proved"), bad.alias("broken"), (t - bad).alias("pool"), rate(ok, t).alias("rate"), rate(ok, t - bad).alias("adjusted_rate"), rate(F.count_if((F.col("tried") == 1) & ((F.col("proved") == 1) | (F.col("broken") == 1))), t).alias("upper_rate"))
+    rate = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    extra = F.floor(rate(ok, t - bad) * bad)
+    return m.agg(t.alias("tried"), ok.alias("proved"), bad.alias("broken"), (t - bad).alias("pool"), r6(100 * rate(ok, t)).alias("rate"), r6(100 * rate(ok, t - bad)).alias("adjusted_rate"), extra.alias("extra"), r6(100 * rate(ok + extra, t)).alias("upper_rate"))
+
+
+def skipped_and_failed(skipped: DataFrame, failed: DataFrame, key: str = "theorem") -> DataFrame:
+    """How many names a skip list alone holds, the start-up errors alone, and both."""
+    o = overlap(skipped, failed, key)
+    return o.select(F.col("only_a").alias("skipped_only"), F.col("only_b").alias("failed_only"), "both", F.col("either").alias("blocked"))
 
 
 def head_counts(heads: DataFrame, k: int = 30) -> DataFrame:

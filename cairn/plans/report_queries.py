@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers as N
 from ..functions import proofs as P
+from ..operators import curate as C
 from ..operators import reports as R
 from ..operators import search as S
 from . import traces
@@ -22,6 +23,12 @@ def events(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
+def _tried(e):
+    """Users as theorems: all of them, those with a large purchase, those with a large error."""
+    who = lambda cond: e.filter(cond).select(F.col("user_id").alias("theorem")).distinct()
+    return who("true"), who("event_type = 'purchase' AND value > 40"), who("event_type = 'error' AND value > 60")
+
+
 def on(make, name, op, sql, prefix=""):
     over(name, lambda spark, sf_dir: op(make(spark, sf_dir)), prefix + sql)
 
@@ -68,10 +75,18 @@ prep("depth_stats", lambda p: R.depth_stats(p.filter("on_path"), "theorem_name",
   FROM (SELECT theorem_name, max(depth_from_root) AS d FROM prep WHERE on_path GROUP BY 1)""")
 prep("rate_by_depth", R.rate_by_depth, "SELECT CASE WHEN max_depth < 2 THEN '0-1' WHEN max_depth < 4 THEN '2-3' WHEN max_depth < 6 THEN '4-5' ELSE '6+' END AS bucket, count(*) AS theorems, count(*) FILTER (proved) AS proved, round(100 * avg(proved::INT), 6) AS rate FROM roll GROUP BY 1")
 prep("random_rank_one", R.random_rank_one, "SELECT count(*) AS points, round(100 * avg(share), 6) AS rank_one FROM (SELECT count(*) FILTER (on_path) / count(*) AS share FROM branch GROUP BY theorem_name, parent_state_id)")
-_HEADS = ["nlinarith", "intro", "linarith", "norm_num", "simp", "simp_all", "field_simp", "have", "ring_nf", "omega", "positivity", "aesop", "decide", "rw"]
-prep("sensitive_heads", lambda p: R.sensitive_heads(p.withColumn("head", F.element_at(F.array(*[F.lit(x) for x in _HEADS]), F.expr(f"CAST(state_id % {len(_HEADS)} AS INT) + 1")))), f""", hd AS (SELECT ({_HEADS!r})[state_id % {len(_HEADS)} + 1] AS head, on_path FROM step WHERE proved)
-SELECT head, count(*) FILTER (on_path) AS path, count(*) FILTER (NOT on_path) AS dead, round(100 * count(*) FILTER (on_path) / (SELECT count(*) FROM hd WHERE on_path), 6) AS path_pct, round(100 * count(*) FILTER (NOT on_path) / (SELECT count(*) FROM hd WHERE NOT on_path), 6) AS dead_pct
-  FROM hd WHERE head NOT IN ('intro', 'have') GROUP BY 1 HAVING count(*) >= 5""")
+_HEADS = ["rw [a]", "intro", "linarith", "norm_cast at h", "simp", "push_cast", " field_simp", "have h", "ring", "omega", "nlinarith", "aesop", "decide", "exact_mod_cast h"]
+prep("sensitive_heads", lambda p: R.sensitive_heads(p.withColumn("tactic_applied", F.when(F.col("is_root"), "").otherwise(F.element_at(F.array(*[F.lit(x) for x in _HEADS]), F.expr(f"CAST(state_id % {len(_HEADS)} AS INT) + 1"))))), f""", hd AS (SELECT split_part(trim(({_HEADS!r})[state_id % {len(_HEADS)} + 1]), ' ', 1) AS head, label = 'positive' AS good FROM step)
+SELECT head, count(*) FILTER (good) AS path, count(*) FILTER (NOT good) AS dead, round(100 * count(*) FILTER (good) / (SELECT count(*) FROM hd WHERE good), 6) AS path_pct, round(100 * count(*) FILTER (NOT good) / (SELECT count(*) FROM hd WHERE NOT good), 6) AS dead_pct,
+  head IN ('rw', 'simp', 'linarith', 'norm_cast', 'push_cast', 'field_simp', 'ring', 'omega', 'exact_mod_cast') AS sensitive FROM hd GROUP BY 1 HAVING count(*) >= 5""")
+traj("positive_sources", lambda t: R.positive_sources(t.filter("label = 'negative'").select(F.col("theorem_name").alias("theorem"), F.col("depth_from_root").alias("depth")), t.filter("state_id % 5 <> 4")), """, s AS (SELECT * FROM traj WHERE state_id % 5 <> 4), r AS (SELECT 'pairs' AS source, theorem_name AS t FROM traj WHERE label = 'negative' UNION ALL SELECT 'search', theorem_name FROM s WHERE label = 'positive')
+SELECT source, count(*) AS "rows", count(DISTINCT t) AS theorems, count(DISTINCT t) FILTER (t IN (SELECT theorem_name FROM s WHERE label = 'negative')) AS with_negatives FROM r GROUP BY 1""")
+traj("pair_depths", lambda t: R.depth_histogram(t, "depth_from_root"), "SELECT depth_from_root AS depth, count(*) AS n, round(100 * count(*) / (SELECT count(*) FROM traj), 6) AS pct FROM traj GROUP BY 1")
+traj("separation_probe", lambda t: C.separation_probe(t.withColumn("state_pp", F.when(F.col("state_id") % 11 == 0, F.lit(" \n ")).otherwise(F.concat(F.lit(" "), F.element_at(F.split("state_pp", "\n"), -1)))), "state_pp", "label", "depth_from_root", ["theorem_name", "state_id"]),
+     """SELECT state, label FROM (SELECT 'x' || '', trim(list_last(string_split(state_pp, chr(10)))) AS state, label, row_number() OVER (PARTITION BY trim(list_last(string_split(state_pp, chr(10)))) ORDER BY theorem_name, state_id) AS k FROM traj WHERE depth_from_root > 1 AND state_id % 11 <> 0) WHERE k = 1""")
+prep("deepest_by_outcome", lambda p: C.deepest(p, "depth_from_root", "proved", "theorem_name"), "SELECT proved, theorem_name, max_depth FROM roll")
+over("blocked_impact", lambda spark, sf_dir: R.impact(*_tried(events(spark, sf_dir))), """WITH u AS (SELECT user_id, bool_or(event_type = 'purchase' AND value > 40) AS ok, bool_or(event_type = 'error' AND value > 60) AS bad FROM events GROUP BY 1), c AS (SELECT count(*) AS t, count(*) FILTER (ok) AS p, count(*) FILTER (bad) AS b FROM u)
+SELECT t AS tried, p AS proved, b AS broken, t - b AS pool, round(100 * p / t, 6) AS rate, round(100 * p / (t - b), 6) AS adjusted_rate, CAST(floor(p / (t - b) * b) AS BIGINT) AS extra, round(100 * (p + floor(p / (t - b) * b)) / t, 6) AS upper_rate FROM c""")
 prep("best_candidates", lambda p: R.best_candidates(p.filter("not is_root"), ["theorem_name", "parent_state_id"], "tactic_applied", "llm_log_prob", "state_id").select("theorem_name", "state_id", "place"), """SELECT theorem_name, state_id, row_number() OVER (PARTITION BY theorem_name, parent_state_id ORDER BY llm_log_prob DESC, state_id) AS place
   FROM (SELECT *, row_number() OVER (PARTITION BY theorem_name, parent_state_id, tactic_applied ORDER BY state_id) AS k FROM step) WHERE k = 1""")
 def _runs(p):

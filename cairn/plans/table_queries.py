@@ -1,7 +1,6 @@
 """Queries over the other test tables, each with SQL for comparison where SQL can say it."""
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
@@ -10,6 +9,8 @@ from ..functions import vectors as V
 from ..operators import analytics as A
 from ..operators import curate as C
 from ..operators import metrics as M
+from ..operators import ranks as RK
+from ..operators import scans as SC
 from ..streaming import incremental
 from . import traces
 
@@ -53,7 +54,7 @@ on("documents", "numbered_names", lambda d: C.numbered_names(d.select("doc_id",
 on("documents", "squeezed_text", lambda d: d.select("doc_id", F.md5(T.squeeze(F.col("text"))).alias("h")), "SELECT doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS h FROM documents")
 on("documents", "lengths_by_lang", lambda d: A.distribution(d.withColumn("len", F.length("text")), "len", "lang"),
    "SELECT lang, count(*) AS n, round(avg(length(text)), 6) AS mean, round(quantile_cont(length(text), 0.5), 6) AS median, round(quantile_cont(length(text), 0.25), 6) AS p25, round(quantile_cont(length(text), 0.75), 6) AS p75, min(length(text))::DOUBLE AS least, max(length(text))::DOUBLE AS most FROM documents GROUP BY lang")
-on("documents", "indexed_percentiles", lambda d: d.groupBy("lang").agg(*[S.indexed_percentile(F.col("n_chars"), p).alias(f"p{int(100 * p)}") for p in (0.5, 0.95, 0.99)], S.upper_median(F.col("n_chars")).alias("upper_median")),
+on("documents", "indexed_percentiles", lambda d: (lambda r: r.select("lang", *[F.col(c).cast("long").alias(c) for c in r.columns[1:]]))(RK.percentiles(d, {f"p{int(100 * p)}": ("n_chars", RK.indexed(p)) for p in (0.5, 0.95, 0.99)} | {"upper_median": ("n_chars", RK.upper_median())}, "lang")),
    "WITH s AS (SELECT lang, list_sort(list(n_chars)) AS s, count(*) AS n FROM documents GROUP BY lang) SELECT lang, s[CAST(least(floor(n * 0.5), n - 1) AS BIGINT) + 1] AS p50, s[CAST(least(floor(n * 0.95), n - 1) AS BIGINT) + 1] AS p95, s[CAST(least(floor(n * 0.99), n - 1) AS BIGINT) + 1] AS p99, s[n // 2 + 1] AS upper_median FROM s")
 on("documents", "population_spread", lambda d: d.groupBy("source").agg(A.r6(F.stddev_pop("n_chars")).alias("std"), F.count("*").alias("n")), "SELECT source, round(stddev_pop(n_chars), 6) AS std, count(*) AS n FROM documents GROUP BY source")
 on("documents", "shortened_text", lambda d: d.select("doc_id", T.shortened(F.col("text"), 40).alias("t")),
@@ -114,8 +115,8 @@ def _scores(v):
 
 def _as_of(e):
     """The last view before each error of a user."""
-    at = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
-    return e.withColumn("view_id", F.last(F.when(F.col("event_type") == "view", F.col("event_id")), ignorenulls=True).over(at)).filter("event_type = 'error'").select("event_id", "view_id")
+    view = F.when(F.col("event_type") == "view", F.col("event_id"))
+    return SC.last_value(e, view, "view_id", ["ts", "event_id"], ["user_id"], inclusive=False).filter("event_type = 'error'").select("event_id", "view_id")
 
 
 def _sets(e):

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tomllib
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -13,8 +14,8 @@ from ..functions import text as T
 from ..functions import vectors as V
 
 
-def trajectories(spark: SparkSession, *paths: str, skip_corrupt: bool = False) -> DataFrame:
-    """Rows of trajectory files, cast to the canonical types.
+def trajectories(spark: SparkSession, *paths: str, skip_corrupt: bool = False, file: str | None = None) -> DataFrame:
+    """Rows of trajectory files, cast to the canonical types; ``file`` names a further column for the file each comes from.
 
     Unsigned ids are stored as such and arrive as decimals, so the scan reads natively and casts.
     Columns that old files lack are filled with their defaults; another missing column is an error.
@@ -31,6 +32,8 @@ def trajectories(spark: SparkSession, *paths: str, skip_corrupt: bool = False) -
         elif f.name not in raw.columns:
             raise ValueError(f"no column {f.name}")
         columns.append(c.cast(f.dataType).alias(f.name))
+    if file:
+        columns.append(F.input_file_name().alias(file))
     return raw.select(*columns).withColumn("label", F.when(F.col("label").isin("positive", "negative"), F.col("label")).otherwise("unknown"))
 
 
@@ -43,12 +46,16 @@ def for_theorem(traj: DataFrame, name: str) -> DataFrame:
 
 
 def with_file_order(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Rows of several files with file_ord, the place of their file in ``paths``."""
-    parts = [trajectories(spark, p).withColumn("file_ord", F.lit(i)) for i, p in enumerate(paths)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Rows of several files with file_ord, the first place of their file in ``paths``: a scan for each schema, however many files."""
+    kinds, places = {}, {}
+    for p in dict.fromkeys(paths):
+        found = spark.read.parquet(p)
+        kinds.setdefault(found.schema.json(), []).append(p)
+        for f in found.inputFiles():
+            places.setdefault(f, paths.index(p))
+    known = spark.createDataFrame([*places.items()], "file_ string, file_ord int")  # names of files, which the driver lists anyway
+    rows = reduce(DataFrame.unionByName, [trajectories(spark, *ps, file="file_") for ps in kinds.values()])
+    return rows.join(F.broadcast(known), "file_").drop("file_")
 
 
 def theorem_index(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:

@@ -24,6 +24,13 @@ def split_json_lines(rows: DataFrame, path: str, split: str = "split") -> None:
     rows.write.mode("overwrite").partitionBy(split).json(path)
 
 
+def split_with_pool(pairs: DataFrame, path: str, least: int = 3) -> None:
+    """``pairs`` (split, text, theorem, source, depth) by split, and ``pool``: the keys whose deepest pair is at ``least`` or deeper."""
+    split_json_lines(pairs, f"{path}/splits")
+    pool = pairs.groupBy("source", "theorem").agg(F.max("depth").alias("max_depth")).filter(F.col("max_depth") >= least)
+    json_lines(pool.select("theorem", "source", "max_depth"), f"{path}/pool")
+
+
 def document(rows: DataFrame, order: list[str], name: str = "rows") -> DataFrame:
     """A small frame as one JSON document: one row, column ``document``."""
     row = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rows.columns if c not in order])
@@ -31,8 +38,11 @@ def document(rows: DataFrame, order: list[str], name: str = "rows") -> DataFrame
 
 
 def markdown(rows: DataFrame, limit: int = 1000) -> str:
-    """A small frame as an aligned Markdown table."""
-    cells = [rows.columns, *[["" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v) for v in r] for r in rows.limit(limit).collect()]]
+    """A frame of ``limit`` rows at most as an aligned Markdown table, numbers to the right; more rows are an error."""
+    found = rows.limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"more than {limit} rows: not a table to print")
+    cells = [rows.columns, *[["" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v) for v in r] for r in found]]
     widths = [max(len(r[i]) for r in cells) for i in range(len(rows.columns))]
     line = lambda r: "| " + " | ".join(c.ljust(w) for c, w in zip(r, widths)) + " |"
     return "\n".join([line(cells[0]), "|" + "|".join("-" * (w + 2) for w in widths) + "|", *map(line, cells[1:])])

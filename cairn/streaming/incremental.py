@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..operators import scans
 
 
 def arriving(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,9 +37,6 @@ def running_summary(stream: DataFrame) -> DataFrame:
 
 
 def remaining_time(done: DataFrame, left: int, window: int = 200) -> DataFrame:
-    """By completion (id, ts_ms): seconds that ``left`` more take at the pace of the last ``window``."""
-    from pyspark.sql import Window as W
-
-    w = W.orderBy("ts_ms", "id").rowsBetween(-(window - 1), 0)
-    n = F.count("*").over(w)
-    return done.select("id", F.when(n > 1, (F.col("ts_ms") - F.first("ts_ms").over(w)) / 1000 / (n - 1) * left).alias("eta_secs"))
+    """By completion (id, ts_ms): seconds that ``left`` more take at the pace of the last ``window``; null for the first."""
+    rows = scans.moving(done.select("id", "ts_ms"), window, {"n_": lambda w: F.count("*").over(w), "first_": lambda w: F.first("ts_ms").over(w)}, ["ts_ms", "id"])
+    return rows.select("id", F.when(F.col("n_") > 1, (F.col("ts_ms") - F.col("first_")) / 1000 / (F.col("n_") - 1) * left).alias("eta_secs"))

@@ -49,7 +49,9 @@ def test_reports(spark):
     assert sorted(map(tuple, R.readiness({"x": t, "y": t.limit(0), "z": t}, {"x": 1, "z": 5}, spark).collect())) == [("x", 1, "PASS"), ("y", 0, "FAIL"), ("z", 1, "WARN")]
     names = lambda *x: spark.createDataFrame([(n,) for n in x], "theorem string")
     i = R.impact(names("a", "b", "c", "d"), names("a"), names("b", "z")).first()
-    assert (i.pool, i.rate, round(i.adjusted_rate, 3), i.upper_rate) == (3, 25.0, 33.333, 50.0)
+    assert (i.pool, i.rate, round(i.adjusted_rate, 3), i.extra, i.upper_rate) == (3, 25.0, 33.333, 0, 25.0)
+    i = R.impact(names(*"abcdefgh"), names("a", "b", "c"), names("g", "h")).first()  # 3 of 6, so one of the two
+    assert (i.adjusted_rate, i.extra, i.upper_rate) == (50.0, 1, 50.0)
     assert R.error_counts(spark.createDataFrame([("Unknown identifier 'x'",), ("expected token",)], "m string"), "m").count() == 2
     y = spark.createDataFrame([("putnam_1990_a1", True), ("putnam_1990_b2", False), ("x", True)], "theorem_name string, proved boolean")
     assert list(map(tuple, R.year_stats(y).collect())) == [(1990, 2, 1)]

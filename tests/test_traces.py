@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn import schemas
-from cairn.functions import stats, text
-from cairn.operators import analytics, curate, metrics, tree
+from cairn.functions import text
+from cairn.operators import analytics, curate, metrics, ranks, tree
 from cairn.plans import QUERIES, SQL
 from cairn.sources import readers, writers
 from cairn.streaming import incremental
@@ -73,9 +73,10 @@ def test_text(spark):
 
 
 def test_percentiles(spark):
-    r = spark.range(1, 101).agg(*[stats.indexed_percentile(F.col("id"), p).alias(f"p{i}") for i, p in enumerate((0.5, 0.95, 0.99))], stats.median_or_zero(F.col("id")).alias("m")).first()
-    assert tuple(r) == (51, 96, 100, 50.5)
-    assert spark.range(0).agg(stats.median_or_zero(F.col("id"))).first()[0] == 0.0
+    wanted = {f"p{int(100 * p)}": ("id", ranks.indexed(p)) for p in (0.5, 0.95, 0.99)} | {"m": ("id", ranks.linear(0.5)), "u": ("id", ranks.upper_median())}
+    assert tuple(ranks.percentiles(spark.range(1, 101), wanted).first()) == (51, 96, 100, 50.5, 51)
+    assert ranks.percentiles(spark.range(0), wanted).count() == 0
+    assert analytics.eval_totals(spark.createDataFrame([], SCHEMA)).first().median_time == 0.0
 
 
 def test_read_write(spark, tmp_path):
@@ -98,6 +99,14 @@ def test_read_write(spark, tmp_path):
     (tmp_path / "c.toml").write_text("a = 2\n")
     assert readers.config({"a": 1, "b": 1}, str(tmp_path / "c.toml"), {"b": 5, "a": None}) == {"a": 2, "b": 5}
     assert writers.markdown(spark.createDataFrame([(1, "x")], "a int, b string")).splitlines()[0] == "| a | b |"
+    with pytest.raises(ValueError):
+        writers.markdown(spark.range(5), limit=4)
+    both = readers.with_file_order(spark, [path, str(tmp_path / "old.parquet"), path])
+    assert sorted((r.theorem_name, r.file_ord) for r in both.collect()) == [("a", 0)] * 3 + [("t", 1)]
+    pairs = spark.createDataFrame([("train", "x", "a", "s", 0), ("train", "y", "a", "s", 3), ("val", "z", "b", "s", 2)], "split string, text string, theorem string, source string, depth int")
+    writers.split_with_pool(pairs, str(tmp_path / "sft"))
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "sft" / "pool")).select("theorem", "source", "max_depth").collect()] == [("a", "s", 3)]
+    assert sorted(tuple(r) for r in spark.read.json(str(tmp_path / "sft" / "splits")).select("split", "theorem", "text").collect()) == [("train", "a", "x"), ("train", "a", "y"), ("val", "b", "z")]
 
 
 def test_stream(spark, tmp_path):

@@ -10,7 +10,7 @@ from cairn.functions import proofs as P
 from cairn.functions import stats
 from cairn.functions import text as T
 from cairn.functions import vectors as V
-from cairn.operators import forest, reports, training, tree
+from cairn.operators import forest, ranks, reports, training, tree
 from cairn.sources import readers
 
 NODES = "theorem_name string, state_id long, parent_state_id long, is_proof_complete boolean, visits int, tactic_applied string, state_pp string"
@@ -125,7 +125,7 @@ def test_columns(spark):
         for cuts in (1, 7, 200):
             assert abs(stats.auc("s", "p", d, cuts).first().auc - want) < 1e-12
     assert stats.auc("s", "p", df.filter("p")).first().auc is None
-    assert spark.range(5).select(stats.linear_percentile(F.col("id"), 0.375).alias("x")).first().x == 1.5
+    assert ranks.percentiles(spark.range(5), {"x": ("id", ranks.linear(0.375))}).first().x == 1.5
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(T.renamed_source(F.lit("rw [le_div_iff, le_div_iff₀, nle_div_iff] ; ∑ i in S"))) == "rw [le_div_iff₀, le_div_iff₀, nle_div_iff] ; ∑ i ∈ S"
     assert one(V.dot(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(4.0)))) == 11.0
