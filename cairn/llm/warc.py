@@ -121,6 +121,7 @@ def write_archives(pages: DataFrame, folder: str, segment_bytes: int = 1_000_000
     rows = materialise(rows.withColumn("digest", F.sha1("payload")).withColumn("row", F.monotonically_increasing_id()), "pages")
     first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row", "url"))
     firsts = rows.groupBy("digest").agg(first.alias("first"), F.count("*").alias("many")).filter("many > 1").select(F.col("digest").alias("of"), F.col("first.row").alias("first"), F.col("first.url").alias("first_url"))
+    firsts = materialise(firsts, "firsts")  # now its size is known: if it is small it is broadcast, else both sides are shuffled by digest
     laid = rows.join(firsts, F.col("digest") == F.col("of"), "left").select("row", "page_id", "url", "payload", F.when(F.col("first") != F.col("row"), F.col("first")).alias("first"), "first_url")
     name = lambda row, k: f"<urn:uuid:{uuid.uuid5(store, f'{row}/{k}')}>"
     clean = lambda url: None if url is None else _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", url)
@@ -163,7 +164,7 @@ def write_archives(pages: DataFrame, folder: str, segment_bytes: int = 1_000_000
         return pa.RecordBatch.from_arrays([pa.array([data[:-1]], pa.binary())], names=["value"])
 
     laid.mapInArrow(pack, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", _VALUES).text(folder)
-    discard(rows)
+    discard(rows, firsts)
 
 
 def parsed(data: bytes):
