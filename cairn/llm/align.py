@@ -35,7 +35,7 @@ from .common import each_text, shared_dir, table
 from .tokenout import _byte_alphabet
 
 #: words, and bytes of them, that a worker keeps between chunks at most
-_WORDS, _BYTES = 250_000, 32_000_000
+_WORDS, _BYTES = 150_000, 16_000_000
 #: rows of a group's expansion that are sent at once
 _SENT = 100_000
 #: how byte-level vocabularies cut a text before merging (a fixed value of that format)
@@ -275,7 +275,7 @@ def _chunk(made: Aligner, number: int, ids: list, texts: list[np.ndarray]):
         yield _rows(PAIRS, number, len(part), a=pa.array((part >> 32).astype(np.int32)), b=pa.array((part & 0xFFFFFFFF).astype(np.int32)), n=pa.array(count[k : k + _SENT]))
 
 
-def chunks(docs: DataFrame, path_a: str, path_b: str, chunk_bytes: int = 8_000_000) -> DataFrame:
+def chunks(docs: DataFrame, path_a: str, path_b: str, chunk_bytes: int = 4_000_000) -> DataFrame:
     """Encode every row of ``docs`` and write its chunks' documents, groups and pair counts to a table in the shared folder."""
     def run(batches):
         from pyspark import TaskContext
@@ -340,7 +340,7 @@ def group_values(parts: DataFrame) -> DataFrame:
     return links.groupBy("key").agg(F.sum(F.col("m") * F.col("best").cast("long")).alias("n_best"), F.sum(F.col("m") * F.col("n")).alias("count_sum"))
 
 
-def aligned(docs: DataFrame, path_a: str, path_b: str, chunk_bytes: int = 8_000_000) -> DataFrame:
+def aligned(docs: DataFrame, path_a: str, path_b: str, chunk_bytes: int = 4_000_000) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 for every row of ``docs``.
 
     Null and empty texts, and texts whose tokens' bytes aren't a blank and the text (those that hold
