@@ -1,4 +1,4 @@
-"""Commands: summary, export-proof-paths, search, probe, eval, compare, generate-negatives, sample, report.
+"""Commands: summary, export-proof-paths, search, probe, eval, evaluation, compare, generate-negatives, sample, report.
 
 An environment's and a policy's answers are read from Parquet tables (see operators.search); paths may be remote.
 """
@@ -10,6 +10,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import schemas
 from .operators import analytics, curate, ranks, reports, search, tree
 from .sources import readers, writers
 
@@ -40,10 +41,11 @@ def summary(spark, args) -> DataFrame:
 def export_proof_paths(spark, args) -> DataFrame:
     """The first file that tells of a theorem's proof counts."""
     rows = readers.with_file_order(spark, args.trajectories)
-    steps = None
-    for k in range(len(args.trajectories)):
-        part = tree.exported_paths(rows.filter(F.col("file_ord") == k).drop("file_ord"), args.min_steps)
-        steps = part if steps is None else steps.unionByName(part.join(steps.select("theorem").distinct(), "theorem", "left_anti"))
+    # a file's theorem is a theorem of its own until the first file is chosen
+    own = rows.withColumn("theorem_name", F.concat(F.lpad(F.col("file_ord").cast("string"), 10, "0"), F.lit(":"), F.col("theorem_name")))
+    steps = tree.exported_paths(own, args.min_steps).withColumn("file", F.substring("theorem", 1, 10)).withColumn("theorem", F.expr("substring(theorem, 12)"))
+    first = steps.groupBy("theorem").agg(F.min("file").alias("file"))
+    steps = steps.join(first, ["theorem", "file"]).drop("file")
     writers.json_lines(steps, args.output)
     return spark.read.json(args.output).agg(F.count_distinct("theorem").alias("theorems"), F.count("*").alias("steps"))
 
@@ -102,11 +104,37 @@ def sample(spark, args) -> DataFrame:
 
 
 def report(spark, args) -> DataFrame:
-    """Markdown of the main analyses, printed one after the other."""
-    p = analytics.prepare(readers.trajectories(spark, args.input))
-    for name, part in (("Heads", analytics.head_distribution(p)), ("Siblings", analytics.sibling_outcomes(p)), ("Failures", analytics.failure_modes(p)), ("Depths", reports.rate_by_depth(p)), ("Near misses", analytics.near_misses(p))):
-        print(f"## {name}\n\n{writers.markdown(part)}\n")
-    return analytics.rollup_summary(p)
+    """Markdown of all analyses, printed one after the other; the prepared rows are made once."""
+    p = analytics.prepare(readers.trajectories(spark, args.input)).persist()
+    ranked = analytics.sibling_ranks(p)
+    sections = {
+        "Heads": (analytics.head_distribution, analytics.have_against_others, analytics.sibling_outcomes),
+        "Goals": (lambda p: analytics.goal_delta(p, True, 3), lambda p: analytics.goal_delta(p, False, 10)),
+        "State sizes": (analytics.state_size_by_depth,),
+        "Heads by depth": (analytics.top_heads_by_depth, lambda p: analytics.top_heads_by_depth(p, closing=True), analytics.closing_heads),
+        "First steps": (analytics.first_step_diversity,),
+        "Ranks by log probability": (lambda p: analytics.rank_summary(ranked), lambda p: analytics.rank_histogram(ranked), lambda p: analytics.rank_summary(ranked, "depth").orderBy("depth"), lambda p: analytics.rank_summary(analytics.with_sibling_bucket(ranked), "bucket"), analytics.log_prob_distribution, analytics.log_prob_by_depth, analytics.completion_groups),
+        "States": (analytics.root_description, analytics.root_goals, analytics.hypotheses_by_depth, analytics.topic_rates),
+        "Search": (analytics.rollup_summary, analytics.dead_have_fraction, analytics.time_to_proof_buckets, analytics.fanout),
+        "Failures": (analytics.failure_modes, analytics.failed_depths, analytics.near_misses),
+        "Years": (reports.year_stats,),
+        "Depths": (reports.rate_by_depth, analytics.depth_buckets),
+        "Training signal": (analytics.training_signal, analytics.positive_depths, analytics.preference_pairs, analytics.proof_multiplicity),
+    }
+    for name, parts in sections.items():
+        print(f"## {name}\n")
+        for part in parts:
+            print(f"{writers.markdown(part(p))}\n")
+    out = spark.createDataFrame(analytics.summary(p).collect())  # one row
+    p.unpersist()
+    return out
+
+
+def evaluation(spark, args) -> DataFrame:
+    """An evaluation document from stored trajectories."""
+    document = reports.evaluation(analytics.prepare(readers.trajectories(spark, args.input)))
+    document.write.mode("overwrite").text(args.output)
+    return spark.read.schema(schemas.EVALUATION).json(args.output).select("solved", "total", "rate", "avg_nodes", "avg_time_secs", "median_time_secs")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -128,6 +156,7 @@ def parser() -> argparse.ArgumentParser:
     command("search", run_search, *world, ("--policy", {}), ("--resume-from", {}))
     command("probe", probe, *world)
     command("eval", evaluate, *world, ("--policies", many))
+    command("evaluation", evaluation, ("--input", need), ("--output", need))
     command("compare", compare, ("--results", many))
     command("generate-negatives", generate_negatives, ("--pairs", need), ("--transitions", need), ("--policy", {}), ("--output", need), ("--min-steps", number(1)), ("--candidates-per-step", number(8)), ("--target-negatives", number(15)))
     command("sample", sample, ("--trajectories", many), ("--output", need), ("--samples", number(1000)), ("--negatives", number(4)), ("--hard", {"type": float, "default": 0.3}), ("--medium", {"type": float, "default": 0.4}), ("--seed", number(0)))

@@ -154,6 +154,17 @@ def shortened(text: Column, most: int) -> Column:
     return F.when(F.length(line) > most, F.concat(F.substring(line, 1, most - 3), F.lit("..."))).otherwise(line)
 
 
+def cut_bytes(text: Column, most: int) -> Column:
+    """The longest beginning of at most ``most`` bytes of UTF-8 that ends between characters."""
+    b = F.encode(text, "UTF-8")
+    # a character has four bytes at most: the cut goes back over bytes 0x80 to 0xBF
+    inner = lambda at: F.hex(F.substring(b, at + 1, 1)).rlike("^[89AB]")
+    end = F.lit(max(0, most - 3))
+    for at in range(max(0, most - 2), most + 1):
+        end = F.when(~inner(at), at).otherwise(end)
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.decode(F.substring(b, F.lit(1), end), "UTF-8"))
+
+
 def duration(seconds: Column) -> Column:
     """30s, 45m12s, 2h30m"""
     s = seconds.cast("long")
@@ -163,6 +174,7 @@ def duration(seconds: Column) -> Column:
 
 def error_class(message: Column) -> Column:
     """The class of a start-up error; the first that applies."""
+    # fixed values
     tokens = ["expected token", "expected ':'", "expected ')'", "expected '|'", "expected '=>'", "expected '('", "expected ';'", "expected ':='"]
     return (F.when(message.contains("Unknown identifier"), "unknown_identifier").when(_any([message.contains(t) for t in tokens]), "parse_error")
             .when(message.contains("Tactic timed out"), "timeout").when(message.contains("SGLang request failed") | message.contains("Policy error"), "policy_error")

@@ -7,8 +7,8 @@ holds a place is known from the ranges' counts, and only that one is looked at a
 the same way, until it is small enough. So no task orders more than ``CELL`` values of a group, or
 what is between two of ``MARKS`` marks; ties never matter, as they are one value with a count.
 
-Three rules name the places, and must not be mixed up: :func:`linear` (between the two values around
-p (n - 1)), :func:`indexed` (at floor(p n), the last at most) and :func:`upper_median` (at n // 2).
+Rules name the places, and must not be mixed up: :func:`linear` (between the two values around
+p (n - 1)), :func:`indexed` (at floor(p n), the last at most), :func:`part` (the same in whole numbers) and :func:`upper_median` (at n // 2).
 """
 from __future__ import annotations
 
@@ -41,6 +41,15 @@ def indexed(p: float) -> Rule:
     return places
 
 
+def part(a: int, b: int) -> Rule:
+    """At n a / b, rounded down, the last at most; in whole numbers."""
+    def places(n: Column):
+        at = F.least(F.floor((n * a - F.pmod(n * a, F.lit(b))) / b), n - 1)
+        return at, at, F.lit(0.0)
+
+    return places
+
+
 def upper_median() -> Rule:
     def places(n: Column):
         at = F.floor(n / 2)

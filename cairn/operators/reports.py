@@ -27,6 +27,22 @@ def latency_percentiles(df: DataFrame, c: str, *by: str) -> DataFrame:
     return ranks.percentiles(df, {"p50": (c, ranks.indexed(0.5)), "p95": (c, ranks.indexed(0.95)), "p99": (c, ranks.indexed(0.99))}, *by)
 
 
+def evaluation(p: DataFrame) -> DataFrame:
+    """One row, ``document``: an evaluation as JSON, from prepared trajectories: totals, how deep the proofs are, and each theorem by name.
+
+    A theorem that isn't proved has spent its budget. The document holds a line for each theorem, so it is of a benchmark's size.
+    """
+    by = analytics.eval_rollup(p)
+    each = F.struct(F.col("theorem_name").alias("name"), "proved", F.col("nodes").alias("nodes_used"), F.bround("time_secs", 2).alias("time_secs"), F.when(F.col("proved"), "").otherwise("budget_exhausted").alias("failure_reason"), "max_depth", "proof_depth")
+    totals = by.agg(F.count("*").alias("total_theorems"), F.count_if("proved").alias("solved"), F.count("*").alias("total"), F.bround(F.coalesce(F.try_divide(F.count_if("proved"), F.count("*")), F.lit(0.0)), 4).alias("rate"),
+                    F.bround(F.coalesce(F.avg("nodes"), F.lit(0.0)), 1).alias("avg_nodes"), F.bround(F.coalesce(F.avg("time_secs"), F.lit(0.0)), 1).alias("avg_time_secs"), F.array_sort(F.collect_list(each)).alias("per_theorem"))
+    middle = ranks.percentiles(by, {"median_time_secs": ("time_secs", ranks.linear(0.5))})
+    depths = by.filter("proof_depth is not null").groupBy("proof_depth").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("proof_depth", "n")))).alias("depth_distribution"))
+    row = ranks.beside(ranks.beside(totals, middle.select(F.bround("median_time_secs", 1).alias("median_time_secs"))), depths)
+    row = row.withColumn("median_time_secs", F.coalesce("median_time_secs", F.lit(0.0)))
+    return row.select(F.to_json(F.struct("total_theorems", "solved", "total", "rate", "avg_nodes", "avg_time_secs", "median_time_secs", "depth_distribution", "per_theorem")).alias("document"))
+
+
 def run_totals(outcomes: DataFrame, wall_ms: float) -> DataFrame:
     """Of theorems (proved, reason, nodes, generate_ms, verify_ms, score_ms): how they ended and where the time went."""
     part = lambda c: r6(F.coalesce(100 * F.sum(c) / wall_ms, F.lit(0.0)))
@@ -201,6 +217,27 @@ def error_counts(log: DataFrame, message: str) -> DataFrame:
     return log.groupBy(T.error_class(F.col(message)).alias("error")).agg(F.count("*").alias("n"))
 
 
+#: fixed values: identifiers by why they are unknown, and those that a contest's files define themselves
+IDENTIFIERS = {"neighbourhood filter": ["𝓝"], "type variable": ["X"], "namespace not opened": ["IntegrableOn", "Injective"], "needs qualification": ["card", "coeff", "eval", "prod", "range", "univ", "sqrt", "cexp", "coeHom"], "free variable": ["f", "b"]}
+OWN_DEFINITIONS = ["AliceHasWinningStrategy", "is_rational_point", "klimited", "num_ones", "tetration", "descentCount", "Simplex", "dist_to_int"]
+
+
+def startup_errors(lines: DataFrame, line: str, order: str) -> DataFrame:
+    """theorem, error, identifier, identifier_class, version_related: the theorems that a log says couldn't be started, by their last such line.
+
+    Unknown identifiers, unless defined by the benchmark itself, syntax and symbols that aren't found come with a change of version; time-outs and failed calls don't.
+    """
+    said = lines.select(F.regexp_extract(line, r'Search error, skipping\s+theorem="([^"]+)"\s+error=(.*)$', 1).alias("theorem"), T.strip(F.regexp_extract(line, r'Search error, skipping\s+theorem="([^"]+)"\s+error=(.*)$', 2)).alias("message"), F.col(order).alias("at")).filter("theorem <> ''")
+    last = said.groupBy("theorem").agg(F.max_by("message", "at").alias("message")).withColumn("error", T.error_class(F.col("message")))
+    name = F.regexp_extract("message", "Unknown identifier `([^`]+)`", 1)
+    rows = last.withColumn("identifier", F.when(F.col("error") == "unknown_identifier", F.coalesce(F.nullif(name, F.lit("")), F.lit("???"))))
+    kind = F.when(F.col("identifier").isNull(), F.lit(None).cast("string"))
+    for what, names in IDENTIFIERS.items():
+        kind = kind.when(F.col("identifier").isin(names), what)
+    related = F.when(F.col("error") == "unknown_identifier", ~F.col("identifier").isin(OWN_DEFINITIONS)).otherwise(F.col("error").isin("parse_error", "symbol_not_found"))
+    return rows.select("theorem", "error", "identifier", kind.otherwise("own definition").alias("identifier_class"), related.alias("version_related"))
+
+
 def readiness(counts: dict[str, DataFrame], least: dict[str, int], spark) -> DataFrame:
     """name, n, state of tables: PASS at their least number of rows or more, WARN below, FAIL when empty."""
     parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n", F.lit(least.get(name, 1)).alias("least")) for name, df in counts.items()]

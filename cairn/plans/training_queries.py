@@ -57,7 +57,7 @@ over("clean_files", lambda spark, sf_dir: R.with_files(spark.read.parquet(f"{sf_
 over("source_problems", lambda spark, sf_dir: R.with_problems(spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey", "s_nationkey as seq"), _manifest(spark, sf_dir)).select("s_suppkey", "problem_id"), "SELECT s_suppkey, CASE WHEN s_nationkey % 3 <> 0 THEN 'p' ELSE 'unknown_' END || s_nationkey AS problem_id FROM supplier")
 on("embeddings", "pair_similarities", lambda v: M.pair_similarities(v.withColumn("g", F.expr("vec_id div 20")).withColumn("positive", F.col("label") < 5), "g", "vec_id", "positive"), """WITH v AS (SELECT vec_id, vec_id // 20 AS g, label < 5 AS p, embedding::DOUBLE[] AS e FROM embeddings),
 x AS (SELECT CASE WHEN a.p AND b.p THEN 'positive' WHEN a.p OR b.p THEN 'mixed' ELSE 'negative' END AS kind, list_cosine_similarity(a.e, b.e) AS c, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.g = b.g AND a.vec_id < b.vec_id)
-SELECT kind, count(*) AS n, round(avg(c), 6) AS mean, round(stddev_pop(c), 6) AS std, round(min(c), 6) AS least, round(median(c), 6) AS median, round(max(c), 6) AS most, round(avg(d), 6) AS l2 FROM x GROUP BY 1""")
+SELECT kind, count(*) AS n, round(avg(c), 6) AS mean, round(stddev_pop(c), 6) AS std, round(min(c), 6) AS least, round(list_sort(list(c))[count(*) // 10 + 1], 6) AS p10, round(list_sort(list(c))[count(*) // 2 + 1], 6) AS p50, round(list_sort(list(c))[9 * count(*) // 10 + 1], 6) AS p90, round(max(c), 6) AS most, round(avg(d), 6) AS l2 FROM x GROUP BY 1""")
 on("embeddings", "cosine_gap", lambda v: M.cosine_gap(v.withColumn("positive", F.col("label") < 5), "vec_id", "positive", 60), """WITH v AS (SELECT vec_id, label < 5 AS p, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label < 5 ORDER BY vec_id) AS r FROM embeddings),
 w AS (SELECT avg(list_cosine_similarity(a.e, b.e)) AS within FROM v a JOIN v b ON a.p AND b.p AND a.r <= 60 AND b.r <= 60 AND a.r <> b.r), x AS (SELECT avg(list_cosine_similarity(a.e, b.e)) AS across FROM v a JOIN v b ON a.p AND NOT b.p AND a.r <= 60 AND b.r <= 60)
 SELECT round(within, 6) AS within, round(across, 6) AS "cross", round(within - across, 6) AS gap FROM w, x""")

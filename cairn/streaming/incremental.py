@@ -13,29 +13,6 @@ def arriving(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(schemas.TRAJECTORY).parquet(folder)
 
 
-def collect(stream: DataFrame, out: str, checkpoint: str):
-    """Appends each batch, skipping theorems already stored; a batch that is tried again changes nothing."""
-    def add(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        try:
-            done = spark.read.parquet(out).filter(F.col("epoch") != epoch).select("theorem_name").distinct()
-            batch = batch.join(done, "theorem_name", "left_anti")
-        except Exception as e:  # nothing stored yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-
-    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def running_summary(stream: DataFrame) -> DataFrame:
-    """Rows and different theorems by label over all batches so far (output mode complete).
-
-    Both counts are exact; the state holds each label's theorem names.
-    """
-    return stream.groupBy("label").agg(F.count("*").alias("n"), F.size(F.collect_set("theorem_name")).cast("long").alias("theorems"))
-
-
 def remaining_time(done: DataFrame, left: int, window: int = 200) -> DataFrame:
     """By completion (id, ts_ms): seconds that ``left`` more take at the pace of the last ``window``; null for the first."""
     rows = scans.moving(done.select("id", "ts_ms"), window, {"n_": lambda w: F.count("*").over(w), "first_": lambda w: F.first("ts_ms").over(w)}, ["ts_ms", "id"])

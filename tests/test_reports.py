@@ -57,6 +57,48 @@ def test_reports(spark):
     assert list(map(tuple, R.year_stats(y).collect())) == [(1990, 2, 1)]
 
 
+def test_startup_errors(spark):
+    lines = ["12:00 Search error, skipping theorem=\"a\" error=Unknown identifier `𝓝` at 3", "Search error, skipping  theorem=\"b\" error=expected token", "Search error, skipping theorem=\"b\" error= Tactic timed out ", "nothing", "Search error, skipping theorem=\"c\" error=Unknown identifier `tetration`", "Search error, skipping theorem=\"d\" error=Unknown identifier", "Search error, skipping theorem=\"e\" error=Symbol not found"]
+    log = spark.createDataFrame(list(enumerate(lines)), "at int, line string")
+    assert sorted(map(tuple, R.startup_errors(log, "line", "at").collect())) == [
+        ("a", "unknown_identifier", "𝓝", "neighbourhood filter", True), ("b", "timeout", None, None, False), ("c", "unknown_identifier", "tetration", "own definition", False),
+        ("d", "unknown_identifier", "???", "own definition", True), ("e", "symbol_not_found", None, None, True)]
+    o = R.skipped_and_failed(log.selectExpr("'a' AS theorem").distinct(), R.startup_errors(log, "line", "at")).first()
+    assert (o.skipped_only, o.failed_only, o.both, o.blocked) == (0, 4, 1, 5)
+
+
+def test_evaluation_document(spark, tmp_path):
+    import json
+
+    from cairn import __main__ as commands
+    from cairn.operators import tree
+    from cairn.plans import traces
+
+    t = tree.label_paths(traces.raw(spark, "/root/testdata/sf0.001"))
+    t.write.parquet(str(tmp_path / "t"))
+    assert "solved" in commands.main(["evaluation", "--input", str(tmp_path / "t"), "--output", str(tmp_path / "e")], spark)
+    doc = json.loads(spark.read.text(str(tmp_path / "e")).first()[0])
+    rows = t.collect()
+    names = sorted({r.theorem_name for r in rows})
+    deep = {n: min((r.depth_from_root for r in rows if r.theorem_name == n and r.is_proof_complete), default=None) for n in names}
+    assert [x["name"] for x in doc["per_theorem"]] == names and doc["solved"] == sum(d is not None for d in deep.values()) == 7
+    assert {int(k): n for k, n in doc["depth_distribution"].items()} == {d: list(deep.values()).count(d) for d in set(deep.values()) if d is not None}
+    assert all((x["failure_reason"] == "") == x["proved"] and x.get("proof_depth") == deep[x["name"]] for x in doc["per_theorem"])
+    times = sorted(max(r.timestamp_ms for r in rows if r.theorem_name == n) / 1000 - min(r.timestamp_ms for r in rows if r.theorem_name == n) / 1000 for n in names)
+    assert abs(doc["median_time_secs"] - times[len(times) // 2]) <= 0.06 and doc["total"] == len(names) == 15
+
+
+def test_report_prints_every_analysis(spark, tmp_path, capsys):
+    from cairn import __main__ as commands
+    from cairn.operators import tree
+    from cairn.plans import traces
+
+    tree.label_paths(traces.raw(spark, "/root/testdata/sf0.001")).write.parquet(str(tmp_path / "t"))
+    commands.main(["report", "--input", str(tmp_path / "t")], spark)
+    out = capsys.readouterr().out
+    assert out.count("## ") == 12 and "exact_search_closes" in out and "median_heads" in out
+
+
 def test_unchanged_chains(spark):
     rows = [("t", 0, "⊢ a", None), ("t", 1, "h : P\n⊢ a", 0), ("t", 2, "k : Q\n⊢ a", 1), ("t", 3, "⊢ b", 2), ("t", 4, "x : P\n⊢ b", 3)]
     df = spark.createDataFrame(rows, "theorem_name string, state_id long, state_pp string, parent_state_id long")

@@ -7,12 +7,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from cairn import schemas
 from cairn.functions import text
 from cairn.operators import analytics, curate, metrics, ranks, tree
 from cairn.plans import QUERIES, SQL
 from cairn.sources import readers, writers
-from cairn.streaming import incremental
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "theorem_name string, state_id long, state_pp string, tactic_applied string, parent_state_id long, label string, depth_from_root int, remaining_depth int, llm_log_prob double, ebm_score double, is_proof_complete boolean, timestamp_ms long, q_value double, visits long"
@@ -109,15 +107,6 @@ def test_read_write(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.json(str(tmp_path / "sft" / "splits")).select("split", "theorem", "text").collect()) == [("train", "a", "x"), ("train", "a", "y"), ("val", "b", "z")]
 
 
-def test_stream(spark, tmp_path):
-    df = tree.label_paths(spark.createDataFrame(rows("a", {0: None, 1: 0}) + rows("b", {0: None}), SCHEMA)).select(*[f.name for f in schemas.TRAJECTORY.fields])
-    into, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
-    for part in (df.filter("theorem_name = 'a'"), df):
-        part.write.mode("append").parquet(into)
-        incremental.collect(incremental.arriving(spark, into), out, mark).awaitTermination()
-    assert spark.read.parquet(out).count() == 3
-
-
 def test_contrastive_samples(spark):
     df = tree.label_paths(spark.createDataFrame(sum([rows(f"t{i}", {0: None, 1: 0, 2: 1, 3: 0, 4: 3}, [2]) for i in range(6)], []), SCHEMA))
     got = curate.contrastive_samples(df, 20, 5, 0.4, 0.2).collect()
@@ -164,14 +153,3 @@ def test_query(spark, duck, name):
         assert sorted(repr([plain(r[c]) for c in cols]) for r in got) == sorted(repr([plain(r[want.columns.index(c)]) for c in cols]) for r in want.fetchall())
     else:
         assert got
-
-
-def test_running_summary_counts_exactly(spark, tmp_path):
-    folder = str(tmp_path / "in")
-    for k in range(2):
-        rows = spark.range(k * 2000, k * 2000 + 4000).selectExpr("concat('t', id) theorem_name", "if(id % 4 = 0, null, 'negative') label")
-        rows.coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema("theorem_name string, label string").option("maxFilesPerTrigger", 1).parquet(folder)
-    query = incremental.running_summary(stream).writeStream.outputMode("complete").format("memory").queryName("exact").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert {r.label: (r.n, r.theorems) for r in spark.table("exact").collect()} == {"negative": (6000, 4500), None: (2000, 1500)}

@@ -129,3 +129,11 @@ def test_columns(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(T.renamed_source(F.lit("rw [le_div_iff, le_div_iff₀, nle_div_iff] ; ∑ i in S"))) == "rw [le_div_iff₀, le_div_iff₀, nle_div_iff] ; ∑ i ∈ S"
     assert one(V.dot(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(4.0)))) == 11.0
+
+
+def test_cut_bytes(spark):
+    texts = ["", "abc", "aé", "é∀x", "a𝓝b", "𝓝𝓝", "∀" * 5]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    for most in range(0, 9):
+        got = [r.x for r in df.select(T.cut_bytes(F.col("t"), most).alias("x")).collect()]
+        assert got == [t.encode()[:most].decode("utf-8", "ignore") for t in texts] + [None]
