@@ -1,4 +1,7 @@
 """The corpus operators against brute force, exact round trips and held-out accuracy, and their edge cases."""
+import base64
+import gzip
+import hashlib
 import math
 import os
 import random
@@ -9,6 +12,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -878,3 +882,231 @@ def test_pipeline_bears_odd_tables(spark, odd, none, tmp_path):
         out = df.collect()
         assert len(out) == (spark.read.parquet(str(tmp_path / f"{name}4")).count())
         assert len(out) >= 30 if name == "odd" else not out
+
+
+# 11 warc
+
+def test_warc_round_trip(spark, tmp_path):
+    from cairn.llm import warc
+
+    rng = random.Random(11)
+    body = ["", "<p>a</p>", "é中" * 40, "x" * 5_000, "0\r\n\r\n WARC/1.1\r\nContent-Length: 3\r\n\r\n", "y\r\n" * 3_000, None]
+    rows = [(i if i % 9 else (None if i == 9 else 9), rng.choice([f"http://h/{i}?a b\r\nX: y", None]), rng.choice(body)) for i in range(1, 90)] + [(200, "u", "z" * 300_000), (201, "v", "z" * 300_000), (5, "same", "<p>a</p>"), (5, "same", "<p>a</p>")]
+    pages = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, row int, digest string").repartition(5)
+    folder = str(tmp_path / "a")
+    warc.write_archives(pages, folder, segment_bytes=1_500, chunk_bytes=700)
+    records = warc.read_records(spark, folder).collect()
+    assert all(r.problem is None for r in records) and len(records) == len(rows) == len({r.record_id for r in records})
+    assert max(r.n_segments for r in records) == -(-(len(warc._HTTP) + len(warc.framed(b"z" * 300_000, 700))) // 1_500)
+    got = sorted(map(tuple, warc.resolved(spark.createDataFrame(records, warc._RECORD)).drop("problem").collect()), key=str)
+    least = {}
+    for i, _, h in rows:
+        least[h or ""] = min(least.get(h or "", (True, 0)), (i is None, i or 0))
+    first = set()
+    want = []
+    for i, _, h in rows:
+        h = h or ""
+        new = (i is None, i or 0) == least[h] and h not in first
+        first |= {h} if new else set()
+        want.append((i, len(h.encode()), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(), "response" if new else "revisit", None if new else (None if least[h][0] else least[h][1])))
+    assert got == sorted(want, key=str)
+    assert {bytes(r.payload).decode() for r in records if r.record_type == "response"} == {h or "" for _, _, h in rows}
+    # files are members one after the other, as any reader takes them
+    data = b"".join(open(os.path.join(folder, f), "rb").read() for f in sorted(os.listdir(folder)) if f.startswith("part"))
+    text = gzip.decompress(data)
+    assert text.count(b"WARC-Type: response\r\n") == len(first) and b"%0D%0A" in text and b"\r\nX: y" not in text
+    assert warc.resolved(warc.read_records(spark, folder, payloads=False)).count() == len(rows)
+
+
+def test_warc_segments_that_do_not_fit():
+    from cairn.llm.warc import assembled
+
+    parts = [b"ab", b"cd", b"e"]
+    assert assembled([3, 1, 2], [5, None, None], [parts[2], parts[0], parts[1]]) == (b"abcde", 3, None)
+    assert assembled([1, 2, 2, 3], [None, None, None, 5], [parts[0], parts[1], parts[1], parts[2]]) == (b"abcde", 3, None)
+    assert assembled([1, 3], [None, 5], [parts[0], parts[2]])[2] == "segment missing"
+    assert assembled([1, 2], [None, None], parts[:2])[2] == "segment missing"
+    assert assembled([1, 2, 2], [None, None, 4], [parts[0], parts[1], b"xx"])[2] == "segments differ"
+    assert assembled([1, 2], [None, 9], parts[:2])[2] == "length differs"
+    assert assembled([None, 2], [None, 4], parts[:2])[2] == "segment missing"
+
+
+def test_warc_chunk_framing():
+    from cairn.llm.warc import framed, payload_of, unframed
+
+    for n in (0, 1, 9, 10, 11, 999):
+        for size in (1, 10, 4096):
+            assert unframed(framed(b"q" * n, size)) == b"q" * n
+    assert unframed(b"3;ext=1\r\nabc\r\n0\r\nTrailer: x\r\n\r\n") == b"abc"
+    assert [unframed(x) for x in (b"3\r\nabcd\r\n0\r\n\r\n", b"zz\r\n", b"", b"3\r\nabc\r\n", b"-1\r\n")] == [None] * 5
+    assert payload_of(b"HTTP/1.1 200 OK\r\nTransfer-Encoding:  Chunked\r\n\r\n<html>") == (b"<html>", "chunk framing")
+    assert payload_of(b"HTTP/1.0 200 OK\r\nA: b\r\n c\r\n\r\n3\r\nabc") == (b"3\r\nabc", None) and payload_of(b"x") == (b"x", "no HTTP head")
+
+
+def test_warc_reads_other_archives(spark, tmp_path):
+    from cairn.llm import warc
+
+    record = lambda kind, block, *more: b"WARC/1.0\r\nwarc-type: %s\r\nWARC-Record-ID: <%s>\r\n%sContent-Length: %d\r\n\r\n%s\r\n\r\n" % (kind, b"%d" % len(block), b"".join(x + b"\r\n" for x in more), len(block), block)
+    http = b"HTTP/1.1 200 OK\r\n\r\nhello"
+    plain = record(b"warcinfo", b"software: x") + record(b"response", http, b"WARC-Payload-Digest: sha1:" + warc.sha1_base32(b"hello").encode()) + record(b"response", http + b"!", b"WARC-Payload-Digest: sha1:AAAA") + record(b"resource", b"bytes", b"WARC-Block-Digest: sha1:BBBB")
+    last = record(b"continuation", b"tail", b"WARC-Segment-Origin-ID: <nobody>", b"WARC-Segment-Number: 2", b"WARC-Segment-Total-Length: 9")
+    for name, data in (("a.warc", plain + last), ("b.warc.gz", gzip.compress(plain[: plain.index(b"WARC/1.0", 9)]) + gzip.compress(last)), ("c.warc", plain[:-6]), ("d.warc.gz", gzip.compress(plain)[:-30]), ("e.warc", b"")):
+        (tmp_path / name).write_bytes(data)
+    read = lambda name: sorted((r.record_type or "", r.problem or "", None if r.payload is None else bytes(r.payload)) for r in warc.read_records(spark, str(tmp_path / name)).collect())
+    whole = [("continuation", "segment missing", None), ("resource", "block digest differs", b"bytes"), ("response", "", b"hello"), ("response", "payload digest differs", b"hello!"), ("warcinfo", "", b"software: x")]
+    assert read("a.warc") == whole
+    assert read("b.warc.gz") == [whole[0], whole[4]]
+    assert any(r[1] == "truncated" for r in read("c.warc")) and any(r[1] in ("truncated", "broken member") for r in read("d.warc.gz"))
+    assert read("e.warc") == []
+
+
+def test_warc_empty_table_and_query(spark, tmp_path):
+    from cairn.llm import warc
+
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    warc.write_archives(none, str(tmp_path / "none"))
+    assert warc.read_records(spark, str(tmp_path / "none")).count() == 0
+    import duckdb
+
+    duckdb.sql(f"CREATE OR REPLACE VIEW pages AS FROM '{SF}/pages.parquet'")
+    want = duckdb.sql(warc.OP11_SQL)
+    got = warc.op11_query(spark, SF)
+    assert sorted(map(str, (tuple(r[c] for c in want.columns) for r in got.collect()))) == sorted(map(str, want.fetchall()))
+
+
+# 12 alignment
+
+def brute_alignment(rows, path_a, path_b):
+    """Whole texts through both libraries, groups by a walk over the bytes, pairs by documents."""
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    a, b = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
+    a.encode_special_tokens = True
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    back = {chr(x): x for x in shown} | {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in shown)}
+    of_a = lambda i: bytes(back[c] for c in a.id_to_token(i))
+    of_b = lambda i: bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode()
+    kept, held = [], Counter()
+    for doc, text in rows:
+        x, y = (a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)) if text else ([], [])
+        if not text or not b"".join(map(of_a, x)) == (" " + text).encode() == b"".join(map(of_b, y)):
+            kept.append((doc, []))
+            continue
+        ends = [list(np.cumsum([len(f(i)) for i in ids]).tolist()) for f, ids in ((of_a, x), (of_b, y))]
+        both, groups, i, j = sorted(set(ends[0]) & set(ends[1])), [], 0, 0
+        for e in both:
+            p, q = ends[0].index(e) + 1, ends[1].index(e) + 1
+            groups.append((x[i:p], y[j:q]))
+            i, j = p, q
+        kept.append((doc, groups))
+        held.update({(u, v) for g, h in groups for u in g for v in h})
+    best = defaultdict(int)
+    for (u, _), n in held.items():
+        best[u] = max(best[u], n)
+    for doc, groups in kept:
+        links = [(u, v) for g, h in groups for u in g for v in h]
+        text = ";".join(f"{','.join(map(str, g))}|{','.join(map(str, h))}" for g, h in groups)
+        yield doc, sum(len(g) for g, _ in groups), sum(len(h) for _, h in groups), len(groups), len(links), sum(held[k] == best[k[0]] for k in links), sum(held[k] for k in links), hashlib.sha256(text.encode()).hexdigest() if groups else ""
+
+
+BITS = ["a", "the", "Word", "é", " ", "  ", "\n", ".", ",", "'s", "'", "!", "…", "中", "½", "1", "22", "\t", "\u00a0", "\u3000", "\x85", "\x1c", "ß", "×", "x\u0301", "_", "-", "<|endoftext|>", "🙂", "\ufeff", "<s>", "<0x41>", "▁"]
+
+
+def test_alignment_is_the_brute_force_one(spark):
+    from cairn.llm import align
+
+    rng = random.Random(12)
+    odd = [None, "", " ", "  ", "\n", " \n a", "a  b", "a ", "don't x's, dogs' ''s", "\x00a \x00", "a" * 3_000, "word " * 6_000, "١٢٣ Ⅷ ǅ ʰ", "same text", "same text", "▁x"]
+    odd += ["".join(rng.choices(BITS[: len(BITS) - (k % 4 > 0)], k=rng.randint(1, 40))) for k in range(1_200)]
+    rows = [(i if i else None, t) for i, t in enumerate(odd)] + [(4, "  "), (4, "again here")]
+    df = spark.createDataFrame([(i, t, "x", 3) for i, t in rows], "doc_id long, text string, key string, chunk int").repartition(3)
+    want = sorted(brute_alignment(rows, *align.default_vocabularies()), key=str)
+    for size in (3_000, 8_000_000):
+        assert sorted(map(tuple, align.aligned(df, *align.default_vocabularies(), chunk_bytes=size).collect()), key=str) == want
+    assert sum(r[1] > 0 for r in want) > 800 and align.aligned(df.limit(0), *align.default_vocabularies()).count() == 0
+
+
+def test_alignment_query_and_pairs(spark, docs):
+    from cairn.llm import align
+
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert sorted(map(tuple, align.op12_query(spark, SF).collect())) == sorted(brute_alignment(rows, *align.default_vocabularies()))
+    pairs = align.pair_counts(align.chunks(docs, *align.default_vocabularies(), chunk_bytes=50_000))
+    assert pairs.groupBy("a").agg(F.max(F.col("best"))).filter("not `max(best)`").count() == 0
+    assert pairs.groupBy("a", "b").count().filter("count > 1").count() == 0
+
+
+def test_alignment_forgets_words_within_bounds(spark, docs, monkeypatch):
+    from cairn.llm import align
+
+    made = align.Aligner(*align.default_vocabularies())
+    assert made.cuts and made.stems and made.ranks is not None
+    before = [made.words[w] for w in made.cut(b"some words, more words")]
+    made.learn()
+    texts = [made.text[i] for i in before]
+    monkeypatch.setattr(align, "_WORDS", 1)
+    assert made.full()
+    made.forget()
+    again = [made.words[w] for w in made.cut(b"more words some words,")]
+    made.learn()
+    assert {made.text[i] for i in again} == set(texts)
+    # without safe cuts, texts are encoded whole, to the same groups
+    made.forget()
+    made.cuts = made.stems = False
+    made.ranks = None
+    whole = [made.words[w] for w in made.cut(b"some words, more words")]
+    made.learn()
+    assert [made.text[i] for i in whole] == [";".join(texts)]
+
+
+# 13 importance resampling
+
+def brute_resampling(rows, target, percent=25, least=20, seed=7):
+    words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    bucket = lambda f: zlib.crc32(f.encode()) % 10_000
+    features = lambda t: [bucket(w) for w in words(t)] + [bucket(f"{x} {y}") for x, y in zip(words(t), words(t)[1:])]
+    s, t = Counter(), Counter()
+    for _, text in rows:
+        s.update(features(text))
+    for text in target:
+        t.update(features(text))
+    big_s, big_t = sum(s.values()), sum(t.values())
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (big_s + 10_000) / ((s[b] + 1) * (big_t + 10_000)))) for b in range(10_000)]
+    out, able = [], []
+    for k, (doc, text) in enumerate(rows):
+        f = features(text)
+        weight = sum(gain[b] for b in f) // len(f) if f else 0
+        h = int(hashlib.sha256(f"{seed}:{'' if doc is None else doc}".encode()).hexdigest()[:8], 16)
+        score = weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+        out.append([doc, len(f), weight, score, None])
+        if len(words(text)) >= least:
+            able.append((-score, doc is None, doc or 0, len(f), k))
+    for rank, (*_, k) in enumerate(sorted(able)[: percent * len(able) // 100], 1):
+        out[k][4] = rank
+    return sorted(map(tuple, out), key=str)
+
+
+def test_resampling_is_the_brute_force_one(spark, docs):
+    from cairn.llm import resample
+
+    target = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert sorted(map(tuple, resample.op13_query(spark, SF).collect()), key=str) == brute_resampling(rows, target)
+
+
+def test_resampling_of_odd_rows(spark, docs, odd, none, monkeypatch):
+    from cairn.llm import resample
+
+    rng = random.Random(13)
+    rows = [(r[0], r[1]) for r in ODD] + [(i, " ".join(rng.choices(["Foo", "b-ar", "ÉÀ", "7up", "x_y", "中文"], k=rng.randint(0, 60)))) for i in range(20, 120)] + [(500, "tie word " * 15)] * 30 + [(None, "tie word " * 15)] * 30
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, weight int, w string").repartition(4)
+    target = spark.createDataFrame([("foo bar 7up",), (None,), ("",)], "text string")
+    monkeypatch.setattr(resample, "_STEP", 7)
+    for percent in (0, 25, 90, 100):
+        got = resample.drawn(df, target, percent)
+        assert sorted(map(tuple, got.collect()), key=str) == brute_resampling(rows, ["foo bar 7up", None, ""], percent)
+    assert resample.drawn(none, target).count() == 0
+    assert resample.drawn(odd, target.limit(0)).count() == odd.count()
+    plan = resample.weights(docs, target)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Exchange" not in plan and "Python" not in plan
