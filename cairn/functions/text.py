@@ -154,6 +154,20 @@ def shortened(text: Column, most: int) -> Column:
     return F.when(F.length(line) > most, F.concat(F.substring(line, 1, most - 3), F.lit("..."))).otherwise(line)
 
 
+#: fixed values: names that statements use bare, and their full names
+FULL_NAMES = {
+    "𝓝": "nhds", "cexp": "Complex.exp", "rexp": "Real.exp", "sqrt": "Real.sqrt", "succ": "Nat.succ", "choose": "Nat.choose", "lcm": "Nat.lcm", "natAbs": "Int.natAbs",
+    "Perm": "Equiv.Perm", "Simplex": "Affine.Simplex", "dist": "Dist.dist", "esymm": "Multiset.esymm", "Prime": "_root_.Prime",
+}
+
+
+def qualified(statement: Column, names: dict[str, str] = FULL_NAMES) -> Column:
+    """Bare names by their full ones; a name that is part of another, or behind a dot, is none."""
+    for bare, full in names.items():
+        statement = F.regexp_replace(statement, rf"(?U)(?<![\w.]){bare}(?!\w)", full)
+    return statement
+
+
 def cut_bytes(text: Column, most: int) -> Column:
     """The longest beginning of at most ``most`` bytes of UTF-8 that ends between characters."""
     b = F.encode(text, "UTF-8")

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.statements import theorem_of
+from ..functions import text as T
 
 
 def trajectories(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -49,7 +49,7 @@ def markdown(rows: DataFrame, limit: int = 1000) -> str:
 
 
 def source_file(theorems: DataFrame, skipped: DataFrame, module: str, opens: tuple[str, ...] = (), preamble: tuple[str, ...] = ()) -> DataFrame:
-    """One row, ``text``: a source with the theorems (pos, name, statement) left open, in order, and what was left out.
+    """One row, ``text``: a source with the theorems (pos, name, statement) left open, in order, bare names in full, and what was left out.
 
     Names lose colons at their end; a quantifier before IsGreatest or IsLeast, which binds nothing,
     goes. Skipped are names in ``skipped`` (name), blank statements and those with
@@ -60,7 +60,7 @@ def source_file(theorems: DataFrame, skipped: DataFrame, module: str, opens: tup
     bare = F.regexp_replace("name", ":+$", "")
     statement = F.regexp_replace("statement", r"^∀ (?=Is(Greatest|Least) )", "")
     reason = F.when(F.col("_s").isNotNull(), "in skip list").when(F.trim(F.coalesce("statement", F.lit(""))) == "", "empty statement").when(F.col("statement").contains("NNReal.IsConjExponent"), "NNReal.IsConjExponent (Mathlib version mismatch)")
-    line = F.when(reason.isNull(), F.concat(theorem_of(bare, statement), F.lit("\n")))
+    line = F.when(reason.isNull(), F.concat(F.lit("theorem "), bare, F.lit(" : "), T.qualified(statement), F.lit(" := by sorry\n")))
     rows = marked.select("pos", line.alias("line"), F.when(reason.isNotNull(), F.concat(F.lit("--   "), bare, F.lit(": "), reason)).alias("note"))
     sorted_ = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("pos", c)))), lambda r: r[c])
     head = "\n".join([f"-- Generated benchmark file: {module}", "", "import Mathlib", "", "set_option maxHeartbeats 800000", "", "open " + " ".join(dict.fromkeys(["Real", *opens])), "", *[x for p in preamble for x in (p, "")]])

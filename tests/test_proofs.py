@@ -1,5 +1,6 @@
 """Proof texts: steps, comments, statements, logs and answers."""
 import pytest
+from pyspark.sql import functions as F
 
 from cairn.functions import proofs as P
 
@@ -73,22 +74,16 @@ def test_columns(spark):
     assert [r.s for r in got] == [["have h : P", "simp", "ring"], None, []] and got[1].f is None and got[0].i.tactic_count == 2 and got[2].d == []
 
 
-@pytest.mark.parametrize("text,want", [
-    ("Tendsto f (𝓝[>] x) y", "Tendsto f (nhdsWithin x (Set.Ioi x)) y"), ("nhds[≠] (ts k.1)", "nhdsWithin (ts k.1) ({(ts k.1)}ᶜ)"), ("nhds[S] ⟨1,1⟩", "nhdsWithin ⟨1,1⟩ S"),
-    ("∀ (x : ℝ) (h : x > 0) : x ≠ 0", "∀ (x : ℝ) (h : x > 0), x ≠ 0"), ("((x : ℝ) : ℂ) = 1", "((x : ℝ) : ℂ) = 1"),
-    ("(n + (m)!)! = 5!", "(Nat.factorial (n + (Nat.factorial (m)))) = (Nat.factorial 5)"), ("x ∈ {y : ℝ | y > 0}", "x ∈ ({y : ℝ | y > 0})"),
-    ("({y | P})", "({y | P})"), ("x ^ (1 / 3) = sqrt 2", "x ^ ((1 : ℝ) / 3) = Real.sqrt 2"), ("∑ k in s, choose n k", "∑ k ∈ s, Nat.choose n k"),
-    ("let a := 1 let b := 2", "let a := 1; let b := 2"), ("(X : Set ℕ), a ∈ X", "(X_set : Set ℕ), a ∈ X_set"), ("a[b[1]]", "a[b[1] ]"),
-])
-def test_mended(text, want):
-    from cairn.functions.statements import mended
-
-    assert mended(text) == want
+def test_qualified(spark):
+    from cairn.functions import text
 
+    pairs = [("∑ k ∈ s, choose n k = sqrt 2", "∑ k ∈ s, Nat.choose n k = Real.sqrt 2"), ("Real.sqrt x", "Real.sqrt x"), ("sqrt2 + my_sqrt", "sqrt2 + my_sqrt"), ("Tendsto f (𝓝 0)", "Tendsto f (nhds 0)"), (None, None)]
+    got = spark.createDataFrame([(a,) for a, _ in pairs], "t string").select(text.qualified(F.col("t")).alias("x")).collect()
+    assert [r.x for r in got] == [b for _, b in pairs]
 
-def test_as_theorem():
-    from cairn.functions.statements import as_theorem
 
-    assert as_theorem("t", "∀ (x : ℕ), x = x") == "theorem t : ∀ (x : ℕ), x = x := by sorry"
-    assert as_theorem("t", "∀ abbrev s : ℕ := sorry theorem t (x : ℕ) (h : x = 1), x = s") == "abbrev s : ℕ := sorry\n\ntheorem t (x : ℕ) (h : x = 1) : x = s := by sorry"
-    assert as_theorem("t", "abbrev s : ℕ := sorry theorem t : s = 1") == "abbrev s : ℕ := sorry\n\ntheorem t : s = 1 := by sorry"
+def test_definitions_and_open_theorems():
+    source = "import M\n/- note\nabbrev no_solution : N := sorry -/\nnoncomputable abbrev a_solution :\n  Set N := sorry -- {1}\n\ndef two (x : N) : N :=\n  x + x\n\nnoncomputable def r : R := 1\ndef b_solution := 3\ntheorem t (x : N)\n  : x = two x := by\n  sorry\n"
+    assert P.definitions(source) == ["noncomputable abbrev a_solution : Set N := sorry", "def two (x : N) : N :=\n  x + x", "noncomputable def r : R := 1"]
+    assert P.declarations("theorem a : (let y := 1; y = 1) := sorry\ntheorem b (x : N) : x = x := by\n  sorry\ntheorem c : P := by rfl\ntheorem") == [{"name": "a", "statement": "(let y := 1; y = 1)"}, {"name": "b", "statement": "∀ (x : N), x = x"}]
+    assert P.definitions("") == [] and P.declarations("") == []
