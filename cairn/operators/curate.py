@@ -55,10 +55,11 @@ def with_depth(pairs: DataFrame, key: str, *order: str) -> DataFrame:
     return pairs.withColumn("depth", F.row_number().over(W.partitionBy(key).orderBy(*order)) - 1)
 
 
-def complete_groups(pairs: DataFrame, key: str, depth: str, least: int = 1) -> DataFrame:
-    """Keys whose depths are 0 to n - 1, each once, with n of ``least`` or more."""
+def complete_groups(pairs: DataFrame, key: str, depth: str, least: int = 1, sample: int | None = None, seed: str = "") -> DataFrame:
+    """Keys whose depths are 0 to n - 1, each once, with n of ``least`` or more; ``sample`` of them, those with the lowest hashes, if given."""
     by = pairs.groupBy(key).agg(F.min(depth).alias("a"), F.max(depth).alias("b"), F.count("*").alias("n"), F.count_distinct(depth).alias("d"))
-    return by.filter((F.col("a") == 0) & (F.col("b") == F.col("n") - 1) & (F.col("d") == F.col("n")) & (F.col("n") >= least)).select(key, "n")
+    whole = by.filter((F.col("a") == 0) & (F.col("b") == F.col("n") - 1) & (F.col("d") == F.col("n")) & (F.col("n") >= least)).select(key, "n")
+    return whole if sample is None else hash_sample(whole, key, sample, seed)
 
 
 def deep_keys(pairs: DataFrame, key: str, depth: str, least: int) -> DataFrame:

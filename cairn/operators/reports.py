@@ -198,9 +198,13 @@ def attempts_rollup(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("theorem", "temperature").agg(F.count("*").alias("attempts"), F.count_if("compiled").alias("compiled"), ok(F.col("proof")).alias("proofs"), ok(first).alias("first_lines"))
 
 
+#: fixed values: how sources that compiled are marked
+COMPILED = ("ok", "warn")
+
+
 def integrity(sources: DataFrame) -> DataFrame:
     """Of sources (seq, status, text) that compiled: clean, contaminated, suspicious, trivial ones; whether 90 % are clean."""
-    rows = sources.filter(F.col("status") == "pass").select("seq", P.integrity_of(F.col("text")).alias("i")).select("seq", "i.*")
+    rows = sources.filter(F.col("status").isin(*COMPILED)).select("seq", P.integrity_of(F.col("text")).alias("i")).select("seq", "i.*")
     clean = F.count_if(~F.col("contaminated"))
     return rows.agg(F.count("*").alias("passing"), clean.alias("clean"), F.count_if("contaminated").alias("contaminated"), F.count_if(F.size("suspicious") > 0).alias("suspicious"), F.count_if("trivial").alias("trivial"),
                     r6(F.coalesce(100 * clean / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0))).alias("clean_pct"), F.coalesce(100 * clean / F.nullif(F.count("*"), F.lit(0)) >= 90, F.lit(False)).alias("gate"))
@@ -212,6 +216,33 @@ def contamination_words(sources: DataFrame) -> DataFrame:
     return sources.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("sources"))
 
 
+def integrity_document(sources: DataFrame) -> DataFrame:
+    """One row, ``document``: the figures of :func:`integrity` as JSON, with how many sources hold each word, and how many texts are missing."""
+    passing = sources.filter(F.col("status").isin(*COMPILED))
+    words = contamination_words(passing).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", "sources")))).alias("contamination_breakdown"))  # a row for each word
+    whole = sources.agg(F.count("*").alias("total_compiled"), F.count_if(F.col("status").isin(*COMPILED) & F.col("text").isNull()).alias("files_not_found"))
+    rows = integrity(sources).join(F.broadcast(whole)).join(F.broadcast(words))
+    share = lambda c: F.round(F.coalesce(F.try_divide(100 * F.col(c), F.col("passing")), F.lit(0.0)), 2)
+    return rows.select(F.to_json(F.struct("total_compiled", F.col("passing").alias("total_passing"), F.col("clean").alias("total_clean"), F.col("contaminated").alias("total_contaminated"), share("clean").alias("clean_percentage"), share("contaminated").alias("contaminated_percentage"),
+                                          "contamination_breakdown", F.col("suspicious").alias("suspicious_axiom_count"), F.col("trivial").alias("trivial_proof_count"), "files_not_found")).alias("document"))
+
+
+def compile_document(results: DataFrame) -> DataFrame:
+    """One row, ``document``: of files (file, status) how many compiled, as JSON, with those that failed and those that ran out of time, by name."""
+    failed = lambda s: F.array_sort(F.collect_list(F.when(F.col("status") == s, F.col("file"))))
+    lists = results.filter("status IN ('error', 'timeout')").agg(failed("error").alias("error_files"), failed("timeout").alias("timeout_files"))
+    rate = F.coalesce(F.concat(F.format_number("pass_rate", 1), F.lit("%")), F.lit("N/A"))
+    return compile_counts(results).join(F.broadcast(lists)).select(F.to_json(F.struct(F.col("total").alias("total_processed"), "ok", "warnings", "errors", "timeouts", rate.alias("pass_rate"), "error_files", "timeout_files")).alias("document"))
+
+
+def probe_document(found: DataFrame, elapsed_secs: float) -> DataFrame:
+    """One row, ``document``: of theorems (name, statement, split: easy, hard or error) which are easy and which hard, by name, as JSON, with counts."""
+    of = lambda s: F.array_sort(F.collect_list(F.when(F.col("split") == s, F.struct("name", "statement"))))
+    n = lambda s: F.count_if(F.col("split") == s)
+    stats = F.struct(F.count("*").alias("total"), n("easy").alias("easy"), n("hard").alias("hard"), n("error").alias("errors"), F.lit(float(elapsed_secs)).alias("elapsed_secs"))
+    return found.agg(stats.alias("stats"), of("easy").alias("easy"), of("hard").alias("hard")).select(F.to_json(F.struct("stats", "easy", "hard")).alias("document"))
+
+
 def error_counts(log: DataFrame, message: str) -> DataFrame:
     """error, n: the classes of start-up errors."""
     return log.groupBy(T.error_class(F.col(message)).alias("error")).agg(F.count("*").alias("n"))

@@ -85,9 +85,10 @@ def negative_tiers(traj: DataFrame) -> DataFrame:
 
 
 def leaves(traj: DataFrame) -> DataFrame:
-    """States that are no one's parent and not complete."""
+    """States that are no one's parent and not complete, and have goals; a root may have none."""
     parents = traj.filter("parent_state_id is not null").select("theorem_name", F.col("parent_state_id").alias("state_id")).distinct()
-    return traj.filter("not is_proof_complete").join(parents, ["theorem_name", "state_id"], "left_anti")
+    goals = F.coalesce(F.trim("state_pp", F.lit(" \n\t\r")), F.lit("")) != ""
+    return traj.filter("not is_proof_complete").filter(goals | F.col("parent_state_id").isNull()).join(parents, ["theorem_name", "state_id"], "left_anti")
 
 
 def backed_up(traj: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def test_answers(spark):
 
 
 def test_reports(spark):
-    src = spark.createDataFrame([(1, "pass", "theorem a : P := by\n  simp\n  ring"), (2, "pass", "theorem b : P := by sorry"), (3, "fail", "x"), (4, "pass", "theorem c : P := by rfl"), (5, "pass", None)], "seq int, status string, text string")
+    src = spark.createDataFrame([(1, "ok", "theorem a : P := by\n  simp\n  ring"), (2, "warn", "theorem b : P := by sorry"), (3, "error", "x"), (4, "ok", "theorem c : P := by rfl"), (5, "ok", None)], "seq int, status string, text string")
     r = R.integrity(src).first()
     assert (r.passing, r.clean, r.contaminated, r.trivial, r.gate) == (4, 2, 1, 1, False) and R.contamination_words(src).collect()[0].word == "sorry"
     th = spark.createDataFrame([("f", 1, "a"), ("f", 10, "b"), ("g", 5, "c")], "file string, line int, name string")
@@ -57,6 +57,19 @@ def test_reports(spark):
     assert list(map(tuple, R.year_stats(y).collect())) == [(1990, 2, 1)]
 
 
+def test_documents_of_runs(spark):
+    import json
+
+    one = lambda df: json.loads(df.first().document)
+    src = spark.createDataFrame([(1, "ok", "theorem a : P := by\n  simp\n  ring"), (2, "warn", "theorem b : P := by sorry"), (3, "error", "sorry"), (4, "ok", "theorem c : P := by rfl"), (5, "ok", None)], "seq int, status string, text string")
+    assert one(R.integrity_document(src)) == {"total_compiled": 5, "total_passing": 4, "total_clean": 2, "total_contaminated": 1, "clean_percentage": 50.0, "contaminated_percentage": 25.0, "contamination_breakdown": {"sorry": 1}, "suspicious_axiom_count": 0, "trivial_proof_count": 1, "files_not_found": 1}
+    files = spark.createDataFrame([("b", "error"), ("a", "error"), ("c", "ok"), ("d", "timeout")], "file string, status string")
+    assert one(R.compile_document(files)) == {"total_processed": 4, "ok": 1, "warnings": 0, "errors": 2, "timeouts": 1, "pass_rate": "25.0%", "error_files": ["a", "b"], "timeout_files": ["d"]}
+    assert one(R.compile_document(files.limit(0)))["pass_rate"] == "N/A"
+    found = spark.createDataFrame([("b", "q", "easy"), ("a", "p", "easy"), ("c", "r", "hard"), ("d", "s", "error")], "name string, statement string, split string")
+    assert one(R.probe_document(found, 1.5)) == {"stats": {"total": 4, "easy": 2, "hard": 1, "errors": 1, "elapsed_secs": 1.5}, "easy": [{"name": "a", "statement": "p"}, {"name": "b", "statement": "q"}], "hard": [{"name": "c", "statement": "r"}]}
+
+
 def test_startup_errors(spark):
     lines = ["12:00 Search error, skipping theorem=\"a\" error=Unknown identifier `𝓝` at 3", "Search error, skipping  theorem=\"b\" error=expected token", "Search error, skipping theorem=\"b\" error= Tactic timed out ", "nothing", "Search error, skipping theorem=\"c\" error=Unknown identifier `tetration`", "Search error, skipping theorem=\"d\" error=Unknown identifier", "Search error, skipping theorem=\"e\" error=Symbol not found"]
     log = spark.createDataFrame(list(enumerate(lines)), "at int, line string")

@@ -137,3 +137,39 @@ def test_cut_bytes(spark):
     for most in range(0, 9):
         got = [r.x for r in df.select(T.cut_bytes(F.col("t"), most).alias("x")).collect()]
         assert got == [t.encode()[:most].decode("utf-8", "ignore") for t in texts] + [None]
+
+
+def test_leaves_have_goals(spark):
+    rows = [("t", 0, None, " ", False), ("t", 1, 0, "⊢ a", False), ("t", 2, 0, " \n", False), ("t", 3, 0, "⊢ c", True), ("u", 0, None, " ", False), ("u", 1, None, None, False)]
+    df = spark.createDataFrame(rows, "theorem_name string, state_id long, parent_state_id long, state_pp string, is_proof_complete boolean")
+    assert sorted((r.theorem_name, r.state_id) for r in tree.leaves(df).collect()) == [("t", 1), ("u", 0), ("u", 1)]
+
+
+def test_small_functions(spark, tmp_path):
+    import hashlib
+
+    from cairn.operators import curate
+
+    texts = ["rw [Nat.succ_le, h₀.symm] Foo", "x", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.x for r in df.select(T.lemma_names(F.col("t")).alias("x")).collect()] == ["Nat.succ_le,h₀.symm,Foo", "", None]
+    assert [r.x for r in spark.createDataFrame([("Failed to Synthesize x",), ("⊢ a",), ("unknown identifier",)], "t string").select(T.broken_state(F.col("t")).alias("x")).collect()] == [True, False, True]
+    v = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [1, 1, 0]), ([[1.0, 2.0]], [0])], "r array<array<double>>, m array<int>")
+    assert [r.x for r in v.select(V.mean_pool(F.col("r"), F.col("m")).alias("x")).collect()] == [[2.0, 3.0], [0.0, 0.0]]
+    tok = spark.createDataFrame([([5, 1, 2, 7, 8],), ([5, 6],), ([1, 2],)], "x array<int>")
+    assert [r.y for r in tok.select(curate.completion_labels(F.col("x"), [1, 2]).alias("y")).collect()] == [[-100, -100, -100, 7, 8], [-100, -100], [-100, -100]]
+    steps = spark.createDataFrame([(i, "simp" if i % 2 else "have h") for i in range(400)], "k int, tactic string")
+    kept = {r.k for r in curate.thinned(steps, "tactic", F.col("k")).collect()}
+    assert kept == {i for i in range(400) if not i % 2 or int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) / 4294967295 < 0.1}
+    pairs = spark.createDataFrame([(f"t{i}", d) for i in range(30) for d in range(3)] + [("gap", 0), ("gap", 2)], "theorem string, depth int")
+    assert curate.complete_groups(pairs, "theorem", "depth", 2, sample=7).count() == 7 and curate.complete_groups(pairs, "theorem", "depth", 2).count() == 30
+    for name, text in (("b.lean", "theorem b"), ("a.lean", "line\n\x1b[32mgreen\x1b[0m")):
+        (tmp_path / name).write_text(text)
+    assert [r.text for r in readers.whole_texts(spark, str(tmp_path), 1).collect()] == ["line\n\x1b[32mgreen\x1b[0m"] and readers.whole_texts(spark, str(tmp_path)).count() == 2
+    assert [r.line for r in readers.log_lines(spark, str(tmp_path / "a.lean")).collect()] == ["line", "green"]
+    (tmp_path / "r.json").write_text('{"completed": {"3": {"status": "ok", "module": "M"}}}')
+    assert list(map(tuple, readers.compile_results(spark, str(tmp_path / "r.json")).collect())) == [("3", "ok", "M")]
+    (tmp_path / "p.json").write_text('{"t": {"0.5": ["a", "b"]}}')
+    assert list(map(tuple, readers.proof_attempts(spark, str(tmp_path / "p.json")).collect())) == [("t", "0.5", 0, "a"), ("t", "0.5", 1, "b")]
+    two = spark.createDataFrame([("a", 1), ("b", 2)], "theorem_name string, x int")
+    assert readers.for_theorem(two, "b").first().x == 2
