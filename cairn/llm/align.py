@@ -103,7 +103,7 @@ class Aligner:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) or self.b.is_unknown(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.size_a, self.size_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
         rules = [x and json.loads(x.__getstate__()) for x in (self.a.normalizer, self.a.pre_tokenizer, self.a.post_processor)]
-        plain = [p for i, p in enumerate(pieces) if not self.b.is_byte(i)]
+        plain = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
         self.cuts = rules == [None, _BYTE_LEVEL, None] and not any("▁" in p.lstrip("▁") for p in plain)
         self.stems = self.cuts and not any("\n" in p or any(x in _LETTERS and y in _SIGNS for x, y in zip(p, p[1:])) for p in plain)
         self.ranks = self._ranks()
