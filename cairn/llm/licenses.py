@@ -11,7 +11,8 @@ the driver from the notices, varied with a fixed seed, and from at most ``max_ne
 the corpus; one temperature, fitted on other variants, other names and licences kept aside
 (``ASIDE``), calibrates all classes. A window that is likelier a licence than not is of the likeliest
 family if its probability is ``sure`` or more, else ``unknown``. A family is confirmed if the window
-and one of its templates share enough bigrams, one of which at least occurs in no other notice.
+and one of its templates share enough bigrams, one of which at least occurs in no other notice, and
+none makes another licence's name of the family's (``FURTHER``: MIT-0 isn't MIT); ``NEAR`` has such licences for training.
 
 The scan is a pass with SQL functions: only windows around a trigger word are made at all, their
 bigrams are joined with the broadcast weights (a table fixed in size by the notices), and summed.
@@ -38,6 +39,8 @@ TEMPLATES = {
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
         "See the License for the specific language governing permissions and limitations under the License.",
         "SPDX-License-Identifier: Apache-2.0",
+        "License: Apache-2.0",
+        "Licensed under Apache 2.0.",
     ],
     "MIT": [
         "Released under the MIT License.",
@@ -45,6 +48,9 @@ TEMPLATES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "SPDX-License-Identifier: MIT",
+        "License: MIT",
+        "MIT licensed. See LICENSE for details.",
+        "The MIT License (MIT)",
     ],
     "BSD": [
         "Licensed under the BSD License.",
@@ -53,6 +59,8 @@ TEMPLATES = {
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "License: BSD-3-Clause",
+        "Modified BSD License",
     ],
     "GPL": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -60,46 +68,56 @@ TEMPLATES = {
         "You should have received a copy of the GNU General Public License along with this program.",
         "Licensed under the GPL, version 2 or later.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "License: GPL-3.0",
+        "Distributed under the terms of the GNU GPL v3.",
     ],
     "LGPL": [
         "Licensed under the GNU Lesser General Public License, version 2.1.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
         "SPDX-License-Identifier: LGPL-2.1-only",
+        "License: LGPL-2.1",
     ],
     "AGPL": [
         "Licensed under the GNU Affero General Public License, version 3.",
         "You should have received a copy of the GNU Affero General Public License along with this program.",
         "SPDX-License-Identifier: AGPL-3.0-only",
+        "License: AGPL-3.0",
     ],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
         "SPDX-License-Identifier: MPL-2.0",
+        "License: MPL-2.0",
     ],
     "ISC": [
         "Licensed under the ISC License.",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
         "SPDX-License-Identifier: ISC",
+        "License: ISC",
     ],
     "CC-BY": [
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-4.0",
+        "License: CC-BY-4.0",
     ],
     "CC-BY-SA": [
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-SA-4.0",
+        "License: CC-BY-SA-4.0",
     ],
     "CC-BY-NC": [
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-NC-4.0",
+        "License: CC-BY-NC-4.0",
     ],
     "CC0": [
         "Released under CC0 1.0.",
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0 Universal.",
         "SPDX-License-Identifier: CC0-1.0",
+        "License: CC0-1.0",
     ],
 }
 #: notices of other licences and of none
@@ -122,6 +140,32 @@ FOREIGN = [
     "SPDX-License-Identifier: OFL-1.1",
     "SPDX-License-Identifier: LicenseRef-Proprietary",
 ]
+#: notices of licences whose names begin as a family's do
+NEAR = [
+    "SPDX-License-Identifier: MIT-0",
+    "License: MIT-0",
+    "Licensed under the MIT-0 License.",
+    "Licensed under the MIT No Attribution License.",
+    "Licensed under the Apache License, Version 1.1.",
+    "SPDX-License-Identifier: Apache-1.1",
+    "Licensed under CC BY-ND 4.0.",
+    "SPDX-License-Identifier: CC-BY-ND-4.0",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "Licensed under CC BY-NC-SA 4.0.",
+    "SPDX-License-Identifier: CC-BY-NC-SA-4.0",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "Licensed under CC BY-NC-ND 4.0.",
+    "SPDX-License-Identifier: CC-BY-NC-ND-4.0",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+]
+#: bigrams that make another licence of a family's name; a window with one of them confirms no such family
+FURTHER = {
+    "MIT": ["mit 0", "mit no"],
+    "Apache-2.0": ["apache 1", "version 1"],
+    "CC-BY": ["by nd", "attribution noderivatives"],
+    "CC-BY-SA": ["nc sa", "noncommercial sharealike"],
+    "CC-BY-NC": ["nc sa", "nc nd", "noncommercial sharealike", "noncommercial noderivatives"],
+}
 #: licences kept aside from training, for calibration
 ASIDE = [
     "The contents of this file are subject to the terms of the Common Development and Distribution License.",
@@ -143,6 +187,8 @@ PROSE = [
     "The general public was not admitted to the creative writing class.",
     "The foundation released a report under the title of its last conference.",
     "Either version of the story may be true, but the limitations of both are plain.",
+    "Sie verloren mit 0 zu 3, und mit no name Schuhen war der Weg zu weit.",
+    "Er kam mit 0 Punkten nach Hause, mit no als einzigem englischen Wort.",
 ]
 #: what names a licence in the templates; replaced by other names where ``unknown`` is trained
 _NAMED = re.compile(r"GNU (?:Lesser |Affero )?General Public|Creative Commons Attribution(?:-\w+)?|CC BY(?:-\w\w)?|\bCC0 1\.0(?: Universal)?|Mozilla Public|Apache|MIT|BSD(?:-style)?|\bISC|\b[LA]?GPL\b|\bMPL\b|Free Software Foundation|http\S+|(?<=Identifier: )\S+")
@@ -189,7 +235,7 @@ def _renamed(notice: str, rng, kind: int) -> str | None:
     return out if n else None
 
 
-def variants(rng, filler: list[str], each: int, kind: int, foreign: list[str]) -> tuple[list[str], list[int]]:
+def variants(rng, filler: list[str], each: int, kind: int, foreign: list[str], near: tuple[str, ...] = ()) -> tuple[list[str], list[int]]:
     """Windows that hold a notice, and their classes: words left out or replaced, prose around it."""
     out, y = [], []
 
@@ -217,6 +263,9 @@ def variants(rng, filler: list[str], each: int, kind: int, foreign: list[str]) -
     for notice in foreign:
         for k in range(2 * each):
             varied(notice, len(CLASSES) - 1, k)
+    for notice in near:
+        for k in range(2 * each):
+            varied(notice, len(CLASSES) - 1, k % 2)  # with all its words: one of them makes the difference
     return out, y
 
 
@@ -236,7 +285,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 @functools.lru_cache(4)
 def train(negatives: tuple[str, ...], rounds: int = 150, each: int = 12, seed: int = 11):
     """(vocabulary, weights (bigrams and intercept x classes), temperature); ``negatives`` are windows of the corpus."""
-    notices = [t for _, t in _notices()] + FOREIGN
+    notices = [t for _, t in _notices()] + FOREIGN + NEAR
     vocabulary = {g: i for i, g in enumerate(sorted(set().union(*map(features, notices))))}
     texts = [bigrams(t) for t in [*notices, *ASIDE]]
     held = lambda g: max((len(g & t) / len(t) for t in texts), default=0)
@@ -245,7 +294,7 @@ def train(negatives: tuple[str, ...], rounds: int = 150, each: int = 12, seed: i
 
     def made(kind, own):
         rng = np.random.Generator(np.random.PCG64(seed + kind))
-        lines, y = variants(rng, filler, each if kind == 0 else 4, kind, ASIDE if kind else FOREIGN)
+        lines, y = variants(rng, filler, each if kind == 0 else 4, kind, ASIDE if kind else FOREIGN, tuple(NEAR))
         # prose that holds single bigrams of notices, as any may
         grams = sorted(vocabulary)
         for _ in range(400 if kind == 0 else 150):
@@ -254,6 +303,13 @@ def train(negatives: tuple[str, ...], rounds: int = 150, each: int = 12, seed: i
                 some.insert(int(rng.integers(0, len(some) + 1)), str(g))
             lines.append(" ".join(some))
             y.append(0)
+        # and what makes another licence of a name, which is prose by itself ("mit 0" is German)
+        for g in sorted({g for gs in FURTHER.values() for g in gs}):
+            for _ in range(24 if kind == 0 else 8):
+                some = rng.choice(filler, rng.integers(0, SPAN - 2)).tolist()
+                some.insert(int(rng.integers(0, len(some) + 1)), g)
+                lines.append(" ".join(some))
+                y.append(0)
         lines += own + [""] * 20
         return _vectors(lines, vocabulary), np.array(y + [0] * (len(own) + 20))
 
@@ -328,7 +384,9 @@ def scan(docs: DataFrame, sure: float = 0.6, overlap: float = 0.5, max_negatives
     vocabulary, w, temperature = train(negatives)
     notices = [features(t) for _, t in _notices()]
     owner, own = [c - 1 for c, _ in _notices()], own_features()
-    rows = [(g, [float(v) for v in w[i]], [int(g in t) for t in notices], [int(g in o) for o in own]) for g, i in vocabulary.items()]
+    # what speaks against a family outweighs all that is its own
+    own_less = lambda g, c: int(g in own[c]) - 1000 * int(g in FURTHER.get(FAMILIES[c], ()))
+    rows = [(g, [float(v) for v in w[i]], [int(g in t) for t in notices], [own_less(g, c) for c in range(len(FAMILIES))]) for g, i in vocabulary.items()]
     weights = F.broadcast(spark.createDataFrame(rows, "gram string, w array<double>, m array<int>, o array<int>"))
     parts = _once(windows(docs, triggers(vocabulary, w, negatives)))
     hits = parts.select("doc_id", "row", "paragraph", "word", F.explode("grams").alias("gram")).join(weights, "gram")

@@ -702,7 +702,7 @@ def brute_windows(text):
 
 def brute_licences(rows, negatives):
     """(doc, paragraph, family) -> (probability, overlap, confirmed): every window, triggers or not."""
-    from cairn.llm.licenses import FAMILIES, TEMPLATES, features, own_features, train
+    from cairn.llm.licenses import FAMILIES, FURTHER, TEMPLATES, features, own_features, train
 
     vocabulary, w, temperature = train(negatives)
     own = own_features()
@@ -718,7 +718,7 @@ def brute_licences(rows, negatives):
                 c = int(p[1:-1].argmax())
                 sure = p[1 + c] >= 0.6
                 over = max(min(1.0, len(grams & features(t)) / min(24, len(features(t)))) for t in TEMPLATES[FAMILIES[c]])
-                found.append((k, a, FAMILIES[c] if sure else "unknown", p[1 + c] if sure else 1 - p[0] - p[1 + c], over, bool(sure and over >= 0.5 and grams & own[c])))
+                found.append((k, a, FAMILIES[c] if sure else "unknown", p[1 + c] if sure else 1 - p[0] - p[1 + c], over, bool(sure and over >= 0.5 and grams & own[c] and not grams & set(FURTHER.get(FAMILIES[c], ())))))
         for k, a, family, p, over, confirmed in found:
             if family == "unknown" and any(f[0] == k and abs(f[1] - a) <= 30 and f[2] != "unknown" for f in found):
                 continue
@@ -756,6 +756,20 @@ def test_licences(spark, odd, none):
     assert scan(odd).count() == 0 and scan(none).count() == 0
 
 
+def test_short_notices_and_near_misses(spark):
+    from cairn.llm.licenses import scan
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    right = [("SPDX-License-Identifier: MIT", "MIT"), ("License: MIT", "MIT"), ("See LICENSE for details. MIT licensed.", "MIT"), ("License: GPL-3.0", "GPL"), ("This is distributed under the terms of the GNU GPL v3", "GPL"), ("Modified BSD License", "BSD"), ("License: Apache-2.0", "Apache-2.0"),
+             ("Licensed under CC BY 4.0.", "CC-BY"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC"), ("Licensed under CC BY-SA 4.0.", "CC-BY-SA"), ("Released under the ISC License.", "ISC"), ("License: MPL-2.0", "MPL-2.0")]
+    other = ["SPDX-License-Identifier: MIT-0", "License: MIT-0", "Licensed under CC BY-ND 4.0.", "Licensed under CC BY-NC-SA 4.0.", "SPDX-License-Identifier: CC-BY-NC-ND-4.0", "Licensed under the Apache License, Version 1.1.", "Licensed under the Eclipse Public License, version 2.0.", "Distributed under the Boost Software License, Version 1.0."]
+    rows = [(100_000 + i, t) for i, (t, _) in enumerate(right)] + [(200_000 + i, t) for i, t in enumerate(other)] + [(300_000, "Er ging mit dem Hund, mit no und mit 0 Sorgen."), (300_001, "Das Spiel endete mit 0 Toren."), (300_002, "Version 1 of the map was sold by nd, the old firm.")]
+    got = {r.doc_id: (r.family, r.confirmed) for r in scan(docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))).filter("doc_id >= 100000").collect()}
+    assert {t: got.get(100_000 + i) for i, (t, _) in enumerate(right)} == {t: (c, True) for t, c in right}
+    assert {t: got.get(200_000 + i) for i, t in enumerate(other)} == {t: ("unknown", False) for t in other}
+    assert not {300_000, 300_001, 300_002} & set(got)
+
+
 def test_licence_probabilities_are_calibrated(spark):
     from cairn.llm import licenses as L
 
