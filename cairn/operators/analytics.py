@@ -287,6 +287,13 @@ def time_to_proof(p: DataFrame) -> DataFrame:
     return by.filter("n > 1").select("*", r6(F.col("position") / F.col("n")).alias("ratio"))
 
 
+def time_to_proof_spread(p: DataFrame) -> DataFrame:
+    """One row: theorems, median and 90th percentile of how many states come before the first complete one, and the spread of the ratio."""
+    rows = time_to_proof(p)
+    counts = ranks.percentiles(rows, {"median_position": ("position", ranks.linear(0.5)), "p90_position": ("position", ranks.linear(0.9))})
+    return ranks.beside(distribution(rows, "ratio"), counts)
+
+
 def time_to_proof_buckets(p: DataFrame) -> DataFrame:
     """Counts that overlap: they are no partition."""
     r = F.col("ratio")

@@ -86,7 +86,7 @@ traj("separation_probe", lambda t: C.separation_probe(t.withColumn("state_pp", F
      """SELECT state, label FROM (SELECT 'x' || '', trim(list_last(string_split(state_pp, chr(10)))) AS state, label, row_number() OVER (PARTITION BY trim(list_last(string_split(state_pp, chr(10)))) ORDER BY theorem_name, state_id) AS k FROM traj WHERE depth_from_root > 1 AND state_id % 11 <> 0) WHERE k = 1""")
 prep("deepest_by_outcome", lambda p: C.deepest(p, "depth_from_root", "proved", "theorem_name"), "SELECT proved, theorem_name, max_depth FROM roll")
 over("blocked_impact", lambda spark, sf_dir: R.impact(*_tried(events(spark, sf_dir))), """WITH u AS (SELECT user_id, bool_or(event_type = 'purchase' AND value > 40) AS ok, bool_or(event_type = 'error' AND value > 60) AS bad FROM events GROUP BY 1), c AS (SELECT count(*) AS t, count(*) FILTER (ok) AS p, count(*) FILTER (bad) AS b FROM u)
-SELECT t AS tried, p AS proved, b AS broken, t - b AS pool, round(100 * p / t, 6) AS rate, round(100 * p / (t - b), 6) AS adjusted_rate, CAST(floor(p / (t - b) * b) AS BIGINT) AS extra, round(100 * (p + floor(p / (t - b) * b)) / t, 6) AS upper_rate FROM c""")
+SELECT t AS tried, p AS proved, b AS broken, t - b AS pool, round(100 * p / t, 6) AS rate, round(100 * r, 6) AS adjusted_rate, CAST(floor(r * b) AS BIGINT) AS extra, round(100 * (p + floor(r * b)) / t, 6) AS upper_rate FROM (SELECT *, coalesce(p / nullif(t - b, 0), 0) AS r FROM c)""")
 prep("best_candidates", lambda p: R.best_candidates(p.filter("not is_root"), ["theorem_name", "parent_state_id"], "tactic_applied", "llm_log_prob", "state_id").select("theorem_name", "state_id", "place"), """SELECT theorem_name, state_id, row_number() OVER (PARTITION BY theorem_name, parent_state_id ORDER BY llm_log_prob DESC, state_id) AS place
   FROM (SELECT *, row_number() OVER (PARTITION BY theorem_name, parent_state_id, tactic_applied ORDER BY state_id) AS k FROM step) WHERE k = 1""")
 def _runs(p):

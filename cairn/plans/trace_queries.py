@@ -111,6 +111,7 @@ _TTP = ", o AS (SELECT *, row_number() OVER (PARTITION BY theorem_name ORDER BY
 prep("time_to_proof", A.time_to_proof, _TTP + "SELECT theorem_name, position, n, round(position / n, 6) AS ratio FROM ttp")
 prep("time_to_proof_buckets", A.time_to_proof_buckets, _TTP + "SELECT count(*) AS n, count(*) FILTER (position / n < 0.1) AS below_10, count(*) FILTER (position / n < 0.25) AS below_25, count(*) FILTER (position / n < 0.5) AS below_50, count(*) FILTER (position / n >= 0.75) AS from_75 FROM ttp")
 _DIST = "count({0}) AS n, round(avg({0}), 6) AS mean, round(quantile_cont({0}, 0.5), 6) AS median, round(quantile_cont({0}, 0.25), 6) AS p25, round(quantile_cont({0}, 0.75), 6) AS p75, round(min({0}), 6) AS least, round(max({0}), 6) AS most"
+prep("time_to_proof_spread", A.time_to_proof_spread, _TTP + ", r AS (SELECT position, round(position / n, 6) AS ratio FROM ttp) SELECT " + _DIST.format("ratio") + ", quantile_cont(position, 0.5) AS median_position, quantile_cont(position, 0.9) AS p90_position FROM r")
 prep("log_prob_distribution", A.log_prob_distribution, "SELECT on_path, " + _DIST.format("llm_log_prob") + " FROM step WHERE proved GROUP BY on_path")
 prep("tactic_bigrams", A.bigrams, ", b AS (SELECT head AS a, lead(head) OVER (PARTITION BY theorem_name ORDER BY depth_from_root, state_id) AS b FROM step WHERE on_path) SELECT a, b, count(*) AS n FROM b WHERE b IS NOT NULL GROUP BY 1, 2 ORDER BY n DESC, a, b LIMIT 20")
 prep("path_strings", A.path_strings, "SELECT theorem_name, string_agg('d' || depth_from_root || ':' || head || '(' || state_size || ')', ' → ' ORDER BY depth_from_root, state_id) AS path FROM prep WHERE on_path GROUP BY 1")
