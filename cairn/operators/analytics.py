@@ -28,9 +28,11 @@ def prepare(traj: DataFrame) -> DataFrame:
     on_path goes by key: all rows of a (theorem, state) of which one is positive.
     """
     tactic = F.coalesce("tactic_applied", F.lit(""))
-    return traj.select(
-        "*", (tactic == "").alias("is_root"), F.when(tactic == "", "(root)").otherwise(T.tactic_head(tactic)).alias("head"),
-        F.max(F.col("label") == "positive").over(W.partitionBy("theorem_name", "state_id")).alias("on_path"), F.max("is_proof_complete").over(theorem()).alias("proved"),
+    # rows dealt by theorem serve both windows, if the wider one comes first
+    known = traj.withColumn("proved", F.max("is_proof_complete").over(theorem()))
+    known = known.withColumn("on_path", F.max(F.col("label") == "positive").over(W.partitionBy("theorem_name", "state_id")))
+    return known.select(
+        *traj.columns, (tactic == "").alias("is_root"), F.when(tactic == "", "(root)").otherwise(T.tactic_head(tactic)).alias("head"), "on_path", "proved",
         F.coalesce(F.length("state_pp"), F.lit(0)).alias("state_size"), T.count_goals(F.col("state_pp")).alias("goal_count"), T.count_hypotheses(F.col("state_pp")).alias("hypotheses"))
 
 
