@@ -30,8 +30,7 @@ That makes the job one of chained dictionaries, none of which any machine holds
    pairs' answers go to the chunks, where they add up to documents'.
 
 What goes to a part is sorted and compressed, and what comes back is in the same order, without
-keys. Pairs are told apart by hashes (48 bits of the first word, of the second 18 bits and one more
-for each doubling of the input beyond 1 MB, 40 at most). No task sees more than its part or chunk, and
+keys. Pairs are told apart by hashes (48 bits of the first word, 40 of the second). No task sees more than its part or chunk, and
 frequent words or copies cost no more than others. Prices travel in single precision.
 """
 from __future__ import annotations
@@ -52,6 +51,8 @@ from pyspark.sql import functions as F
 from .common import each_text, fold, materialise, table
 
 D = 7
+#: bits of the second word's hash
+BITS = 40
 #: what the depth of the word before adds to a context's count, for the shallower depths
 STRENGTHS = 8.0 ** np.arange(7)
 START = np.uint64((1 << 48) - 1)
@@ -330,7 +331,6 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2, chunk_bytes: int = 10
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), folds) == held).alias("held"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
-    bits = min(40, 18 + (size >> 20).bit_length())
     hot = frequent_words(rows.select("text"), min(1.0, 16_000_000 / max(1, size)), hot_tokens, parts)
 
     popular = np.array(sorted(hot), np.uint64)
@@ -366,7 +366,7 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2, chunk_bytes: int = 10
             yield _batch([(DOCS, (_task() * 17 + seq) % parts, chunk, data, int((~aside).sum()), 0)])
             made = [(UNITS, p, chunk, _pack(np.array(list(map(len, names[a:b])), np.int64), np.frombuffer(b"".join(names[a:b]), np.uint8), n[a:b]), 0, 0) for p, a, b in _bounds(part[:-1])]
             pairs = _Pairs(numbers, lengths.cumsum() - lengths, part, parts, frequent, [hot[x] for x in context[frequent].tolist()], counted)
-            second = (h >> np.uint64(48 - bits) << np.uint64(1)) | ends.astype(np.uint64)
+            second = (h >> np.uint64(48 - BITS) << np.uint64(1)) | ends.astype(np.uint64)
             made += [(PAIRS, p, chunk, blob, 0, 0) for p, blob in pairs.blobs(context, second)]
             for a in range(0, len(made), 64):
                 yield _batch(made[a : a + 64])
@@ -418,11 +418,11 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2, chunk_bytes: int = 10
             new = many.cumsum() - many
             u = step.cumsum()
             u -= np.repeat(u[new] - step[new], many)
-            if len(contexts) >> (62 - bits):
+            if len(contexts) >> (62 - BITS):
                 u = np.unique(u, return_inverse=True)[1].astype(np.uint64)
                 width = int(len(u)).bit_length()
             else:
-                width = bits + 1
+                width = BITS + 1
             key, pair_of = np.unique((np.repeat(context_of, many).astype(np.uint64) << np.uint64(width)) | u, return_inverse=True)
             each = np.bincount(pair_of, n, len(key)).astype(np.int64)
             own = (key >> np.uint64(width)).astype(np.int64)
