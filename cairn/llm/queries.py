@@ -21,8 +21,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_chat_formatting": chat.OP4_SQL,
-    "op11_warc": warc.op11_query,
-    "op12_tokenizer_alignment": align.op12_query,
     "op11_warc": warc.OP11_SQL,
     "op13_importance_resampling": resample.OP13_SQL,
 }
