@@ -248,6 +248,8 @@ def error_counts(log: DataFrame, message: str) -> DataFrame:
     return log.groupBy(T.error_class(F.col(message)).alias("error")).agg(F.count("*").alias("n"))
 
 
+#: a fixed value: the line of a log that says so
+STARTUP_LINE = r'Search error, skipping\s+theorem="([^"]+)"\s+error=(.*)$'
 #: fixed values: identifiers by why they are unknown, and those that a contest's files define themselves
 IDENTIFIERS = {"neighbourhood filter": ["𝓝"], "type variable": ["X"], "namespace not opened": ["IntegrableOn", "Injective"], "needs qualification": ["card", "coeff", "eval", "prod", "range", "univ", "sqrt", "cexp", "coeHom"], "free variable": ["f", "b"]}
 OWN_DEFINITIONS = ["AliceHasWinningStrategy", "is_rational_point", "klimited", "num_ones", "tetration", "descentCount", "Simplex", "dist_to_int"]
@@ -258,7 +260,7 @@ def startup_errors(lines: DataFrame, line: str, order: str) -> DataFrame:
 
     Unknown identifiers, unless defined by the benchmark itself, syntax and symbols that aren't found come with a change of version; time-outs and failed calls don't.
     """
-    said = lines.select(F.regexp_extract(line, r'Search error, skipping\s+theorem="([^"]+)"\s+error=(.*)$', 1).alias("theorem"), T.strip(F.regexp_extract(line, r'Search error, skipping\s+theorem="([^"]+)"\s+error=(.*)$', 2)).alias("message"), F.col(order).alias("at")).filter("theorem <> ''")
+    said = lines.select(F.regexp_extract(line, STARTUP_LINE, 1).alias("theorem"), T.strip(F.regexp_extract(line, STARTUP_LINE, 2)).alias("message"), F.col(order).alias("at")).filter("theorem <> ''")
     last = said.groupBy("theorem").agg(F.max_by("message", "at").alias("message")).withColumn("error", T.error_class(F.col("message")))
     name = F.regexp_extract("message", "Unknown identifier `([^`]+)`", 1)
     rows = last.withColumn("identifier", F.when(F.col("error") == "unknown_identifier", F.coalesce(F.nullif(name, F.lit("")), F.lit("???"))))
