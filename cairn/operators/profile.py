@@ -70,7 +70,7 @@ def spread(rows: DataFrame, columns: list[str], *by: str) -> DataFrame:
 def sizes(pairs: DataFrame) -> DataFrame:
     """One row: steps by theorem, and characters of states and steps."""
     per = pairs.groupBy("theorem").agg(F.count("*").alias("steps"))
-    lengths = pairs.select(F.length(F.coalesce("state", F.lit(""))).alias("state"), F.length(F.coalesce("tactic", F.lit(""))).alias("tactic"))
+    lengths = pairs.select(F.length(F.coalesce("state", F.lit(""))).cast("long").alias("state"), F.length(F.coalesce("tactic", F.lit(""))).cast("long").alias("tactic"))
     return spread(per, ["steps"]).join(F.broadcast(spread(lengths, ["state", "tactic"])))  # one row each
 
 
