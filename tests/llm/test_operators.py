@@ -1124,3 +1124,10 @@ def test_resampling_of_odd_rows(spark, docs, odd, none, monkeypatch):
     assert resample.drawn(odd, target.limit(0)).count() == odd.count()
     plan = resample.weights(docs, target)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Exchange" not in plan and "Python" not in plan
+
+
+def test_queries_and_their_sql():
+    from cairn.llm import queries
+
+    assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and all(isinstance(q, str) for q in queries.ORACLE_SQL.values()) and all(map(callable, queries.QUERIES.values()))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == [*range(1, 14)]
