@@ -51,6 +51,16 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(counts.ravel() * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """A fingerprint of 64 bits times ``words``: the majorities of the hashes, and of the hashes mixed anew for each further word."""
+    x = hashes[None, :] + np.arange(words, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x[1:] = (x[1:] ^ (x[1:] >> np.uint64(shift))) * np.uint64(factor)
+    places = x.view(np.uint8).reshape(words, -1, 8) + (np.arange(words * 8) * 256).reshape(words, 1, 8)
+    counts = np.bincount(places.ravel(), minlength=words * 2048).reshape(words * 8, 256).astype(float) @ _BITS.astype(float)
+    return np.packbits(counts.reshape(words, 64) * 2 > len(hashes), axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed 64-bit integer) for every row; null texts count as empty."""
 

@@ -302,6 +302,31 @@ def test_similar_groups_link_every_pair(spark, odd, none):
     assert similar_groups(none).count() == 0
 
 
+def test_simhash_makes_the_links_of_near_copies(spark, monkeypatch):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from cairn.llm import similar
+    from cairn.llm.simhash import fingerprint, shingle_hashes, wide_fingerprint
+
+    rng = random.Random(8)
+    texts = {}
+    for i in range(100):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        texts[i] = " ".join(words)
+        words[rng.randrange(10, 90)] = "other"
+        texts[1000 + i] = " ".join(words)  # similarity 0.9
+    prints = {i: wide_fingerprint(shingle_hashes(t.encode(), 5), similar.WORDS) for i, t in texts.items()}
+    assert all(int(p[0]) == fingerprint(texts[i].encode(), 5) for i, p in prints.items())
+    df = spark.createDataFrame([(i, 96, p.view(np.int64).tolist()) for i, p in prints.items()], "fp long, n int, print array<long>")
+    pairs = {(r.a, r.b) for r in similar.simhash_pairs(df, 0.8).collect()}
+    assert len(pairs & {(i, 1000 + i) for i in range(100)}) >= 95
+
+    asked = []
+    real = similar.simhash_pairs
+    monkeypatch.setattr(similar, "simhash_pairs", lambda *a: asked.append(a) or real(*a))
+    kept = pipeline.drop_near_duplicates(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), SF)
+    assert {r.doc_id for r in kept.collect()} == set(range(100)) and asked
+
+
 def test_pipeline_drops_near_copies(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     got = {r.doc_id for r in pipeline.drop_near_duplicates(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).collect()}
