@@ -320,11 +320,14 @@ def test_simhash_makes_the_links_of_near_copies(spark, monkeypatch):
     pairs = {(r.a, r.b) for r in similar.simhash_pairs(df, 0.8).collect()}
     assert len(pairs & {(i, 1000 + i) for i in range(100)}) >= 95
 
-    asked = []
-    real = similar.simhash_pairs
+    asked, plans = [], []
+    real, write = similar.simhash_pairs, similar.materialise
     monkeypatch.setattr(similar, "simhash_pairs", lambda *a: asked.append(a) or real(*a))
+    monkeypatch.setattr(similar, "materialise", lambda df, name: plans.append((name, df._jdf.queryExecution().toString())) or write(df, name))
     kept = pipeline.drop_near_duplicates(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), SF)
     assert {r.doc_id for r in kept.collect()} == set(range(100)) and asked
+    whole = [p for name, p in plans if name == "similar"]
+    assert whole and not any("MapInArrow" in p for p in whole)  # pairs of whole sets would be large batches in Python
 
 
 def test_pipeline_drops_near_copies(spark):
