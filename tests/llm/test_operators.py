@@ -330,6 +330,37 @@ def test_simhash_makes_the_links_of_near_copies(spark, monkeypatch):
     assert whole and not any("MapInArrow" in p for p in whole)  # pairs of whole sets would be large batches in Python
 
 
+def test_simhash_pairs_keep_a_row_for_each_set_and_segment(spark):
+    from cairn.llm import similar
+    from cairn.llm.simhash import wide_fingerprint
+
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(60)]
+    sets = [[*base[:i], rng.getrandbits(64), *base[i + 1 :]] for i in range(60)]  # one group of near copies
+    df = spark.createDataFrame([(i, 60, wide_fingerprint(np.array(x, np.uint64), similar.WORDS).view(np.int64).tolist()) for i, x in enumerate(sets)], "fp long, n int, print array<long>")
+    found = similar.simhash_pairs(df, 0.8)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1  # that of the segments
+    pairs = {(r.a, r.b) for r in found.collect()}
+    assert {x for p in pairs for x in p} == set(range(60)) and len(pairs) <= 60 and all(a < b for a, b in pairs)
+
+
+def test_few_pairs_left_end_the_rounds_at_once(spark, monkeypatch):
+    from cairn.llm import similar
+
+    rng = random.Random(10)
+    texts = {}
+    for i in range(260):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        texts[i] = " ".join(words)
+        if i < 30:
+            texts[1000 + i] = " ".join([*words[:-1], "other"])
+    real = similar.simhash_pairs
+    monkeypatch.setattr(similar, "simhash_pairs", lambda *a: real(*a).filter("false"))  # so the exact search has all to find
+    monkeypatch.setattr(similar, "_more_hubs", lambda *a: pytest.fail("a round of hubs for 30 pairs"))
+    got = {r.doc_id: r.component_id for r in similar.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {i: i % 1000 for i in texts}
+
+
 def test_pipeline_drops_near_copies(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     got = {r.doc_id for r in pipeline.drop_near_duplicates(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).collect()}
