@@ -361,6 +361,22 @@ def test_few_pairs_left_end_the_rounds_at_once(spark, monkeypatch):
     assert got == {i: i % 1000 for i in texts}
 
 
+def test_hubs_come_before_all_pairs_of_near_copies(spark, monkeypatch):
+    from cairn.llm import similar
+
+    rng = random.Random(11)
+    words = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(201)]
+    texts = {i: " ".join(w) for i, w in enumerate(words)}
+    for k in range(24):
+        texts[1000 + k] = " ".join([*words[0][:-1], f"other{k}"])
+    names, real, write = [], similar.simhash_pairs, similar.materialise
+    monkeypatch.setattr(similar, "simhash_pairs", lambda *a: real(*a).filter("false"))
+    monkeypatch.setattr(similar, "materialise", lambda df, name: names.append(name) or write(df, name))
+    got = {r.doc_id: r.component_id for r in similar.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {i: i if i < 1000 else 0 for i in texts}
+    assert names.count("rest") == 1 and names.count("tried") >= 2  # SimHash, and a round of hubs
+
+
 def test_pipeline_drops_near_copies(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     got = {r.doc_id for r in pipeline.drop_near_duplicates(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).collect()}
