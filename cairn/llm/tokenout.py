@@ -12,17 +12,19 @@ in the corpus is known from the counts alone, and one short document is read by
 without touching the rest of its shard.
 
 With a vocabulary whose rules are ``_PIECEWISE`` texts are cut at the blanks 0x20 and 0x09-0x0D,
-which none of its tokens crosses; each worker keeps the ids of pieces it has met, up to ``_CACHE``
-of them, and asks the tokenizer only about new ones. With any other the tokenizer gets whole texts.
+which none of its tokens crosses. Some MB of texts are cut and their pieces numbered by Arrow; each
+worker keeps the ids of pieces it has met, some ``_CACHE`` of them, and asks the tokenizer about new
+ones only, thousands of words at a time. With any other vocabulary the tokenizer gets whole texts.
 """
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
+import os
 import re
 import zlib
 from array import array
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, each_text, materialise, shared_dir
+from .common import discard, each_text, materialise, shared_dir, text_buffer
 
 _CACHE = 200_000
-_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: bytes of text whose pieces are numbered at once, and new words that are asked for at once
+_SPAN, _ASK = 4_000_000, 10_000
+#: characters whose kind is told from their bytes
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_GAP = re.compile(rb"[ \t-\r]")
+_BLANK, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
+#: the kind of each byte; 0xC3 begins the letters from U+00C0 to U+00FF, other characters beyond ASCII begin with a byte of kind _OTHER
+_KIND = np.array([_BLANK if b in b" \t\n\v\f\r" else _LETTER if bytes([b]).isalpha() or 0x80 <= b < 0xC0 or b == 0xC3 else _DIGIT if bytes([b]).isdigit() else _SIGN if 32 < b < 127 else _OTHER for b in range(256)], np.uint8)
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 #: bytes of frames after which a shard is closed
 SHARD_BYTES = 4_000_000
 
@@ -55,29 +65,24 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class _Seen(dict):
-    """The ids of pieces; a piece not met before is asked for."""
-
-    def __init__(self, ask):
-        self.ask = ask
-
-    def __missing__(self, piece: bytes) -> bytes:
-        ids = self[piece] = self.ask(piece)
-        return ids
-
-
 class PieceEncoder:
     """Encodes texts piece by piece; the ids are those of the whole text's encoding."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.path, self.tokenizer = path, Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         self.alphabet = _byte_alphabet()
-        self.seen = _Seen(self._piece)
+        self.table = "".join(" " if b == 32 else self.alphabet[b] for b in range(256))
+        self.seen: dict[str, bytes] = {}
         self.piecewise = self._cut_at_blanks()
-        self.point = {p[0]: self._ids(p) for p in (b".", b",")}
+        #: by id: whether it ends a word; None where that can't be told
+        self.last = self._word_ends()
+        #: the model without the rules, for words already cut, in lower case and spelt in the byte alphabet
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = WhitespaceSplit()
 
     def _cut_at_blanks(self) -> bool:
         t = self.tokenizer
@@ -85,36 +90,135 @@ class PieceEncoder:
         same = all(_PIECEWISE[k] == (None if v is None else json.loads(v.__getstate__())) for k, v in rules.items())
         return same and all(x.content.startswith("<|") and not re.search(r"\s", x.content) and not x.lstrip and not x.rstrip for x in t.get_added_tokens_decoder().values())
 
-    def _ids(self, piece: bytes) -> bytes:
-        if piece.isalpha():  # of bytes: A-Z and a-z only
-            tokens = self.model.tokenize(piece.decode().lower())
-        elif _PLAIN.fullmatch(text := piece.decode()):
-            tokens = self.model.tokenize(text.lower().encode().decode("latin-1").translate(self.alphabet))
-        else:
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return array("I", [t.id for t in tokens]).tobytes()
-
-    def _piece(self, piece: bytes) -> bytes:
-        """A word and the point or comma after it are tokens of their own."""
+    def _word_ends(self) -> np.ndarray | None:
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        ids = self.tokenizer.get_vocab()
+        if not self.piecewise or not suffix or any(c + suffix not in ids for c in self.alphabet.values()):
+            return None
+        last = np.zeros(max(ids.values()) + 1, bool)
+        last[[i for t, i in ids.items() if t.endswith(suffix)]] = True
+        return last
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words that the rules leave whole, asked for at once."""
+        text = " ".join(words)
+        if not text.isascii():
+            text = codecs.charmap_decode(text.encode(), "strict", self.table)[0]
+        ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+        if len(ends) != len(words):  # a text that spells the suffix itself
+            return [self._whole(w) for w in words]
+        ends, data = ends.tolist(), ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        words = []
+        for p in pieces:
+            if self.last is None or "<|" in p or not _PLAIN.fullmatch(p):
+                self.seen[p] = self._whole(p)
+            else:
+                words.append(p)
+        for a in range(0, len(words), _ASK):
+            some = words[a : a + _ASK]
+            self.seen.update(zip(some, self._words(some)))
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
         seen = self.seen
-        if piece[-1] in b".," and len(piece) > 1 and ((stem := piece[:-1]).isalpha() or _PLAIN.fullmatch(stem.decode())):
-            ids = seen.get(stem)
-            if ids is None:
-                ids = seen[stem] = self._ids(stem)
-            return ids + self.point[piece[-1]]
-        return self._ids(piece)
+        new = [p for p in pieces if p not in seen]
+        if len(seen) + len(new) > _CACHE:  # those met again are the frequent ones
+            seen = self.seen = {p: seen[p] for p in pieces if p in seen}
+        self._learn(new)
+        return [seen[p] for p in pieces]
+
+    def encode_all(self, texts: pa.Array):
+        """Yield each row's ids as little-endian unsigned 32-bit integers; null rows are empty."""
+        if not self.piecewise:
+            yield from (self._whole(t.decode()) for t in each_text(texts))
+            return
+        for some in _spans(texts, _SPAN):
+            some = some.fill_null("")
+            if len(some) == 1:  # perhaps a long one
+                yield b"".join(ids for part in _parts(next(each_text(some)), _SPAN) for ids in self._encode(pa.array([part], pa.binary()).cast(some.type)))
+            else:
+                yield from self._encode(some)
+
+    def _encode(self, texts: pa.Array):
+        words, rows = _cut(texts)
+        words = words.dictionary_encode()
+        ids = pa.array(self._ids(words.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(words.indices)
+        data, ends, _ = text_buffer(ids)
+        ends = ends[rows].tolist()
+        for a, b in zip(ends, ends[1:]):
+            yield bytes(data[a:b])
 
     def encode(self, text: bytes) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not self.piecewise:
-            return array("I", self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
-        # the vocabulary is of lower-case words; only its special tokens are looked up before that
-        pieces = (text if b"<|" in text else text.lower()).split()
-        seen = self.seen
-        if len(seen) > _CACHE:  # the pieces met first are the frequent ones
-            for piece in list(islice(seen, _CACHE // 2, None)):
-                del seen[piece]
-        return b"".join(map(seen.__getitem__, pieces))
+        """The ids of one text."""
+        return next(self.encode_all(pa.array([text], pa.binary()).cast(pa.string())))
+
+
+def _spans(texts: pa.Array, size: int):
+    """A column in slices of about so many bytes, one row at least."""
+    offsets, a = text_buffer(texts)[1], 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, "right")) - 1)
+        yield texts.slice(a, b - a)
+        a = b
+
+
+def _parts(text: bytes, size: int):
+    """A text cut at blanks into parts of about so many bytes."""
+    a = 0
+    while a < len(text):
+        gap = _GAP.search(text, a + size)
+        b = gap.start() if gap else len(text)
+        yield text[a:b]
+        a = b
+
+
+def _cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all rows in lower case, and where each row's begin, with the end.
+
+    A word is what the rules leave whole, but a piece with any character beyond ``_PLAIN``, or with
+    the beginning of a special token, stays as it is.
+    """
+    data, offsets, _ = text_buffer(texts)
+    data, rows = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].copy(), offsets - offsets[0]
+    # one more place, so that what follows a byte can be asked for; no byte there is part of a word
+    kind, after = np.append(_KIND[data], np.uint8(_BLANK)), np.append(data[1:], [np.uint8(32)] * (len(data) > 0))
+    first = np.zeros(len(kind), bool)
+    first[rows] = True
+    lead = data == 0xC3
+    kind[:-1][lead & ((after == 0x97) | (after == 0xB7))] = _OTHER  # signs amid the letters
+    kind[:-1][(data == ord("<")) & (after == ord("|")) & ~first[1:]] = _OTHER
+    shown = kind != _BLANK
+    begins = first | (kind == _DIGIT)
+    begins[1:] |= kind[1:] != kind[:-1]
+    same = np.ones(len(data), bool)
+    if (kind == _OTHER).any():
+        piece = first.copy()
+        piece[1:] |= shown[1:] != shown[:-1]
+        number = np.cumsum(piece)
+        odd = np.zeros(number[-1] + 1, bool)
+        odd[number[kind == _OTHER]] = True
+        odd = odd[number]
+        begins = np.where(odd, piece, begins)
+        same = ~odd[:-1]
+    data[same] = _LOWER[data[same]]
+    upper = np.flatnonzero(lead & same & (after >= 0x80) & (after <= 0x9E)) + 1
+    data[upper] += 0x20
+    # short forms: an apostrophe that begins a word takes one or two letters with it
+    mark = np.flatnonzero((data == ord("'")) & begins[:-1] & same & ~first[1:] & (kind[1:] == _LETTER))
+    one, two = data[mark + 1], np.where(first[mark + 2], 0, np.append(data, np.uint8(0))[mark + 2])
+    one, two = np.isin(one, list(b"stmd")), np.isin(one, list(b"rv")) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    begins[mark[one | two] + 1] = False
+    begins[np.append(mark[one] + 2, mark[two] + 3)] = True
+    begins, shown = begins[:-1], shown[:-1]
+    at = np.append(np.flatnonzero(begins[shown]), shown.sum())
+    words = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data[shown]))
+    return words, np.searchsorted(np.flatnonzero(begins & shown), rows)
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -152,7 +256,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, width: int, max_do
     def run(batches):
         enc = encoder(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_narrow(enc.encode(t) + end, width) for t in each_text(b.column(0))], pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([_narrow(ids + end, width) for ids in enc.encode_all(b.column(0))], pa.binary())], names=["ids"])
 
     # of documents that share an id the one with the smallest text
     texts = able.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
@@ -188,10 +292,9 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
         made = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(data) if data else None)
         for b in batches:
             n, frames = [], []
-            for t in each_text(b.column(1)):
-                ids = enc.encode(t) + end
-                n.append(len(ids) // 4)
-                frames.append(made.compress(_narrow(ids, width)))
+            for ids in enc.encode_all(b.column(1)):
+                n.append(len(ids) // 4 + 1)
+                frames.append(made.compress(_narrow(ids + end, width)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(frames, pa.binary()), *b.columns[2:]], names=["doc_id", "n", "frame", *names])
 
     names = [f"o{i}" for i in range(len(order))]

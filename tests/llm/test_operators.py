@@ -736,6 +736,41 @@ def test_tokens_round_trip(spark, odd, none, tmp_path):
     assert some == {i: whole.encode(text[i], add_special_tokens=False).ids + [1] for i in (3, 17)}
 
 
+def test_new_words_are_asked_for_together(monkeypatch):
+    """Most words of a corpus are rare; one call of the library for each took op8 over its CPU budget."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from cairn.llm import tokenout
+
+    path, rng, asked = tokenout.default_vocabulary(), random.Random(3), []
+    whole, pieces = Tokenizer.from_file(path), tokenout.PieceEncoder(path)
+
+    def counted(ask):
+        return lambda x, **options: (asked.append(x), ask(x, **options))[1]
+
+    pieces.tokenizer = SimpleNamespace(encode=counted(pieces.tokenizer.encode))
+    pieces.bare = SimpleNamespace(encode_batch_fast=counted(pieces.bare.encode_batch_fast))
+    syllables = "th an er tion en ß é ci\u00f3n Ou wh".split()
+    texts = [None, ""] + [" ".join("".join(rng.choices(syllables, k=rng.randint(2, 6))) + rng.choice(["", ".", ",", "***", "'s", "'RE", "!?", " 23.1.4"]) for _ in range(300)) for _ in range(50)]
+    want = [np.array(whole.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(pieces.encode_all(pa.array(texts))) == want
+    assert len(set(" ".join(texts[2:]).lower().split())) > 10_000 and len(asked) <= 5
+    assert list(pieces.encode_all(pa.array(texts, pa.large_string()).slice(1))) == want[1:] and len(asked) <= 5
+
+    # words of all rows are cut at once: rows, odd characters, special tokens and small caches change nothing
+    pool = [*"aBsStdmrevl .,'\t\nréÉßİΣ²½º×÷ÿÞ中<|>-\x1c\xa0\x85\x00\u0301'07", "<|endoftext|>", "<|ENDOFTEXT|>", "'ll", "'RE", "</w>", "%%%", "<|"]
+    pieces = tokenout.PieceEncoder(path)
+    for span, cache, ask in ((1, 5, 1), (100, 200, 3), (4_000_000, 200_000, 10_000)):
+        for name, value in (("_SPAN", span), ("_CACHE", cache), ("_ASK", ask)):
+            monkeypatch.setattr(tokenout, name, value)
+        texts = ["".join(rng.choices(pool, k=rng.randint(0, 30))) for _ in range(500)]
+        for t, got in zip(texts, pieces.encode_all(pa.array(texts)), strict=True):
+            assert got == np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
 def test_other_vocabularies_encode_whole_texts():
     import glob
 
