@@ -12,7 +12,7 @@ in the corpus is known from the counts alone, and one short document is read by
 without touching the rest of its shard.
 
 With a vocabulary whose rules are ``_PIECEWISE`` texts are cut at the blanks 0x20 and 0x09-0x0D,
-which none of its tokens crosses. Some MB of texts are cut and their pieces numbered by Arrow; each
+which none of its tokens crosses. About a MB of texts at a time is cut and their pieces numbered by Arrow; each
 worker keeps the ids of pieces it has met, some ``_CACHE`` of them, and asks the tokenizer about new
 ones only, thousands of words at a time. With any other vocabulary the tokenizer gets whole texts.
 """
@@ -36,7 +36,7 @@ from .common import discard, each_text, materialise, shared_dir, text_buffer
 
 _CACHE = 200_000
 #: bytes of text whose pieces are numbered at once, and new words that are asked for at once
-_SPAN, _ASK = 4_000_000, 10_000
+_SPAN, _ASK = 1_000_000, 5_000
 #: characters whose kind is told from their bytes
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _GAP = re.compile(rb"[ \t-\r]")
