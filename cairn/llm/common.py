@@ -5,8 +5,10 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,6 +85,27 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def bound_batches(spark: SparkSession, size: str = "2m") -> None:
+    """From now on the session sends Python workers batches of about so many bytes, one row at least.
+
+    By default a batch has up to 10,000 rows; the JVM keeps a batch of texts outside its heap, beside what it holds there.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def passing(docs: DataFrame, test) -> DataFrame:
+    """The rows of ``docs`` whose texts pass, with their columns; ``test`` turns an Arrow array of texts into one of booleans.
+
+    Texts go to the workers once, without the other columns, and only the answers come back.
+    """
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield test(texts)
+
+    return docs.filter(F.arrow_udf(run, "boolean")(docs["text"].cast("string")))
+
+
 def pieces(batches, rows: int = 500):
     """Arrow batches in pieces of so many rows, so that what is made of them at once stays small."""
     for b in batches:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_text, table
+from .common import each_text, passing, table
 
 MASKS = ((0, 1, 3, 4, 5), (0, 1, 5, 7, 8))
 #: for items shorter than the window
@@ -248,10 +248,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 32_000_000)
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 32_000_000) -> DataFrame:
     """The rows of ``docs`` into which no item leaks, with their columns; null and blank texts stay, repeated rows each; see :func:`leaks`."""
-    names = docs.columns
     for index in blocks(benchmark, block_bytes):
-        rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs["text"].cast("string").alias("text"))
-        docs = _scan(rows, index).filter(F.size("hits") == 0).select("row.*")
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        docs = passing(docs, lambda texts, shared=shared: pa.array([not hits for hits in shared.value.find(list(each_text(texts)))], pa.bool_()))
     return docs
 
 

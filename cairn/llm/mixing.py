@@ -91,7 +91,9 @@ def _slotted(docs, weights, alpha, block_rows, bucket_rows, source, key, carry=N
     slots = spark.createDataFrame(table, "sid int, block2 long, slot long, first long")
     if table.num_rows <= 2**21:  # beyond that the sources are too many, and the join is dealt by source and block
         slots = F.broadcast(slots)
-    each = spark.createDataFrame([(s, i, max(1, ceil(n / bucket_rows))) for i, (s, n) in enumerate(sizes.items())], "s2 string, number int, buckets int")
+    # as an Arrow table, which needs no workers
+    each = pa.table([pa.array(sizes, pa.string()), pa.array(range(len(sizes)), pa.int32()), pa.array([max(1, ceil(n / bucket_rows)) for n in sizes.values()], pa.int32())], names=["s2", "number", "buckets"])
+    each = spark.createDataFrame(each, "s2 string, number int, buckets int")
     bucketed = rows.join(F.broadcast(each), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     bucketed = bucketed.withColumn("bucket", F.pmod("h2", "buckets").cast("int"))
     counts = bucketed.groupBy("source", "bucket", "number").agg(F.count("*").alias("n"))

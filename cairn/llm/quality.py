@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_text, fold
+from .common import each_text, fold, passing
 
 SINGLE = b"!?#*$%&|@/<>{}=_~^+.,;:'\"-()[]"
 N_STATS = 18 + len(SINGLE)
@@ -139,30 +139,29 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, folds: int
     return fit(np.array(got.x.tolist(), np.float64).reshape(-1, N_STATS), got.y.to_numpy(np.float64))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 20_000, folds: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``, and its columns ``keep``.
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 20_000, folds: int = 5) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of ``docs``.
 
     Null texts score as empty ones. A null doc_id counts as the text '' when folds are dealt.
     Repeated rows come out repeated; an empty table gives an empty result. Without labelled rows
     every score is 0.5. Further columns of either table are ignored, whatever their names.
     """
     trees = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_rows, folds))
-    kept = [docs[c] for c in keep]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), folds) == 0).alias("held_out"), F.col("text").cast("string").alias("text"), F.struct(*kept).alias("row") if keep else F.lit(0).alias("row"))
-    kind = rows.schema["row"].dataType.simpleString()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), folds) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
 
     def run(batches):
         for b in batches:
             s = trees.value.score(stat_matrix(b.column(2)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(s)], names=["doc_id", "held_out", "row", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], names=["doc_id", "held_out", "score"])
 
-    out = rows.mapInArrow(run, f"doc_id long, held_out boolean, row {kind}, score double")
-    return out.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(["row"] if keep else []))
+    out = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject, with their columns."""
-    return quality_scores(docs, labels, threshold, keep=tuple(docs.columns)).filter("predicted = 1").select("row.*")
+    trees = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    return passing(docs, lambda texts: pa.array(trees.value.score(stat_matrix(texts)) >= threshold))
 
 
 def op5_query(spark, sf_dir):

@@ -285,7 +285,9 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
     data = train_dictionary(docs, path, end_id, width)
     digest = hashlib.sha256(data).hexdigest()
     end = np.array([end_id], "<u4").tobytes()
-    spark.createDataFrame([(digest, bytearray(data), width, end_id)], "hash string, data binary, width int, end_id int").coalesce(1).write.parquet(f"{folder}/dictionary")
+    # as an Arrow table, which needs no workers
+    row = pa.table([pa.array([digest]), pa.array([data], pa.binary()), pa.array([width], pa.int32()), pa.array([end_id], pa.int32())], names=["hash", "data", "width", "end_id"])
+    spark.createDataFrame(row, "hash string, data binary, width int, end_id int").coalesce(1).write.parquet(f"{folder}/dictionary")
 
     def compress(batches):
         enc = encoder(path)

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -991,6 +992,59 @@ def test_pipeline_is_brute_force(spark):
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in pipeline.run(spark, SF).collect()} == want
 
 
+def python_bytes(df):
+    """Bytes that go to the Python workers, and that come back."""
+    df._jdf.queryExecution().toRdd().count()
+    out, plans = [0, 0], [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        p = plans.pop()
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            p = p.executedPlan()
+        for k, name in enumerate(("pythonDataSent", "pythonDataReceived")):
+            out[k] += p.metrics().apply(name).value() if p.metrics().contains(name) else 0
+        plans += [p.children().apply(i) for i in range(p.children().size())]
+    return out
+
+
+def test_texts_go_to_workers_once_and_stay_there(spark):
+    from cairn.llm.decontam import without_leaks
+    from cairn.llm.quality import accepted
+
+    docs, labels, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    for df in (accepted(docs, labels), without_leaks(docs, bench), without_leaks(docs, bench, 1000).limit(10**6)):
+        sent, back = python_bytes(df)
+        assert df.count() and back < size / 10
+    for df in (accepted(docs, labels), without_leaks(docs, bench)):
+        assert size <= python_bytes(df)[0] < 1.2 * size
+
+
+def test_pipeline_bounds_the_bytes_of_batches(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from cairn.llm.common import passing
+
+    spark.range(100).selectExpr("id doc_id", "repeat(cast(id as string), 500000) text").coalesce(1).write.parquet(str(tmp_path / "long"))
+    spark.read.parquet(f"{SF}/documents.parquet").limit(50).write.parquet(str(tmp_path / "few"))
+    docs = spark.read.parquet(str(tmp_path / "long"))  # 95 MB
+    for stage in (pipeline.drop_low_quality, pipeline.drop_near_duplicates, pipeline.drop_leaks, pipeline.write_token_ids):
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        stage(spark, spark.read.parquet(str(tmp_path / "few")), SF)
+        sizes = docs.select("text").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long").collect()
+        assert sum(r.n for r in sizes) > 95e6 and max(r.n for r in sizes) < 4e6
+    assert passing(docs, lambda texts: pa.array([texts.nbytes < 4e6] * len(texts))).count() == 100
+
+
+def test_small_tables_start_no_workers(spark, docs, none, tmp_path, monkeypatch):
+    from cairn.llm.mixing import mixed
+    from cairn.llm.tokenout import write_tokens
+
+    made, create = [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **b: (made.append(data), create(self, data, *a, **b))[1])
+    assert mixed(docs).count() == docs.count() and mixed(none).count() == 0
+    write_tokens(docs, str(tmp_path / "tokens"))
+    assert len(made) == 5 and all(isinstance(x, pa.Table) for x in made)
+
+
 def test_pipeline_bears_odd_tables(spark, odd, none, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     for t in ("labels", "benchmark"):
